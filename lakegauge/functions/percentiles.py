@@ -30,6 +30,9 @@ def exact_percentiles(
     states that the number of groups is bounded by the query text (columns of
     a table, or no keys at all), so that the brackets may be broadcast.
     """
+    if not keys:
+        whole = df.withColumn("_all", F.lit(1))
+        return exact_percentiles(whole, ["_all"], value, points, few_groups=True).drop("_all")
     rows = df.where(F.col(value).isNotNull()).select(
         *keys, F.col(value).cast("double").alias("_v")
     )
@@ -49,11 +52,9 @@ def exact_percentiles(
         F.when(large, F.slice("_sketch", count + 1, count)).alias("_highs"),
     )
     same_group = reduce(
-        lambda a, b: a & b,
-        [F.col(k).eqNullSafe(F.col(f"_b_{k}")) for k in keys],
-        F.lit(True),
+        lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_b_{k}")) for k in keys]
     )
-    small = F.broadcast(brackets) if few_groups or not keys else brackets
+    small = F.broadcast(brackets) if few_groups else brackets
     value_column = F.col("_v")
     within = reduce(
         lambda a, b: a | b,

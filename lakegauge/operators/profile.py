@@ -451,6 +451,7 @@ def inspect_column(
     one = Dataset({table: ds.table(table).select(column(name))})
     values = (
         distinct_samples(one, value_frequency(one), k)
+        .groupBy(F.lit(table).alias("table"))
         .agg(F.sort_array(F.collect_list("value")).alias("sample_values"))
     )
     card = columns.where((F.col("table") == table) & (F.col("column") == name)).select(
@@ -458,9 +459,8 @@ def inspect_column(
         "min_value", "max_value", "guessed_role", "is_pii",
     )
     empty = F.array().cast("array<string>")
-    return card.join(F.broadcast(values)).withColumn(
-        "sample_values", F.when(F.col("is_pii"), empty).otherwise(F.col("sample_values"))
-    )
+    shown = F.when(F.col("is_pii"), empty).otherwise(F.coalesce("sample_values", empty))
+    return card.join(values, "table", "left").withColumn("sample_values", shown)
 
 
 def compare_columns(ds: Dataset, columns: DataFrame, table: str, names: list[str]) -> DataFrame:
