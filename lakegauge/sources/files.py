@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakegauge.dataset import Dataset
+from lakegauge.dataset import Dataset, constant_rows
 
 FORMATS = {
     ".csv": "csv",
@@ -22,25 +22,38 @@ FORMATS = {
 }
 
 
-def read_table(spark: SparkSession, path: str, fmt: str | None = None, schema: T.StructType | None = None) -> DataFrame:
+def read_table(
+    spark: SparkSession,
+    path: str,
+    fmt: str | None = None,
+    schema: T.StructType | None = None,
+    quoted_line_breaks: bool = True,
+) -> DataFrame:
     """One file, or a directory of part files of one format, as a DataFrame.
 
     Text formats are sniffed unless a schema is given; state it for large
-    inputs, as sniffing reads the data once more.
+    inputs, as sniffing reads the data once more.  A CSV file is one task
+    unless ``quoted_line_breaks`` is off, which lets Spark split it.
     """
     fmt = fmt or FORMATS.get(_extension(path))
     reader = spark.read.schema(schema) if schema is not None else spark.read
     if fmt in ("csv", "tsv"):
         options = {"header": True, "sep": "\t" if fmt == "tsv" else ",", "inferSchema": schema is None,
-                   "multiLine": True, "escape": '"'}
+                   "multiLine": quoted_line_breaks, "escape": '"'}
         return reader.options(**options).csv(path)
     if fmt in ("json", "ndjson"):
-        return reader.option("multiLine", fmt == "json").json(path)
+        return reader.option("multiLine", fmt == "json" and _is_json_array(spark, path)).json(path)
     if fmt == "parquet":
         return reader.parquet(path)
     raise ValueError(f"no reader for {path!r}; extensions: {sorted(FORMATS)}")
 
 
+def _is_json_array(spark: SparkSession, path: str) -> bool:
+    """Whether a ``.json`` file is one array rather than an object per line."""
+    first = spark.read.text(path).where("trim(value) <> ''").first()
+    return first is not None and first["value"].lstrip().startswith("[")
+
+
 def _extension(path: str) -> str:
     match = re.search(r"\.[A-Za-z0-9]+$", path.rstrip("/"))
     return match.group(0).lower() if match else ""
@@ -95,8 +108,6 @@ def describe_tables(ds: Dataset) -> DataFrame:
         for name in ds.names
         for i, f in enumerate(ds.tables[name].schema.fields)
     ]
-    from lakegauge.dataset import constant_rows
-
     columns = constant_rows(ds.spark, every, "table string, column string, ordinal int, dtype string")
     return columns.join(row_counts(ds), "table")
 

@@ -23,7 +23,7 @@ def redacted_export(ds: Dataset, denied: Mapping[str, Iterable[str]], folder: st
     """
     paths = {}
     for name, df in ds.without(denied).tables.items():
-        path = f"{folder.rstrip('/')}/{name}.{fmt}"
+        path = f"{folder.rstrip('/')}/{name}.{'ndjson' if fmt == 'json' else fmt}"
         writer = df.write.mode("errorifexists")
         if fmt in ("csv", "tsv"):
             writer.options(header=True, sep="\t" if fmt == "tsv" else ",", escape='"').csv(path)
