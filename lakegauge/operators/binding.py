@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lakegauge.dataset import Dataset, column, constant_rows
-from lakegauge.functions.text import contains_any, jaccard, name_tokens
+from lakegauge.functions.text import jaccard, name_tokens
 from lakegauge.plans.kpis import pack_kpis
 from lakegauge.plans.packs import GENERIC_NAME_TOKENS, PACKS, Pack, expected_roles
 
@@ -67,8 +67,8 @@ def pack_fact_table(columns: DataFrame, pack: Pack, central: str | None = None)
     totals = best.groupBy("table").agg(
         F.coalesce(F.sum(F.when(F.col("best") >= MIN_SCORE, F.col("best"))), F.lit(0.0)).alias("total")
     )
-    chosen = F.when(F.col("table") == central, 0).otherwise(1) if central else F.lit(1)
-    return totals.orderBy(chosen, F.desc("total"), "table").limit(1)
+    named = [(F.col("table") == central).desc()] if central else []
+    return totals.orderBy(*named, F.desc("total"), "table").limit(1)
 
 
 def role_bindings(

@@ -60,6 +60,7 @@ def build_edges(
     edges = infer_relationships(frequency, structural)
     if ds.declared_keys:
         edges = merge_edges(declared_edges(ds, frequency, structural), edges)
+    edges = cut(edges)
     return mark_bridges(edges.withColumn("verified", F.lit(True)), grains).select(*EDGE_COLUMNS)
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakegauge.dataset import Dataset, column
+from lakegauge.functions.types import NUMERIC
 
 MAX_INSIGHTS = 10
 
@@ -25,9 +26,13 @@ class Insight:
 
 
 def propose_insights(columns: DataFrame) -> list[Insight]:
-    """Candidates from the second-level roles; reads only the column catalogue."""
+    """Candidates from the second-level roles; reads only the column catalogue.
+
+    A measure that is text cannot be summed and a number is no moment to
+    truncate, so candidates that would need either are dropped.
+    """
     listed = columns.where(~F.col("is_pii") | (F.col("understanding_role") == "timestamp")).select(
-        "table", "ordinal", "column", "cardinality", "understanding_role"
+        "table", "ordinal", "column", "cardinality", "family", "understanding_role"
     )
     rows = sorted(listed.collect(), key=lambda r: (r["table"], r["ordinal"]))
     by_role: dict[str, list] = {}
@@ -36,12 +41,18 @@ def propose_insights(columns: DataFrame) -> list[Insight]:
     measures = by_role.get("measure", [])
     dimensions = [r for r in rows if r["understanding_role"] in ("dimension", "status")]
     found: list[Insight] = []
+
+    def summable(some: list) -> list:
+        return [m for m in some if m["family"] in NUMERIC]
+
     for time in by_role.get("timestamp", [])[:1]:
-        for m in (m for m in measures[:2] if m["table"] == time["table"]):
+        if time["family"] in NUMERIC:
+            continue
+        for m in (m for m in summable(measures[:2]) if m["table"] == time["table"]):
             for grain, support in (("month", 0.75), ("week", 0.60)):
                 text = f"{grain} trend of {m['column']}"
                 found.append(Insight("trend", text, support, m["table"], m["column"], time["column"], grain))
-    for m in measures[:1]:
+    for m in summable(measures[:1]):
         near = [d for d in dimensions[:3] if d["table"] == m["table"] and d["cardinality"] <= 50]
         for d in near:
             text = f"{m['column']} by {d['column']}"
@@ -49,7 +60,7 @@ def propose_insights(columns: DataFrame) -> list[Insight]:
     for d in (d for d in dimensions[:2] if d["cardinality"] <= 100):
         text = f"distribution of {d['column']}"
         found.append(Insight("distribution", text, 0.65, d["table"], None, d["column"]))
-    for m in measures[:1]:
+    for m in summable(measures[:1]):
         for s in by_role.get("status", [])[:1]:
             if s["table"] == m["table"]:
                 text = f"{m['column']} for the most frequent {s['column']}"
@@ -65,7 +76,7 @@ def run_insight(ds: Dataset, insight: Insight) -> DataFrame:
     """The insight's rows: ``key`` and ``value``."""
     rows = ds.table(insight.table)
     if insight.kind == "trend":
-        bucket = F.date_trunc(insight.grain, column(insight.dimension)).alias("key")
+        bucket = F.date_trunc(insight.grain, column(insight.dimension).cast("timestamp")).alias("key")
         return rows.groupBy(bucket).agg(F.sum(column(insight.measure)).alias("value")).orderBy("key")
     key = column(insight.dimension).alias("key")
     if insight.kind == "distribution":

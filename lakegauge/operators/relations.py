@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lakegauge.dataset import Dataset, column, constant_rows
+from lakegauge.functions.storage import cut
 from lakegauge.functions.text import name_similarity
 from lakegauge.functions.types import join_family
 
@@ -155,8 +156,12 @@ def accepted(facts: DataFrame) -> DataFrame:
 
 
 def infer_relationships(frequency: DataFrame, structural: DataFrame) -> DataFrame:
-    pairs = same_name_candidates(structural).unionByName(similar_candidates(structural))
-    return accepted(edge_facts(frequency, pairs))
+    return accepted(edge_facts(frequency, candidate_pairs(structural)))
+
+
+def candidate_pairs(structural: DataFrame) -> DataFrame:
+    """All pairs worth measuring, written once because every step reads them."""
+    return cut(same_name_candidates(structural).unionByName(similar_candidates(structural)))
 
 
 def declared_pairs(ds: Dataset, structural: DataFrame) -> DataFrame:

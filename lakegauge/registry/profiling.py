@@ -301,9 +301,7 @@ def _(spark, sf_dir):
     select=f"SELECT {PAIRS_SQL}, round(overlap_ratio, 6) AS overlap_ratio FROM facts WHERE overlap_ratio > 0"))
 def _(spark, sf_dir):
     known = Profile(load(spark, sf_dir, *STAR))
-    pairs = relations.same_name_candidates(known.structural).unionByName(
-        relations.similar_candidates(known.structural))
-    facts = relations.edge_facts(known.frequency, pairs).where("overlap_ratio > 0")
+    facts = relations.edge_facts(known.frequency, relations.candidate_pairs(known.structural)).where("overlap_ratio > 0")
     return facts.select(*PAIR_COLUMNS, F.round("overlap_ratio", 6).alias("overlap_ratio"))
 
 
