@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lakegauge.dataset import Dataset, column, constant_rows
+from lakegauge.functions.numbers import rounded
 from lakegauge.functions.text import jaccard, name_tokens
 from lakegauge.plans.kpis import pack_kpis
 from lakegauge.plans.packs import GENERIC_NAME_TOKENS, PACKS, Pack, expected_roles
@@ -57,7 +58,7 @@ def role_scores(columns: DataFrame, pack: Pack) -> DataFrame:
         .when(F.array_contains("expected", F.col("guessed_role")), 1.0)
         .otherwise(0.25)
     )
-    score = F.round(F.least(F.lit(1.0), F.lit(0.55) * name_score + F.lit(0.45) * type_score), 4)
+    score = rounded(F.least(F.lit(1.0), F.lit(0.55) * name_score + F.lit(0.45) * type_score), 4)
     return rows.select("table", "column", "ordinal", "guessed_role", "role", score.alias("score"))
 
 
@@ -232,7 +233,7 @@ def pack_scores(columns: DataFrame, packs: tuple[Pack, ...] = PACKS) -> DataFram
         + WEIGHTS["table_count"] * in_range
     )
     counted = sizes.withColumn("_one", F.lit(1)).join(tables.withColumn("_one", F.lit(1)), "_one")
-    return counted.join(hits, "pack", "left").select("pack", F.round(score, 4).alias("score"))
+    return counted.join(hits, "pack", "left").select("pack", rounded(score, 4).alias("score"))
 
 
 def pack_ranking(scores: DataFrame) -> DataFrame:

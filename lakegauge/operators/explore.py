@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from lakegauge.dataset import Dataset, column, constant_rows
+from lakegauge.functions.numbers import rounded
 from lakegauge.operators.profile import check_column
 from lakegauge.plans.metrics import MAX_ROWS, _aggregate
 
@@ -119,7 +120,7 @@ def coverage_summary(ds: Dataset, table: str, name: str, candidates: list[str])
         "candidates",
         "absent",
         "real_values",
-        F.when(F.col("candidates") > 0, F.round(F.col("matched") / F.col("candidates"), 4))
+        F.when(F.col("candidates") > 0, rounded(F.col("matched") / F.col("candidates"), 4))
         .otherwise(0.0)
         .alias("coverage_ratio"),
     )

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from lakegauge.dataset import Dataset, column, quoted
 from lakegauge.functions import text as X
+from lakegauge.functions.numbers import rounded
 from lakegauge.functions.percentiles import exact_percentiles
 from lakegauge.functions.storage import cut
 from lakegauge.functions.types import NUMERIC
@@ -33,11 +34,11 @@ STATUS_NAME_HINTS = ("status", "state", "flag")
 
 
 def _percent(part: Column, whole: Column) -> Column:
-    return F.when(whole > 0, F.round(part * F.lit(100.0) / whole, 2)).otherwise(F.lit(0.0))
+    return F.when(whole > 0, rounded(part * F.lit(100.0) / whole, 2)).otherwise(F.lit(0.0))
 
 
 def _ratio(part: Column, whole: Column) -> Column:
-    return F.when(whole > 0, F.least(F.round(part.cast("double") / whole, 4), F.lit(1.0))).otherwise(
+    return F.when(whole > 0, F.least(rounded(part.cast("double") / whole, 4), F.lit(1.0))).otherwise(
         F.lit(0.0)
     )
 

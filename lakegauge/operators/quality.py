@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lakegauge.functions.numbers import rounded
 from lakegauge.functions.text import is_number_text
 from lakegauge.functions.types import NUMERIC
 
@@ -58,7 +59,7 @@ def histograms(frequency: DataFrame, structural: DataFrame) -> DataFrame:
         frequency.where(F.col("value").isNotNull())
         .join(F.broadcast(chosen), "column_id")
         .withColumn("place", F.row_number().over(place))
-        .withColumn("percent", F.round(F.col("n") / F.col("total") * 100.0, 1))
+        .withColumn("percent", rounded(F.col("n") / F.col("total") * 100.0, 1))
     )
 
 

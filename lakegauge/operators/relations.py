@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lakegauge.dataset import Dataset, column, constant_rows
+from lakegauge.functions.numbers import rounded
 from lakegauge.functions.storage import cut
 from lakegauge.functions.text import name_similarity
 from lakegauge.functions.types import join_family
@@ -125,7 +126,7 @@ def edge_facts(frequency: DataFrame, pairs: DataFrame) -> DataFrame:
         .withColumn(
             "orphan_ratio",
             F.when(
-                filled > 0, F.round((filled - F.coalesce("_rows", F.lit(0))) / filled, 4)
+                filled > 0, rounded((filled - F.coalesce("_rows", F.lit(0))) / filled, 4)
             ).otherwise(F.lit(0.0)),
         )
         .drop("_values", "_rows")
@@ -142,8 +143,8 @@ def accepted(facts: DataFrame) -> DataFrame:
     needed = F.when(
         (F.col("origin") == "same_name") | (similarity >= CLEAR_SIMILARITY), MIN_OVERLAP
     ).otherwise(MIN_OVERLAP_UNLIKE_NAMES)
-    confidence = F.when(F.col("origin") == "same_name", F.round(overlap, 3)).otherwise(
-        F.round(overlap * (0.7 + 0.3 * similarity), 3)
+    confidence = F.when(F.col("origin") == "same_name", rounded(overlap, 3)).otherwise(
+        rounded(overlap * (0.7 + 0.3 * similarity), 3)
     )
     place = Window.partitionBy("from_id").orderBy(
         F.desc("confidence"), F.desc("similarity"), "to_table", "to_column"
@@ -203,7 +204,7 @@ def check_relationship(
         F.count_if(met).alias("met_values"),
         F.coalesce(F.sum(F.when(~met, F.col("n"))), F.lit(0)).alias("orphans"),
     )
-    overlap = F.when(F.col("values") > 0, F.round(F.col("met_values") / F.col("values"), 4)).otherwise(0.0)
+    overlap = F.when(F.col("values") > 0, rounded(F.col("met_values") / F.col("values"), 4)).otherwise(0.0)
     return counts.select(
         F.lit(from_table).alias("from_table"),
         F.lit(from_column).alias("from_column"),
@@ -213,7 +214,7 @@ def check_relationship(
         F.when((F.col("rows") > 0) & (F.col("values") == F.col("rows")), "1:1")
         .otherwise("N:1")
         .alias("cardinality"),
-        F.when(F.col("rows") > 0, F.round(F.col("orphans") / F.col("rows"), 4))
+        F.when(F.col("rows") > 0, rounded(F.col("orphans") / F.col("rows"), 4))
         .otherwise(0.0)
         .alias("orphan_ratio"),
         (overlap >= MIN_OVERLAP).alias("verified"),

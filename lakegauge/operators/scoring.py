@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lakegauge.functions.numbers import rounded
 from lakegauge.functions.text import ANSWER_NUMBER_PATTERN, contains_any
 
 # --- fixed values: phrases that qualify an answer ---
@@ -57,7 +58,7 @@ def score_tool(calls: Column, expected: Column) -> Column:
 
 
 def _percent(part: Column, whole: Column) -> Column:
-    return F.when(whole > 0, F.round(F.lit(100.0) * part / whole, 1))
+    return F.when(whole > 0, rounded(F.lit(100.0) * part / whole, 1))
 
 
 def eval_summary(results: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakegauge.dataset import column, constant_rows
+from lakegauge.functions.numbers import rounded
 
 
 @dataclass(frozen=True)
@@ -182,7 +183,7 @@ def _value(out: Output, bindings: Bindings, keep: Column | None) -> Column:
         hits = F.sum(F.when(bindings.has(out.role, out.value_set), 1).otherwise(0))
         if out.op == "hits":
             return hits
-        return F.round(F.lit(100.0) * hits.cast("double") / F.nullif(F.count(F.lit(1)), F.lit(0)), 2)
+        return rounded(F.lit(100.0) * hits.cast("double") / F.nullif(F.count(F.lit(1)), F.lit(0)), 2)
     source = kept(bindings.col(out.role))
     if out.op == "sum":
         return F.sum(source)

@@ -14,12 +14,12 @@ from lakegauge.operators import binding, explore, gates, insights, relations, sc
 from lakegauge.operators.profile import Profile, structural_columns
 from lakegauge.plans import kpis as K
 from lakegauge.plans.packs import (
-    GENERIC_NAME_TOKENS, MONEY_WORDS, PACKS, RETAIL, expected_roles,
+    GENERIC_NAME_TOKENS, PACKS, RETAIL, expected_roles,
 )
 from lakegauge.registry.base import (
     EVERY, RELATIONS, SCHEMAS, columns_ctes, load, quote, structural_ctes, table, with_, words,
 )
-from lakegauge.registry.derived import ALL_SCHEMAS, SOURCES, SQL, derive
+from lakegauge.registry.derived import ALL_SCHEMAS, SOURCES, derive
 from lakegauge.sources import files, sinks
 
 QUERIES: dict = {}
@@ -371,9 +371,6 @@ def _(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-MONEY_ROLES = [r for r, meaning in RETAIL.roles.items() if any(w in meaning.lower() for w in MONEY_WORDS)]
-
-
 @query("gate_money_range",
        "SELECT 'revenue_amount' AS role, 'l_discount' AS \"column\", CASE WHEN min(l_discount) >= 0 AND max(l_discount) <= 100 THEN 'error' ELSE 'pass' END AS severity FROM lineitem "
        "UNION ALL SELECT 'payment_channel', 'l_extendedprice', CASE WHEN min(l_extendedprice) >= 0 AND max(l_extendedprice) <= 100 THEN 'error' ELSE 'pass' END FROM lineitem")
@@ -566,7 +563,10 @@ def _(spark, sf_dir):
     return scoring.eval_summary(_results(spark, sf_dir))
 
 
-_LONG = "UNPIVOT INCLUDE NULLS {t} ON answer_accuracy, capability_coverage, false_confidence_rate, refusal_correctness, tool_selection_precision INTO NAME measure VALUE v"
+_LONG = (
+    "SELECT dataset, measure, v FROM {t} UNPIVOT INCLUDE NULLS (v FOR measure IN (answer_accuracy, capability_coverage, "
+    "false_confidence_rate, refusal_correctness, tool_selection_precision))"
+)
 
 
 @query("eval_diff", with_(

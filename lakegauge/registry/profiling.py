@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakegauge.dataset import Dataset, DeclaredKey, constant_rows
+from lakegauge.dataset import Dataset, DeclaredKey
 from lakegauge.operators import grain, graph, profile, quality, relations, temporal
 from lakegauge.operators.frequency import named, value_frequency
 from lakegauge.operators.profile import Profile, structural_columns
 from lakegauge.registry.base import (
-    BOTH, COLUMNS, EVERY, FACT, GRAPH, MOST, RELATIONS, SALES, STAR, columns_ctes, frequency_ctes, grain_ctes,
-    load, path_ctes, structural_ctes, with_, words,
+    BOTH, EVERY, FACT, GRAPH, MOST, RELATIONS, SALES, STAR, columns_ctes, frequency_ctes, grain_ctes,
+    load, path_ctes, schema_columns, structural_ctes, with_, words,
 )
-from lakegauge.registry.derived import ALL_SCHEMAS, SOURCES, SQL, derive
+from lakegauge.registry.derived import ALL_SCHEMAS, SOURCES, derive
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -130,8 +130,6 @@ def _(spark, sf_dir):
 
 
 def _quartile_sql() -> str:
-    from lakegauge.registry.base import schema_columns
-
     parts = [
         f"SELECT '{c['table']}' AS \"table\", '{c['column']}' AS \"column\", "
         + ", ".join(
