@@ -14,11 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SKETCH_ACCURACY = 100_000
-BRACKET_HALF_WIDTH = 3.0 / SKETCH_ACCURACY
-"""Three times the rank error the sketch guarantees, on each side."""
-SMALL_GROUP = 4 * SKETCH_ACCURACY
-"""In a smaller group a bracket could be narrower than one rank: rank it all."""
+from lakegauge.functions.storage import estimated_bytes
+
+LARGE_INPUT_BYTES = 64 << 30
+ACCURACY = (10_000, 200_000)
+"""Sketch accuracy for ordinary and for large inputs: ranks are off by at most
+one part in that many, so a large input still leaves few values to rank."""
 
 
 def exact_percentiles(
@@ -36,14 +37,18 @@ def exact_percentiles(
     rows = df.where(F.col(value).isNotNull()).select(
         *keys, F.col(value).cast("double").alias("_v")
     )
-    lows = [max(0.0, p - BRACKET_HALF_WIDTH) for p in points]
-    highs = [min(1.0, p + BRACKET_HALF_WIDTH) for p in points]
+    accuracy = ACCURACY[estimated_bytes(df) > LARGE_INPUT_BYTES]
+    # three times the guaranteed rank error on each side; in a group of fewer
+    # than four ranks per error step a bracket could miss a rank: rank it all
+    margin, small_group = 3.0 / accuracy, 4 * accuracy
+    lows = [max(0.0, p - margin) for p in points]
+    highs = [min(1.0, p + margin) for p in points]
     sketch = rows.groupBy(*keys).agg(
-        F.percentile_approx("_v", lows + highs, SKETCH_ACCURACY).alias("_sketch"),
+        F.percentile_approx("_v", lows + highs, accuracy).alias("_sketch"),
         F.count(F.lit(1)).alias("_total"),
     )
     # one row per group: the brackets of all points; null where all is ranked
-    large = F.col("_total") > SMALL_GROUP
+    large = F.col("_total") > small_group
     count = len(points)
     brackets = sketch.select(
         *[F.col(k).alias(f"_b_{k}") for k in keys],

@@ -27,11 +27,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and return the written table."""
+def cut(df: DataFrame, catalogue: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and return the written table.
+
+    ``catalogue`` marks results with a row per column, table or edge: they go
+    into one file, so that reading them back takes one task.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.coalesce(1) if catalogue else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -9,12 +9,13 @@ from math import prod
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakegauge.dataset import Dataset, constant_rows, quoted
+from lakegauge.dataset import Dataset, column, constant_rows, quoted
+from lakegauge.functions.types import TEXT, family
 from lakegauge.operators.frequency import key_sql
 
 MAX_KEY_CANDIDATES = 6
-WITNESS_ROWS = 4_000_000
-"""Rows per combination that the first, cheap duplicate search looks at."""
+WITNESS_ROWS = (50_000, 5_000_000)
+"""Rows per combination that the cheap duplicate searches look at, in turn."""
 
 GRAIN_SCHEMA = "table string, grain_columns array<string>, description string, confidence double"
 
@@ -70,18 +71,18 @@ def full_row(structural: DataFrame) -> DataFrame:
     )
 
 
-def _has_duplicate(df: DataFrame, combos: list[tuple[str, ...]], share: int) -> set[tuple[str, ...]]:
-    """Combinations with a repeated or null key, all tested in one shuffle.
+def _repeated(df: DataFrame, combos: list[tuple[str, ...]], share: int) -> set[tuple[str, ...]]:
+    """Combinations with a repeated or null key among one ``share`` of the rows.
 
-    With ``share`` above 1 only the rows are read whose leading column hashes
-    into one of ``share`` classes.  All copies of a key fall into the same
-    class, so a repeat found there is a repeat in the table; a combination
-    without one has to be tested on the whole table.
+    Reads the rows whose leading column hashes into one of ``share`` classes.
+    All copies of a key fall into the same class, so a repeat found there is a
+    repeat in the table; a combination without one is still open.  All
+    combinations go through one shuffle.
     """
     cells = []
     for i, combo in enumerate(combos):
         joined = " || '|' || ".join(f"cast({quoted(c)} as string)" for c in combo)
-        wanted = f"pmod(xxhash64({quoted(combo[0])}), {share}) = 0" if share > 1 else "true"
+        wanted = f"pmod(xxhash64({quoted(combo[0])}), {share}) = 0"
         cells.append(f"if({wanted}, struct({i} as combo, {joined} as key), null)")
     keys = df.selectExpr(f"inline(filter(array({', '.join(cells)}), c -> c is not null))")
     keys = keys.selectExpr("combo", f"{key_sql('key')} as key")
@@ -92,24 +93,46 @@ def _has_duplicate(df: DataFrame, combos: list[tuple[str, ...]], share: int) ->
     return {combos[r["combo"]] for r in repeated.where("repeated").collect()}
 
 
+def _is_unique(df: DataFrame, combo: tuple[str, ...]) -> bool:
+    """The exact test over the whole table.
+
+    Keys compare as their texts joined by pipes.  Unless two of the columns
+    are text that is the same as comparing the columns themselves.
+    """
+    texts = [c for c in combo if family(df.schema[c].dataType) == TEXT]
+    if len(texts) > 1:
+        joined = " || '|' || ".join(f"cast({quoted(c)} as string)" for c in combo)
+        keys, parts = df.selectExpr(f"{key_sql('(' + joined + ')')} as key"), ["key"]
+    else:
+        keys, parts = df.select(*[column(c) for c in combo]), list(combo)
+    counted = keys.groupBy(*[column(c) for c in parts]).agg(F.count(F.lit(1)).alias("_n"))
+    broken = F.col("_n") > 1
+    for part in parts:
+        broken = broken | column(part).isNull()
+    return not counted.where(broken).limit(1).collect()
+
+
 def composite_key(
     df: DataFrame, cardinality: dict[str, int], rows: int
 ) -> tuple[str, ...] | None:
-    """The first pair, else triple, of the ordered candidates that is unique."""
+    """The first pair, else triple, of the ordered candidates that is unique.
+
+    Most combinations are refuted on a small share of the rows; only the rest
+    are tested on the whole table, in order, until one is unique.
+    """
     for size in (2, 3):
         # fewer value combinations than rows cannot be unique
         combos = [
             c for c in combinations(cardinality, size) if prod(cardinality[k] for k in c) >= rows
         ]
-        share = rows // WITNESS_ROWS
-        if combos and share > 1:
-            repeated = _has_duplicate(df, combos, share)
-            combos = [c for c in combos if c not in repeated]
-        if combos:
-            repeated = _has_duplicate(df, combos, 1)
-            combos = [c for c in combos if c not in repeated]
-        if combos:
-            return combos[0]
+        for looked_at in WITNESS_ROWS:
+            share = rows // looked_at
+            if combos and share > 1:
+                repeated = _repeated(df, combos, share)
+                combos = [c for c in combos if c not in repeated]
+        for combo in combos:
+            if _is_unique(df, combo):
+                return combo
     return None
 
 
@@ -133,8 +156,7 @@ def key_candidates(structural: DataFrame) -> DataFrame:
 def composite_keys(ds: Dataset, structural: DataFrame) -> DataFrame:
     """Composite keys of the tables that have no single one.
 
-    Reads a catalogue-sized list of candidates, then tests each table with at
-    most four jobs whatever the number of combinations.
+    Reads a catalogue-sized list of candidates, at most six per table.
     """
     found = []
     for row in key_candidates(structural).collect():

@@ -60,7 +60,7 @@ def build_edges(
     edges = infer_relationships(frequency, structural)
     if ds.declared_keys:
         edges = merge_edges(declared_edges(ds, frequency, structural), edges)
-    edges = cut(edges)
+    edges = cut(edges, catalogue=True)
     return mark_bridges(edges.withColumn("verified", F.lit(True)), grains).select(*EDGE_COLUMNS)
 
 
@@ -182,7 +182,7 @@ def join_paths(edges: DataFrame, start: str, max_hops: int | None = None) -> Dat
             .where("_place = 1")
             .select(F.col("to_table").alias("table"), F.lit(hops).alias("hops"), "path")
         )
-        frontier = cut(wider)
+        frontier = cut(wider, catalogue=True)
         if frontier.isEmpty():
             break
         reached = reached.unionByName(frontier)

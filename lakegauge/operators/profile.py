@@ -373,30 +373,30 @@ class Profile:
 
     @cached_property
     def structural(self) -> DataFrame:
-        return cut(structural_columns(self.ds, self.frequency, self.pii))
+        return cut(structural_columns(self.ds, self.frequency, self.pii), catalogue=True)
 
     @cached_property
     def grains(self) -> DataFrame:
         from lakegauge.operators.grain import infer_grains
 
-        return cut(infer_grains(self.ds, self.structural))
+        return cut(infer_grains(self.ds, self.structural), catalogue=True)
 
     @cached_property
     def columns(self) -> DataFrame:
         labelled = promote_labels(self.structural, self.grains)
-        return cut(with_second_role(with_fingerprint(labelled)))
+        return cut(with_second_role(with_fingerprint(labelled)), catalogue=True)
 
     @cached_property
     def edges(self) -> DataFrame:
         from lakegauge.operators.graph import build_edges
 
-        return cut(build_edges(self.ds, self.frequency, self.structural, self.grains))
+        return cut(build_edges(self.ds, self.frequency, self.structural, self.grains), catalogue=True)
 
     @cached_property
     def entities(self) -> DataFrame:
         from lakegauge.operators.graph import build_entities
 
-        return cut(build_entities(self.columns, self.grains, self.edges))
+        return cut(build_entities(self.columns, self.grains, self.edges), catalogue=True)
 
     @cached_property
     def quartiles(self) -> DataFrame:

@@ -162,7 +162,8 @@ def infer_relationships(frequency: DataFrame, structural: DataFrame) -> DataFram
 
 def candidate_pairs(structural: DataFrame) -> DataFrame:
     """All pairs worth measuring, written once because every step reads them."""
-    return cut(same_name_candidates(structural).unionByName(similar_candidates(structural)))
+    every = same_name_candidates(structural).unionByName(similar_candidates(structural))
+    return cut(every, catalogue=True)
 
 
 def declared_pairs(ds: Dataset, structural: DataFrame) -> DataFrame:

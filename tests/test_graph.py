@@ -67,13 +67,19 @@ def test_nullable_composite_is_no_key(spark):
 
 def test_composite_search_by_hash_class(spark, monkeypatch):
     # every combination goes through the cheap search first, and the key survives it
-    monkeypatch.setattr(grain, "WITNESS_ROWS", 50)
+    monkeypatch.setattr(grain, "WITNESS_ROWS", (50, 300))
     df = spark.range(1000).selectExpr("id div 10 as a", "id % 10 as b", "id % 7 as c", "id div 200 as d")
     cards = {"a": 100, "b": 10, "c": 7, "d": 5}
     assert grain.composite_key(df, cards, 1000) == ("a", "b")
     assert grain.composite_key(df.unionAll(df.limit(1)), cards, 1001) is None
 
 
+def test_composite_of_two_texts_compares_joined_texts(spark):
+    # joined by pipes both rows read a|b|c
+    df = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), ("a", "c")], "x string, y string")
+    assert grain.composite_key(df, {"x": 2, "y": 2}, 3) is None
+
+
 def test_near_unique_and_full_row(spark):
     near = Dataset({"t": spark.range(1000).selectExpr("cast(greatest(id, 1) as string) as code", "cast(greatest(id, 1) % 2 as string) as side")})
     got = Profile(near).grains.first()

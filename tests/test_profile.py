@@ -132,9 +132,7 @@ def test_exact_percentiles_of_large_skewed_groups(spark, monkeypatch):
     # brackets in use: a third of all rows is one value
     from lakegauge.functions import percentiles as P
 
-    monkeypatch.setattr(P, "SKETCH_ACCURACY", 1000)
-    monkeypatch.setattr(P, "BRACKET_HALF_WIDTH", 0.003)
-    monkeypatch.setattr(P, "SMALL_GROUP", 4000)
+    monkeypatch.setattr(P, "ACCURACY", (1000, 1000))
     random.seed(5)
     values = [5.0] * 10_000 + [round(random.expovariate(0.1), 2) for _ in range(20_000)]
     df = spark.createDataFrame([(v,) for v in values], "v double").repartition(6)
