@@ -80,12 +80,16 @@ def _repeated(df: DataFrame, combos: list[tuple[str, ...]], share: int) -> set[t
     combinations go through one shuffle.
     """
     cells = []
+    chosen = {c[0]: f"pmod(xxhash64({quoted(c[0])}), {share}) = 0" for c in combos}
     for i, combo in enumerate(combos):
         joined = " || '|' || ".join(f"cast({quoted(c)} as string)" for c in combo)
-        wanted = f"pmod(xxhash64({quoted(combo[0])}), {share}) = 0"
-        cells.append(f"if({wanted}, struct({i} as combo, {joined} as key), null)")
-    keys = df.selectExpr(f"inline(filter(array({', '.join(cells)}), c -> c is not null))")
-    keys = keys.selectExpr("combo", f"{key_sql('key')} as key")
+        cells.append(f"{i}, {chosen[combo[0]]}, if({chosen[combo[0]]}, {joined}, null)")
+    keys = (
+        df.where(" or ".join(chosen.values()))
+        .selectExpr(f"stack({len(combos)}, {', '.join(cells)}) as (combo, chosen, key)")
+        .where("chosen")
+        .selectExpr("combo", f"{key_sql('key')} as key")
+    )
     counted = keys.groupBy("combo", "key").agg(F.count(F.lit(1)).alias("n"))
     repeated = counted.groupBy("combo").agg(
         F.bool_or((F.col("n") > 1) | F.col("key").isNull()).alias("repeated")
