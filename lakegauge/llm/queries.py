@@ -42,7 +42,7 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = tokens.token_files(read(spark, sf_dir, "documents"), tokenizer_path())
+    found = tokens.token_files(read(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
     return found.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 

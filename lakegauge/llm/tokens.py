@@ -16,13 +16,13 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -172,14 +172,15 @@ class Encoder:
         byte_level = spec.get("pre_tokenizer") or {}
         self.by_word = (
             spec.get("normalizer") is None and byte_level.get("type") == "ByteLevel" and not byte_level.get("add_prefix_space")
-            and byte_level.get("use_regex", True)
+            and byte_level.get("use_regex", True) and (spec.get("model") or {}).get("type") == "BPE"
             and not any(" " in t["content"] or t.get("lstrip") or t.get("rstrip") for t in spec.get("added_tokens", []))
         )
         size = self.tokenizer.get_vocab_size()
         self.bits = max(1, int(size - 1).bit_length())
-        self.spaced = np.zeros(size, bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.spaced[i] = token.startswith("Ġ")
+        # characters that stand for bytes in a byte-level vocabulary: printable ones for themselves, the rest from 256 on
+        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in own]
+        self.mapped = {b: b for b in own} | {b: 256 + i for i, b in enumerate(rest)}
         self.known: dict[str, int] = {}
         self.flat = np.zeros(1 << 20, np.uint32)
         self.used = 0
@@ -197,15 +198,16 @@ class Encoder:
             stems.append(w[:-1] if tail else w)
             tails.append(tail)
         fresh = list(dict.fromkeys(w for w in stems if w not in self.known))
-        if fresh:
-            joined = np.array(self.tokenizer.encode(" " + " ".join(fresh), add_special_tokens=False).ids, np.uint32)
-            begins = np.flatnonzero(self.spaced[joined])
-            if len(begins) == len(fresh) and begins[0] == 0:
-                lengths = np.diff(np.append(begins, len(joined)))
-            else:
-                own = self._whole([" " + w for w in fresh])
-                joined, lengths = np.concatenate(own), np.array([len(x) for x in own])
-            self._add(fresh, joined, lengths)
+        plain = [w for w in fresh if w.isalpha()]  # letters after a space are one piece, which the model takes as it is
+        if plain:
+            tokenize, mapped = self.tokenizer.model.tokenize, self.mapped
+            found = [[t.id for t in tokenize("Ġ" + w.encode().decode("latin-1").translate(mapped))] for w in plain]
+            lengths = np.fromiter(map(len, found), np.int64, len(found))
+            self._add(plain, np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths)
+        others = [w for w in fresh if not w.isalpha()]
+        if others:
+            own = self._whole([" " + w for w in others])
+            self._add(others, np.concatenate(own), np.array([len(x) for x in own]))
         for tail in ".,":
             ended = [w for w, t in zip(words, tails) if t == tail and w not in self.known]
             if ended:
@@ -352,9 +354,11 @@ def write_token_files(
     )
 
 
-def read_token_files(spark, path: str) -> DataFrame:
+def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     """Rows (id, start, n_tokens, ids_crc32, ids) in each shard's order, decoded from its wavelet matrix.
 
+    Without ``with_ids`` the ids are decoded and summed up but not returned.
+
     ``start`` counts the ids of all documents before it: within a shard from its
     document ends, and before the shard from the shards' sizes, of which there is
     a row each.
@@ -376,22 +380,21 @@ def read_token_files(spark, path: str) -> DataFrame:
                 crcs = [zlib.crc32(ids[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]
                 doc_ids = batch.column("doc_ids").slice(i, 1).flatten()
                 shard = [np.full(len(ends), batch.column(c)[i].as_py(), np.int32) for c in ("part", "number")]
-                lists = pa.ListArray.from_arrays(pa.array(np.append(starts, ends[-1:]), pa.int32()), pa.array(ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays(
-                    [*map(pa.array, shard), doc_ids, pa.array(starts), pa.array(ends - starts), pa.array(crcs, pa.int64()), lists],
-                    ["part", "number", "id", "within", "n_tokens", "ids_crc32", "ids"],
-                )
+                values = [*map(pa.array, shard), doc_ids, pa.array(starts), pa.array(ends - starts), pa.array(crcs, pa.int64())]
+                if with_ids:
+                    values.append(pa.ListArray.from_arrays(pa.array(np.append(starts, ends[-1:]), pa.int32()), pa.array(ids.astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(values, ["part", "number", "id", "within", "n_tokens", "ids_crc32", "ids"][: len(values)])
 
     decoded = files.select("part", "number", "doc_ids", "file").mapInArrow(
-        run, f"part int, number int, id {kind}, within long, n_tokens long, ids_crc32 long, ids array<int>"
+        run, f"part int, number int, id {kind}, within long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
     )
     return decoded.join(placed, ["part", "number"]).select(
-        "id", (F.col("shard_start") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", "ids"
+        "id", (F.col("shard_start") + F.col("within")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids
     )
 
 
-def token_files(docs: DataFrame, tokenizer: str, **options) -> DataFrame:
+def token_files(docs: DataFrame, tokenizer: str, with_ids: bool = True, **options) -> DataFrame:
     """Write ``docs`` as token files in the shared folder and read them back; an empty table gives no rows."""
     path = new_path(docs.sparkSession, "tokens")
     write_token_files(docs, path, tokenizer, **options)
-    return read_token_files(docs.sparkSession, path)
+    return read_token_files(docs.sparkSession, path, with_ids)
