@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakegauge.llm import decontaminate, mixing, simhash, tokens, warc
-from lakegauge.llm.common import read
+from lakegauge.llm import decontaminate, extraction, language, mixing, quality, simhash, tokens, toxicity, warc
+from lakegauge.llm.common import crc_bucket, read
 
 #: File of the tokenizer in the public collection that the workers have.
 TOKENIZER = "byte_bpe_50k.json"
@@ -23,6 +23,37 @@ def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "fingerprint", "component_id")
 
 
+def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = quality.train(docs, labels, keep=crc_bucket(F.col("id"), 5) != 0)
+    scored = docs.select(
+        "doc_id", (crc_bucket(F.col("doc_id"), 5) == 0).alias("held_out"), quality.quality(spark, model, F.col("text")).alias("score")
+    )
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = crc_bucket(F.col("doc_id"), 4) == 2
+    model = language.train(docs, keep=~held_out)
+    found = docs.select("doc_id", held_out.alias("held_out"), language.identify(spark, model, F.col("text")).alias("found"))
+    return found.select("doc_id", "held_out", "found.lang_pred", "found.score", "found.ambiguous")
+
+
+def toxicity_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels, keep=crc_bucket(F.col("id"), 5) != 0)
+    scored = docs.select(
+        "doc_id", (crc_bucket(F.col("doc_id"), 5) == 0).alias("held_out"), toxicity.toxicity(spark, model, F.col("text")).alias("score")
+    )
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extraction.extract(read(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.planned(read(spark, sf_dir, "documents"))
     mix = F.col("mix")
@@ -57,10 +88,14 @@ def warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash_near_dedup,
+    "op2_quality_classifier": quality_classifier,
+    "op3_language_id": language_id,
     "op4_mixture": mixture,
+    "op5_html_extraction": html_extraction,
     "op6_decontamination": decontamination,
     "op8_token_files": token_files,
     "op9_warc": warc_archive,
+    "op10_toxicity": toxicity_classifier,
 }
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

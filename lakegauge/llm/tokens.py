@@ -21,6 +21,7 @@ from itertools import chain, islice
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -153,6 +154,10 @@ _ODD_SPACE = (
 )
 
 
+_PIECE = regex.compile(r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+|\n")
+_SIMPLE = regex.compile(r"[^\s]+(?:\n[^\s]+)*")
+
+
 class Encoder:
     """Ids of whole texts; each distinct word between spaces goes through the tokenizer once.
 
@@ -177,6 +182,8 @@ class Encoder:
         )
         size = self.tokenizer.get_vocab_size()
         self.bits = max(1, int(size - 1).bit_length())
+        self.added = [t["content"] for t in spec.get("added_tokens", [])]
+        self.pieces: dict[str, list[int]] = {}
         # characters that stand for bytes in a byte-level vocabulary: printable ones for themselves, the rest from 256 on
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in own]
@@ -190,6 +197,27 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _piece(self, text: str) -> list[int]:
+        """Ids of one piece of the byte-level splitting, from the model itself."""
+        ids = self.pieces.get(text)
+        if ids is None:
+            ids = [t.id for t in self.tokenizer.model.tokenize(text.encode().decode("latin-1").translate(self.mapped))]
+            if len(text) < 8 and len(self.pieces) < KEPT_WORDS // 4:
+                self.pieces[text] = ids
+        return ids
+
+    def _pieces(self, word: str) -> list[int] | None:
+        """Ids of a space and a word, or None where the splitting has more cases than letters, digits, signs and a line end."""
+        if word.isalpha():
+            return [t.id for t in self.tokenizer.model.tokenize("Ġ" + word.encode().decode("latin-1").translate(self.mapped))]
+        if "'" in word or not _SIMPLE.fullmatch(word) or any(t in word for t in self.added):
+            return None
+        first, *rest = _PIECE.findall(word)
+        ids = list(self._piece(" " + first))
+        for piece in rest:
+            ids += self._piece(piece)
+        return ids
+
     def _learn(self, words: list[str]) -> None:
         """Add words, each to be read with the space before it."""
         stems, tails = [], []
@@ -198,16 +226,14 @@ class Encoder:
             stems.append(w[:-1] if tail else w)
             tails.append(tail)
         fresh = list(dict.fromkeys(w for w in stems if w not in self.known))
-        plain = [w for w in fresh if w.isalpha()]  # letters after a space are one piece, which the model takes as it is
-        if plain:
-            tokenize, mapped = self.tokenizer.model.tokenize, self.mapped
-            found = [[t.id for t in tokenize("Ġ" + w.encode().decode("latin-1").translate(mapped))] for w in plain]
+        found = [self._pieces(w) for w in fresh]
+        whole = [w for w, ids in zip(fresh, found) if ids is None]
+        if whole:
+            own = iter(self._whole([" " + w for w in whole]))
+            found = [next(own).tolist() if ids is None else ids for ids in found]
+        if fresh:
             lengths = np.fromiter(map(len, found), np.int64, len(found))
-            self._add(plain, np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths)
-        others = [w for w in fresh if not w.isalpha()]
-        if others:
-            own = self._whole([" " + w for w in others])
-            self._add(others, np.concatenate(own), np.array([len(x) for x in own]))
+            self._add(fresh, np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths)
         for tail in ".,":
             ended = [w for w, t in zip(words, tails) if t == tail and w not in self.known]
             if ended:
