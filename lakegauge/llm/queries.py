@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakegauge.llm import decontaminate, extraction, language, mixing, quality, simhash, tokens, toxicity, warc
+from lakegauge.llm import decontaminate, extraction, language, mixing, quality, simhash, tokens, toxicity, vectors, warc
 from lakegauge.llm.common import crc_bucket, read
 
 #: File of the tokenizer in the public collection that the workers have.
@@ -72,6 +72,13 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vectors.near_duplicates(read(spark, sf_dir, "embeddings"))
+    return found.select(
+        F.col("id").alias("vec_id"), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
+    )
+
+
 def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = tokens.token_files(read(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
     return found.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
@@ -93,6 +100,7 @@ QUERIES = {
     "op4_mixture": mixture,
     "op5_html_extraction": html_extraction,
     "op6_decontamination": decontamination,
+    "op7_embedding_near_dedup": embedding_near_dedup,
     "op8_token_files": token_files,
     "op9_warc": warc_archive,
     "op10_toxicity": toxicity_classifier,
@@ -159,6 +167,24 @@ SELECT d.doc_id, CAST(coalesce(len(d.w), 0) AS BIGINT) AS n_words, coalesce(n_hi
        sha256(coalesce(names, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= coalesce(len(d.w), 0) AS contaminated
 FROM doc_words d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
+    "op7_embedding_near_dedup": """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93
+), reached AS (
+  SELECT a AS vec_id, b AS other FROM links
+  UNION
+  SELECT r.vec_id, l.b FROM reached r JOIN links l ON r.other = l.a
+), counted AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a
+), lowest AS (SELECT vec_id, min(other) AS low FROM reached GROUP BY vec_id)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id,
+       vec_id = least(vec_id, coalesce(low, vec_id)) AS kept
+FROM embeddings LEFT JOIN counted USING (vec_id) LEFT JOIN lowest USING (vec_id)
 """,
     "op9_warc": """
 WITH hashed AS (SELECT page_id, coalesce(html, '') AS payload FROM pages
