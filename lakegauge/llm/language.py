@@ -120,6 +120,8 @@ def train(
     table = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     names = table.column("lang").to_pylist()
     languages = tuple(sorted(set(names)))
+    if not languages:
+        return LanguageModel((), np.zeros((0, 0), np.int8), np.zeros((GRAMS, 0), np.float32), np.zeros(0))
     number = {lang: i for i, lang in enumerate(languages)}
     seen = np.zeros((len(languages), GRAMS))
     seen[np.array([number[x] for x in names], np.int64), table.column("gram").to_numpy()] = table.column("n").to_numpy()

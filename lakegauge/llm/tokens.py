@@ -33,7 +33,7 @@ END_ID = 2
 #: A shard takes documents until it has so many ids; one longer document is a shard of its own.
 SHARD_IDS = 1 << 21
 #: Distinct words whose ids a worker keeps; others are looked up again, which changes no result.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 700_000
 
 _HEADER = struct.Struct("<4sBQQ")  # magic, planes, ids, documents
 _BLOCK = 512
@@ -100,7 +100,7 @@ class WaveletMatrix:
 
     def count(self, value: int, start: int = 0, stop: int | None = None) -> int:
         """Occurrences of ``value`` in [start, stop)."""
-        a, b = self._range(value, start, self.n if stop is None else stop)
+        a, b = self._range(value, min(start, self.n), self.n if stop is None else min(stop, self.n))
         return b - a
 
     def locate(self, value: int, k: int) -> int:
