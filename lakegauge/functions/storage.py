@@ -2,13 +2,13 @@
 
 Multi-step algorithms write an intermediate result once and read it back, so
 that later steps neither repeat the work nor depend on executors that may be
-lost.  The folder is the session's ``spark.checkpoint.dir``; only a local
-session without that setting gets a folder of its own.
+lost.  The folder is the session's ``spark.checkpoint.dir``, or lies in the
+session's warehouse where that is unset.  What is written is removed when the
+application ends.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,13 +18,12 @@ _SETTING = "spark.checkpoint.dir"
 
 def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {_SETTING} to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="lakegauge-")
-    spark.conf.set(_SETTING, folder)
-    return folder
+    return folder or spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
+
+
+def remove_at_end(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
 
 
 def cut(df: DataFrame, catalogue: bool = False) -> DataFrame:
@@ -35,7 +34,8 @@ def cut(df: DataFrame, catalogue: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
-    (df.coalesce(1) if catalogue else df).write.parquet(path)
+    remove_at_end(spark, path)
+    (df.repartition(1) if catalogue else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

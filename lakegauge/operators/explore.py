@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import threading
 from collections.abc import Callable, Iterable, Mapping
 from functools import reduce
@@ -15,9 +14,10 @@ from pyspark.sql import functions as F
 from lakegauge.dataset import Dataset, column, constant_rows
 from lakegauge.functions.numbers import rounded
 from lakegauge.operators.profile import check_column
-from lakegauge.plans.metrics import MAX_ROWS, _aggregate
+from lakegauge.plans.metrics import _aggregate
 
-MAX_GROUPS = 50
+# defaults of guarded answers; a caller's own limit holds as stated
+MAX_ROWS = 200
 MAX_SAMPLE = 15
 TIMEOUT_SECONDS = 10
 
@@ -34,8 +34,9 @@ def adhoc_aggregate(
     group_by: str | None = None,
     where: Mapping[str, Any] | None = None,
     denied: tuple[str, ...] = (),
+    limit: int | None = None,
 ) -> DataFrame:
-    """One of the nine aggregations, optionally grouped, with equality filters."""
+    """One of the nine aggregations, optionally grouped, with equality filters; all groups unless limited."""
     for name in (measure, *([group_by] if group_by else []), *(where or {})):
         check_column(ds, table, name, denied)
     rows = ds.table(table)
@@ -47,7 +48,8 @@ def adhoc_aggregate(
     )
     if not group_by:
         return found
-    return found.orderBy(F.desc_nulls_last("value"), F.asc_nulls_last("grp")).limit(MAX_GROUPS)
+    ordered = found.orderBy(F.desc_nulls_last("value"), F.asc_nulls_last("grp"))
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def sample_contains(
@@ -71,7 +73,7 @@ def sample_contains(
     if needle:
         found = [F.lower(column(c).cast("string")).contains(needle.lower()) for c in columns]
         rows = rows.where(reduce(lambda a, b: a | b, found))
-    return rows.orderBy(*[column(c) for c in columns]).limit(max(1, min(limit, MAX_SAMPLE)))
+    return rows.orderBy(*[column(c) for c in columns]).limit(limit)
 
 
 def value_set_coverage(ds: Dataset, table: str, name: str, candidates: list[str]) -> DataFrame:
@@ -143,20 +145,57 @@ def search_records(
     for name, value in (filters or {}).items():
         rows = rows.where(column(name) == value)
     order = [column(c) for c in order_by] or [column(c) for c in visible.columns]
-    return rows.orderBy(*order).limit(min(limit, MAX_ROWS))
+    return rows.orderBy(*order).limit(limit)
 
 
 # ------------------------------------------------------------------ guarded SQL
 
-_FORBIDDEN = re.compile(r"\b(reflect|java_method|try_reflect|input_file_name)\b", re.IGNORECASE)
+# functions that run code or tell where files lie
+FORBIDDEN_FUNCTIONS = frozenset({"reflect", "java_method", "try_reflect", "input_file_name"})
+_SUBQUERIES = frozenset({"ScalarSubquery", "Exists", "ListQuery", "InSubquery", "LateralSubquery"})
+
+
+def _seq(items) -> list:
+    return [items.apply(i) for i in range(items.size())]
+
+
+def _named_in(plan) -> tuple[set[tuple[str, ...]], set[str], set[str]]:
+    """Relations, functions and names of common tables of an unresolved plan, subqueries included."""
+    relations: set[tuple[str, ...]] = set()
+    functions: set[str] = set()
+    common: set[str] = set()
+    plans, expressions = [plan], []
+    while plans or expressions:
+        if plans:
+            node = plans.pop()
+            kind = node.getClass().getSimpleName()
+            if kind == "UnresolvedRelation":
+                relations.add(tuple(_seq(node.multipartIdentifier())))
+            elif kind == "UnresolvedTableValuedFunction":
+                functions.add(".".join(_seq(node.name())).lower())
+            elif kind == "UnresolvedWith":
+                for pair in _seq(node.cteRelations()):
+                    common.add(pair._1().lower())
+                    plans.append(pair._2())
+            plans += _seq(node.children())
+            expressions += _seq(node.expressions())
+        else:
+            node = expressions.pop()
+            kind = node.getClass().getSimpleName()
+            if kind == "UnresolvedFunction":
+                functions.add(_seq(node.nameParts())[-1].lower())
+            if kind in _SUBQUERIES:
+                plans.append(node.plan() if kind != "InSubquery" else node.query().plan())
+            expressions += _seq(node.children())
+    return relations, functions, common
 
 
 class GuardedSql:
     """Free SELECT statements over tables that lack their denied columns.
 
-    The statement runs in a session of its own whose only relations are views
-    without the denied columns, wrapped as a subquery: anything but a query is
-    a syntax error, and a denied column does not exist.
+    The statement is parsed alone first, so that it cannot leave the subquery it
+    is wrapped in; the parsed tree may name registered views and its own common
+    tables only.  It runs in a session whose views lack the denied columns.
     """
 
     def __init__(
@@ -175,16 +214,26 @@ class GuardedSql:
         }.items():
             self.session.conf.set(setting, value)
         self.max_rows = max_rows
+        self.views: set[str] = set()
         for name, df in load(self.session).without(denied or {}).tables.items():
             df.createOrReplaceTempView(name)
+            self.views.add(name.lower())
 
     def query(self, sql: str) -> DataFrame:
-        if _FORBIDDEN.search(sql):
+        plan = self.session._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+        wrapped = f"SELECT * FROM (\n{sql}\n) LIMIT {self.max_rows}"
+        self.session._jsparkSession.sessionState().sqlParser().parsePlan(wrapped)  # a query, not a command
+        relations, functions, common = _named_in(plan)
+        if functions & FORBIDDEN_FUNCTIONS:
             raise GuardError("the statement calls a function that is not allowed")
-        df = self.session.sql(f"SELECT * FROM (\n{sql}\n) LIMIT {self.max_rows}")
-        if "spark_catalog" in df._jdf.queryExecution().analyzed().toString():
-            raise GuardError("the statement reads a table that is not one of the views")
-        return df.limit(self.max_rows)
+        for name in relations:
+            if len(name) > 1 or name[0].lower() not in self.views | common:
+                raise GuardError(f"{'.'.join(name)} is not one of the views")
+        return self.session.sql(wrapped).limit(self.max_rows)
+
+    def rows(self, sql: str, seconds: float = TIMEOUT_SECONDS) -> list[Row]:
+        """The statement's rows, or a TimeoutError after so many seconds."""
+        return rows_within(self.query(sql), seconds, self.max_rows)
 
 
 def rows_within(df: DataFrame, seconds: float = TIMEOUT_SECONDS, max_rows: int = MAX_ROWS) -> list[Row]:

@@ -10,18 +10,7 @@ from pyspark.sql import functions as F
 from lakegauge.dataset import ColumnInfo, Dataset, quoted
 from lakegauge.functions.types import BOOLEAN, INTEGER, NUMERIC, TEMPORAL, TEXT
 
-MAX_VALUE_CHARS = 256
-"""Texts longer than this travel through the shuffle as their SHA-256."""
-
-BROADCAST_ROW_BOUND = 100_000
-
-
-def key_sql(name: str, max_value_chars: int = MAX_VALUE_CHARS) -> str:
-    """What stands for a text in the frequency table: itself, or its digest."""
-    return f"if(length(trim({name})) > {max_value_chars}, sha2({name}, 256), {name})"
-
-
-def _slots(info: ColumnInfo, max_value_chars: int) -> list[str]:
+def _slots(info: ColumnInfo) -> list[str]:
     """The value in one of three typed slots: whole number, double or text.
 
     Grouping on native types keeps the formatting of numbers and timestamps
@@ -41,7 +30,7 @@ def _slots(info: ColumnInfo, max_value_chars: int) -> list[str]:
     elif info.family == TEMPORAL:
         whole = f"unix_micros(cast({name} as timestamp))"
     elif info.family == TEXT:
-        text = key_sql(name, max_value_chars)
+        text = name
     else:
         text = f"cast({name} as string)"
     return [whole, real, text]
@@ -69,14 +58,15 @@ def _is_one_of(ids: list[int]) -> Column:
     return F.col("column_id").isin(ids) if ids else F.lit(False)
 
 
-def value_frequency(ds: Dataset, max_value_chars: int = MAX_VALUE_CHARS) -> DataFrame:
+def value_frequency(ds: Dataset) -> DataFrame:
     """``(column_id, value, number, n)`` for every scalar column of every table.
 
     ``value`` is the text of the value, ``number`` its double for numeric
     columns.  The count is combined on the map side, so a value that fills a
-    third of a column reaches the shuffle as one row per task.
+    third of a column reaches the shuffle as one row per task.  Texts are
+    counted as they are, at any length.
     """
-    cells = stacked(ds, lambda c: True, lambda c: _slots(c, max_value_chars), ("whole", "real", "text"))
+    cells = stacked(ds, lambda c: True, _slots, ("whole", "real", "text"))
     counted = cells.groupBy("column_id", "whole", "real", "text").agg(
         F.count(F.lit(1)).alias("n")
     )
@@ -107,40 +97,6 @@ def value_frequency(ds: Dataset, max_value_chars: int = MAX_VALUE_CHARS) -> Data
     )
 
 
-def restore_long_values(
-    ds: Dataset, picked: DataFrame, rows_per_column: int, max_value_chars: int = MAX_VALUE_CHARS
-) -> DataFrame:
-    """Put the whole texts back into a few picked rows of the frequency table.
-
-    ``picked`` holds at most ``rows_per_column`` rows for each column, so its
-    size is known; it is broadcast while that bound is small.
-    """
-    text_columns = [c for c in ds.columns if c.family == TEXT]
-    if not text_columns:
-        return picked
-
-    long_cells = stacked(
-        ds, lambda c: c.family == TEXT, lambda c: [quoted(c.column)], ("text",)
-    ).where(F.length(F.trim("text")) > max_value_chars)
-    digests = picked.select("column_id", F.col("value").alias("digest")).where(
-        F.length("value") == 64
-    )
-    if rows_per_column * len(text_columns) <= BROADCAST_ROW_BOUND:
-        digests = F.broadcast(digests)
-    texts = (
-        long_cells.withColumn("digest", F.sha2("text", 256))
-        .join(digests, ["column_id", "digest"])
-        .groupBy("column_id", "digest")
-        .agg(F.min("text").alias("text"))
-    )
-    return (
-        picked.withColumnRenamed("value", "digest")
-        .join(texts, ["column_id", "digest"], "left")
-        .withColumn("value", F.coalesce("text", "digest"))
-        .drop("digest", "text")
-    )
-
-
 def named(frequency: DataFrame, ds: Dataset) -> DataFrame:
     """Replace the column number by table and column name."""
     names = ds.catalog.select("column_id", "table", "column")

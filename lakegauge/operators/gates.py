@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakegauge.dataset import Dataset, column, constant_rows
-from lakegauge.functions.text import PERSONAL_VALUE_PATTERNS, contains_any
+from lakegauge.functions.text import PERSONAL_VALUE_PATTERNS
 from lakegauge.operators.relations import MIN_OVERLAP
 from lakegauge.plans.kpis import Bindings, Kpi, skipped_kpis
-from lakegauge.plans.packs import MONEY_WORDS, Pack
+from lakegauge.plans.packs import Pack
 
 # --- fixed values: unit names the rules know ---
 MONEY_UNITS = ("currency", "inr", "usd", "money", "revenue")
@@ -51,11 +51,13 @@ def gate_distribution(claims: DataFrame, columns: DataFrame) -> DataFrame:
     )
 
 
-def gate_aggregation(claims: DataFrame) -> DataFrame:
-    """Claims ``table, column, unit, aggregations`` that would sum a ratio."""
+def gate_aggregation(claims: DataFrame, columns: DataFrame) -> DataFrame:
+    """Claims ``table, column, unit, aggregations`` that would sum a ratio, or a column without any value."""
     unit = F.lower(F.trim(F.coalesce("unit", F.lit(""))))
-    wrong = unit.isin(*NON_ADDITIVE_UNITS) & F.array_contains("aggregations", "sum")
-    return claims.select(
+    sums = F.array_contains("aggregations", "sum")
+    wrong = (unit.isin(*NON_ADDITIVE_UNITS) & sums) | (F.col("cardinality") == 0)
+    joined = claims.join(columns.select("table", "column", "cardinality"), ["table", "column"])
+    return joined.select(
         "table", "column", "unit", F.when(wrong, "failed").otherwise("verified").alias("verdict")
     )
 
@@ -82,8 +84,7 @@ def gate_value_set(coverage: DataFrame) -> DataFrame:
 def gate_money_range(bindings: DataFrame, columns: DataFrame, pack: Pack, fact: str) -> DataFrame:
     """Bindings of money roles to a column whose values lie within 0 and 100."""
     spark = columns.sparkSession
-    meanings = constant_rows(spark, list(pack.roles.items()), "role string, meaning string")
-    money = meanings.where(contains_any(F.lower("meaning"), MONEY_WORDS))
+    money = constant_rows(spark, [(r,) for r in pack.money_roles], "role string")
     facts = columns.where(F.col("table") == fact).select("column", "min_value", "max_value")
     bounded = (F.col("min_value") >= 0) & (F.col("max_value") <= 100)
     return (
@@ -100,14 +101,14 @@ def gate_money_range(bindings: DataFrame, columns: DataFrame, pack: Pack, fact:
 def fact_check(
     bindings: Bindings, kpis: tuple[Kpi, ...], columns: DataFrame
 ) -> DataFrame:
-    """Bound columns that do not exist, and KPIs that cannot be compiled."""
+    """Bound columns that do not exist or hold no value, and KPIs that cannot be compiled."""
     spark = columns.sparkSession
     bound = constant_rows(spark, list(bindings.columns.items()), "role string, column string")
-    known = columns.select("column").distinct()
+    known = columns.where("cardinality > 0").select("column").distinct()
     missing = bound.join(known, "column", "left_anti").select(
         F.lit("error").alias("severity"),
         F.concat(F.lit("column:"), "role").alias("location"),
-        F.concat("column", F.lit(" is not a profiled column")).alias("message"),
+        F.concat("column", F.lit(" is not a column with values")).alias("message"),
     )
     skipped = constant_rows(
         spark,

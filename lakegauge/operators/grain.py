@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from lakegauge.dataset import Dataset, column, constant_rows, quoted
 from lakegauge.functions.types import TEXT, family
-from lakegauge.operators.frequency import key_sql
 
 MAX_KEY_CANDIDATES = 6
 WITNESS_ROWS = (50_000, 5_000_000)
@@ -88,7 +87,7 @@ def _repeated(df: DataFrame, combos: list[tuple[str, ...]], share: int) -> set[t
         df.where(" or ".join(chosen.values()))
         .selectExpr(f"stack({len(combos)}, {', '.join(cells)}) as (combo, chosen, key)")
         .where("chosen")
-        .selectExpr("combo", f"{key_sql('key')} as key")
+        .select("combo", "key")
     )
     counted = keys.groupBy("combo", "key").agg(F.count(F.lit(1)).alias("n"))
     repeated = counted.groupBy("combo").agg(
@@ -106,7 +105,7 @@ def _is_unique(df: DataFrame, combo: tuple[str, ...]) -> bool:
     texts = [c for c in combo if family(df.schema[c].dataType) == TEXT]
     if len(texts) > 1:
         joined = " || '|' || ".join(f"cast({quoted(c)} as string)" for c in combo)
-        keys, parts = df.selectExpr(f"{key_sql('(' + joined + ')')} as key"), ["key"]
+        keys, parts = df.selectExpr(f"{joined} as key"), ["key"]
     else:
         keys, parts = df.select(*[column(c) for c in combo]), list(combo)
     counted = keys.groupBy(*[column(c) for c in parts]).agg(F.count(F.lit(1)).alias("_n"))

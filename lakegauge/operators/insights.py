@@ -1,4 +1,4 @@
-"""Automatic insights: ranked aggregates proposed from the profile and run."""
+"""Automatic insights: aggregates proposed for every table from its profile, run and ranked."""
 
 from __future__ import annotations
 
@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from lakegauge.dataset import Dataset, column
 from lakegauge.functions.types import NUMERIC
 
-MAX_INSIGHTS = 10
+#: How far each kind of insight is trusted before it has run.
+SUPPORT = {"month": 0.75, "week": 0.60, "breakdown": 0.70, "distribution": 0.65, "status_sum": 0.60, "top_n": 0.60}
 
 
 @dataclass(frozen=True)
@@ -25,55 +26,52 @@ class Insight:
     grain: str | None = None
 
 
-def propose_insights(columns: DataFrame) -> list[Insight]:
-    """Candidates from the second-level roles; reads only the column catalogue.
+def candidate_insights(
+    columns: DataFrame, breakdown_values: int = 50, distribution_values: int = 100, top_values: int = 5
+) -> DataFrame:
+    """Every measure of a table against its times, dimensions and states, one row per proposal.
 
-    A measure that is text cannot be summed and a number is no moment to
-    truncate, so candidates that would need either are dropped.
+    A breakdown needs at most ``breakdown_values`` groups, a distribution at most
+    ``distribution_values``, a top list at least ``top_values``.  Text cannot be
+    summed and a number is no moment, so neither is proposed.
     """
-    listed = columns.where(~F.col("is_pii") | (F.col("understanding_role") == "timestamp")).select(
-        "table", "ordinal", "column", "cardinality", "family", "understanding_role"
+    role, numeric = F.col("understanding_role"), F.col("family").isin(*NUMERIC)
+    open_to_all = columns.where(~F.col("is_pii") | (role == "timestamp"))
+    measures = open_to_all.where((role == "measure") & numeric).select("table", F.col("column").alias("measure"))
+    others = open_to_all.where(role.isin("dimension", "status") | ((role == "timestamp") & ~numeric)).select(
+        "table", F.col("column").alias("dimension"), "cardinality", role.alias("role")
     )
-    rows = sorted(listed.collect(), key=lambda r: (r["table"], r["ordinal"]))
-    by_role: dict[str, list] = {}
-    for row in rows:
-        by_role.setdefault(row["understanding_role"], []).append(row)
-    measures = by_role.get("measure", [])
-    dimensions = [r for r in rows if r["understanding_role"] in ("dimension", "status")]
-    found: list[Insight] = []
-
-    def summable(some: list) -> list:
-        return [m for m in some if m["family"] in NUMERIC]
-
-    for time in by_role.get("timestamp", [])[:1]:
-        if time["family"] in NUMERIC:
-            continue
-        for m in (m for m in summable(measures[:2]) if m["table"] == time["table"]):
-            for grain, support in (("month", 0.75), ("week", 0.60)):
-                text = f"{grain} trend of {m['column']}"
-                found.append(Insight("trend", text, support, m["table"], m["column"], time["column"], grain))
-    for m in summable(measures[:1]):
-        near = [d for d in dimensions[:3] if d["table"] == m["table"] and d["cardinality"] <= 50]
-        for d in near:
-            text = f"{m['column']} by {d['column']}"
-            found.append(Insight("breakdown", text, 0.70, d["table"], m["column"], d["column"]))
-    for d in (d for d in dimensions[:2] if d["cardinality"] <= 100):
-        text = f"distribution of {d['column']}"
-        found.append(Insight("distribution", text, 0.65, d["table"], None, d["column"]))
-    for m in summable(measures[:1]):
-        for s in by_role.get("status", [])[:1]:
-            if s["table"] == m["table"]:
-                text = f"{m['column']} for the most frequent {s['column']}"
-                found.append(Insight("status_sum", text, 0.60, m["table"], m["column"], s["column"]))
-        for d in dimensions[:1]:
-            if d["table"] == m["table"] and d["cardinality"] >= 5:
-                text = f"top {d['column']} by {m['column']}"
-                found.append(Insight("top_n", text, 0.60, d["table"], m["column"], d["column"]))
-    return list({i.question: i for i in reversed(found)}.values())[::-1][:MAX_INSIGHTS]
-
-
-def run_insight(ds: Dataset, insight: Insight) -> DataFrame:
-    """The insight's rows: ``key`` and ``value``."""
+    pairs = measures.join(others, "table")
+    few, state = F.col("cardinality") <= breakdown_values, F.col("role") == "status"
+    moment = F.col("role") == "timestamp"
+
+    def proposal(rows: DataFrame, kind: str, *text: str, grain: str | None = None) -> DataFrame:
+        words = [F.col(w[1:]) if w.startswith("$") else F.lit(w) for w in text]
+        measure = F.col("measure") if "measure" in rows.columns else F.lit(None).cast("string")
+        return rows.select(
+            F.lit(kind).alias("kind"), F.concat(*words).alias("question"), F.lit(SUPPORT[grain or kind]).alias("support"),
+            "table", measure.alias("measure"), "dimension", F.lit(grain).cast("string").alias("grain"),
+        )
+
+    found = [proposal(pairs.where(moment), "trend", f"{g} trend of ", "$measure", " over ", "$dimension", grain=g) for g in ("month", "week")]
+    found.append(proposal(pairs.where(~moment & few), "breakdown", "$measure", " by ", "$dimension"))
+    found.append(proposal(others.where(~moment & (F.col("cardinality") <= distribution_values)), "distribution", "distribution of ", "$dimension"))
+    found.append(proposal(pairs.where(state), "status_sum", "$measure", " for the most frequent ", "$dimension"))
+    found.append(proposal(pairs.where(~moment & (F.col("cardinality") >= top_values)), "top_n", "top ", "$dimension", " by ", "$measure"))
+    return reduce(DataFrame.unionByName, found).orderBy(F.desc("support"), "table", "question")
+
+
+def propose_insights(columns: DataFrame, most: int | None = None, **bounds) -> list[Insight]:
+    """The candidates as values that can be run, the most trusted first; ``most`` is for callers who want fewer.
+
+    The list is as long as the column catalogue allows, not as the data.
+    """
+    found = candidate_insights(columns, **bounds)
+    return [Insight(**row.asDict()) for row in (found if most is None else found.limit(most)).collect()]
+
+
+def run_insight(ds: Dataset, insight: Insight, top: int = 10) -> DataFrame:
+    """The insight's rows: ``key`` and ``value``; a top list has ``top`` rows."""
     rows = ds.table(insight.table)
     if insight.kind == "trend":
         bucket = F.date_trunc(insight.grain, column(insight.dimension).cast("timestamp")).alias("key")
@@ -86,12 +84,12 @@ def run_insight(ds: Dataset, insight: Insight) -> DataFrame:
     if insight.kind == "status_sum":
         # the most frequent value and its sum come out of one aggregation
         return sums.where("key is not null").orderBy(F.desc("n"), "key").limit(1).select("key", "value")
-    limit = 20 if insight.kind == "breakdown" else 10
-    return sums.orderBy(F.desc_nulls_last("value"), F.asc_nulls_last("key")).limit(limit).select("key", "value")
+    ordered = sums.orderBy(F.desc_nulls_last("value"), F.asc_nulls_last("key")).select("key", "value")
+    return ordered.limit(top) if insight.kind == "top_n" else ordered
 
 
 def rank_insights(ds: Dataset, insights: list[Insight]) -> DataFrame:
-    """Row counts of all candidates in one union; empty ones lose half their support."""
+    """Row counts of all insights in one union; empty ones lose half their support."""
     counts = [
         run_insight(ds, i)
         .agg(F.count(F.lit(1)).alias("rows"))
@@ -100,5 +98,4 @@ def rank_insights(ds: Dataset, insights: list[Insight]) -> DataFrame:
         for i in insights
     ]
     support = F.when(F.col("rows") == 0, F.round(F.col("support") * 0.5, 2)).otherwise(F.col("support"))
-    every = reduce(DataFrame.unionByName, counts).withColumn("support", support)
-    return every.dropDuplicates(["question"]).orderBy(F.desc("support"), "question").limit(MAX_INSIGHTS)
+    return reduce(DataFrame.unionByName, counts).withColumn("support", support).orderBy(F.desc("support"), "question")

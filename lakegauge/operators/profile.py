@@ -14,9 +14,10 @@ from lakegauge.functions.numbers import rounded
 from lakegauge.functions.percentiles import exact_percentiles
 from lakegauge.functions.storage import cut
 from lakegauge.functions.types import NUMERIC
-from lakegauge.operators.frequency import stacked, named, restore_long_values, value_frequency
+from lakegauge.operators.frequency import stacked, named, value_frequency
 
 SAMPLE_VALUES = 5
+ENUM_VALUES = 20
 TOP_VALUES = 8
 MASK = "[REDACTED-PII]"
 
@@ -134,27 +135,25 @@ def top_values(ds: Dataset, frequency: DataFrame, k: int = TOP_VALUES) -> DataFr
     share to ``k`` rows per column before the shuffle.
     """
     order = Window.partitionBy("column_id").orderBy(F.desc("n"), "value")
-    picked = (
+    return (
         frequency.where(F.col("value").isNotNull())
         .select("column_id", "value", "n", F.row_number().over(order).alias("rank"))
         .where(F.col("rank") <= k)
     )
-    return restore_long_values(ds, picked, k)
 
 
 def distinct_samples(ds: Dataset, frequency: DataFrame, k: int = SAMPLE_VALUES) -> DataFrame:
     """The first ``k`` distinct values of each column in ascending order."""
     order = Window.partitionBy("column_id").orderBy("value")
-    picked = (
+    return (
         frequency.where(F.col("value").isNotNull())
         .select("column_id", "value", F.row_number().over(order).alias("rank"))
         .where(F.col("rank") <= k)
     )
-    return restore_long_values(ds, picked, k)
 
 
-def sample_facts(samples: DataFrame) -> DataFrame:
-    """What the formats need to know of a column's samples, one row per column."""
+def value_facts(frequency: DataFrame) -> DataFrame:
+    """What the formats need to know of all distinct values of a column, one row per column."""
     value = F.col("value")
     trimmed = F.trim(value)
     blank = trimmed == ""
@@ -162,20 +161,19 @@ def sample_facts(samples: DataFrame) -> DataFrame:
     def all_match(pattern: str) -> Column:
         return F.bool_and(F.when(~blank, trimmed.rlike(pattern)).otherwise(F.lit(True)))
 
-    return samples.groupBy("column_id").agg(
-        F.sort_array(F.collect_list(F.struct("rank", "value"))).alias("_samples"),
-        F.avg(F.length("value")).alias("sample_length"),
+    return frequency.where(value.isNotNull()).groupBy("column_id").agg(
+        F.avg(F.length("value")).alias("mean_length"),
         all_match(X.PHONE_PATTERN).alias("all_phone"),
         all_match(X.AADHAAR_PATTERN).alias("all_aadhaar"),
         all_match(X.PAN_PATTERN).alias("all_pan"),
         all_match(X.URL_PATTERN).alias("all_url"),
         F.bool_and(value.rlike(X.UUID_PATTERN)).alias("all_uuid"),
-        F.bool_or(value.rlike(X.CURRENCY_SIGN_PATTERN)).alias("any_currency"),
+        (F.bool_or(~blank) & all_match(X.CURRENCY_SIGN_PATTERN)).alias("all_currency"),
         (
             F.bool_or(~blank)
             & F.bool_and(F.when(~blank, F.lower(trimmed).isin(*X.BOOLEAN_WORDS)).otherwise(True))
         ).alias("all_boolean"),
-    ).withColumn("samples", F.transform("_samples", lambda s: s["value"])).drop("_samples")
+    )
 
 
 # ------------------------------------------------------------------------ roles
@@ -217,7 +215,7 @@ def keep_one_identifier(identified: DataFrame) -> DataFrame:
     """Of several identifiers in a table keep one, the others become free text.
 
     An integer or UUID-shaped column wins over the rest, then column order.
-    Needs ``all_uuid`` from :func:`sample_facts`.
+    Needs ``all_uuid`` from :func:`value_facts`.
     """
     rival = F.col("guessed_role") == "identifier"
     shaped = (F.col("family") == "integer") | F.coalesce("all_uuid", F.lit(False))
@@ -250,7 +248,7 @@ def promote_labels(columns: DataFrame, grains: DataFrame) -> DataFrame:
     labels_rows = (
         F.coalesce("_single_key", F.lit(False))
         & (card == rows)
-        & (F.coalesce("sample_length", F.lit(0.0)) < 60)
+        & (F.coalesce("mean_length", F.lit(0.0)) < 60)
     )
     few = F.greatest(F.lit(2), F.least(F.lit(50), F.floor(F.sqrt(rows.cast("double"))) * 3))
     promoted = (
@@ -268,7 +266,7 @@ def promote_labels(columns: DataFrame, grains: DataFrame) -> DataFrame:
 
 
 def with_fingerprint(columns: DataFrame) -> DataFrame:
-    """Format of a column's values; every rule needs all samples to agree.
+    """Format of a column's values; every rule needs all values to agree.
 
     A 12-digit number already counts as a phone, so the phone rule comes first.
     """
@@ -278,7 +276,7 @@ def with_fingerprint(columns: DataFrame) -> DataFrame:
         return F.coalesce(F.col(name), F.lit(False))
 
     low = F.col("min_value").cast("bigint")
-    mean_length = F.coalesce("sample_length", F.lit(0.0))
+    mean_length = F.coalesce("mean_length", F.lit(0.0))
     found = (
         F.when(
             role.isin("date", "datetime"),
@@ -298,11 +296,11 @@ def with_fingerprint(columns: DataFrame) -> DataFrame:
             ),
             "epoch",
         )
-        .when(says("any_currency"), "currency")
+        .when(says("all_currency"), "currency")
         .when(says("all_uuid"), "uuid")
         .when((role == "categorical") & (card <= 12) & (mean_length < 40), "enum")
         .when(
-            (role == "categorical") & (card <= 20) & (F.coalesce("sample_length", F.lit(999.0)) < 25),
+            (role == "categorical") & (card <= 20) & (F.coalesce("mean_length", F.lit(999.0)) < 25),
             "enum",
         )
     )
@@ -348,12 +346,9 @@ def structural_columns(
     """The profile before grain and label promotion, as one lazy plan."""
     frequency = value_frequency(ds) if frequency is None else frequency
     textual = [c.column_id for c in ds.columns if c.family not in NUMERIC]
-    samples = distinct_samples(
-        ds, frequency.where(F.col("column_id").isin(textual) if textual else F.lit(False))
-    )
+    facts = value_facts(frequency.where(F.col("column_id").isin(textual) if textual else F.lit(False)))
     identified = mark_identifiers(guess_role(column_stats(ds, frequency)))
-    with_samples = identified.join(sample_facts(samples), "column_id", "left")
-    return mark_personal(keep_one_identifier(with_samples), pii)
+    return mark_personal(keep_one_identifier(identified.join(facts, "column_id", "left")), pii)
 
 
 class Profile:
@@ -421,20 +416,20 @@ class Profile:
             .join(role, "table", "left")
             .join(grain, "table", "left")
             .withColumn("top_values", listed)
-            .drop("_top", "column_id", "family", "join_family", "samples")
+            .drop("_top", "column_id", "family", "join_family")
         )
 
 
 def vocabulary(ds: Dataset, frequency: DataFrame, columns: DataFrame) -> DataFrame:
-    """Values and counts of enum-like columns, at most eight per column."""
+    """All values and counts of enum-like columns, which have at most ``ENUM_VALUES`` by definition."""
     listed = columns.where(
         ~F.col("is_pii")
         & (
             (F.col("fingerprint") == "enum")
-            | ((F.col("guessed_role") == "categorical") & (F.col("cardinality") <= 20))
+            | ((F.col("guessed_role") == "categorical") & (F.col("cardinality") <= ENUM_VALUES))
         )
     ).select("column_id", "table", "column")
-    return top_values(ds, frequency).join(listed, "column_id").drop("column_id")
+    return top_values(ds, frequency, ENUM_VALUES).join(listed, "column_id").drop("column_id")
 
 
 def data_profile(ds: Dataset, table: str, denied: tuple[str, ...] = ()) -> DataFrame:

@@ -45,7 +45,7 @@ def eligible_columns(structural: DataFrame) -> DataFrame:
 
 
 def histograms(frequency: DataFrame, structural: DataFrame) -> DataFrame:
-    """Values of eligible columns, at most 50 a column: total, share and place.
+    """Values of eligible columns: total, share and place.
 
     The eligible columns are a part of the catalogue and are broadcast; all
     later groups are bounded by the value cap.

@@ -92,9 +92,9 @@ def similar_candidates(structural: DataFrame) -> DataFrame:
 def edge_facts(frequency: DataFrame, pairs: DataFrame) -> DataFrame:
     """Overlap, cardinality and orphan ratio of all candidate pairs in one job.
 
-    Joins the deduplicated values of child columns with those of parent
-    columns, so a value appears at most once per column on each side and no
-    value is hot however often it occurs in the tables.
+    Each deduplicated child value is given its candidate parents first and then
+    looked up there, so a value that many columns share meets only the parents
+    asked for, and none is hot however often it occurs in the tables.
     """
     values = frequency.where(F.col("value").isNotNull())
     child_ids = pairs.select(F.col("from_id").alias("column_id")).distinct()
@@ -106,9 +106,10 @@ def edge_facts(frequency: DataFrame, pairs: DataFrame) -> DataFrame:
         F.col("column_id").alias("to_id"), "value"
     )
     wanted = pairs.select("from_id", "to_id")
+    # a value meets the parents that its column is paired with, and no others
     met = (
-        children.join(parents, "value")
-        .join(wanted, ["from_id", "to_id"], "left_semi")
+        children.join(wanted, "from_id")
+        .join(parents, ["to_id", "value"])
         .groupBy("from_id", "to_id")
         .agg(F.count(F.lit(1)).alias("_values"), F.sum("n").alias("_rows"))
     )

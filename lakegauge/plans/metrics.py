@@ -14,7 +14,6 @@ from lakegauge.dataset import Dataset, column, quoted
 from lakegauge.functions.percentiles import exact_percentiles
 from lakegauge.functions.storage import fits_broadcast
 
-MAX_ROWS = 200
 TIME_GRAINS = ("day", "week", "month", "quarter", "year")
 
 AGGREGATIONS = {
@@ -114,9 +113,9 @@ def build_metric(
     group_by: str | None = None,
     time_grain: str | None = None,
     filters: Mapping[str, Any] | None = None,
-    limit: int = MAX_ROWS,
+    limit: int | None = None,
 ) -> DataFrame:
-    """``[time_bucket] [grp] value``, the largest values first.
+    """``[time_bucket] [grp] value``, the largest values first; all groups unless ``limit`` asks for the top.
 
     Filters name the measure or an allowed dimension; values are literals of
     the plan and never become part of any SQL text.
@@ -175,9 +174,9 @@ def build_metric(
             list(keys),
             metric.aggregation,
         )
-    if not keys:
-        return rows.limit(limit)
-    return rows.orderBy(F.desc_nulls_last("value"), *[F.asc_nulls_last(k) for k in reversed(keys)]).limit(limit)
+    if keys:
+        rows = rows.orderBy(F.desc_nulls_last("value"), *[F.asc_nulls_last(k) for k in reversed(keys)])
+    return rows if limit is None else rows.limit(limit)
 
 
 def _joined(ds: Dataset, df: DataFrame, edge: JoinEdge) -> DataFrame:

@@ -336,9 +336,10 @@ def _(spark, sf_dir):
 
 @query("gate_aggregation", with_(
     structural_ctes(STARRED), CLAIMED,
-    select="SELECT tbl AS \"table\", col AS \"column\", unit, CASE WHEN unit IN ('percent', 'score') AND family = 'fraction' THEN 'failed' ELSE 'verified' END AS verdict FROM claims"))
+    select="SELECT tbl AS \"table\", col AS \"column\", unit, CASE WHEN cardinality = 0 OR unit IN ('percent', 'score') AND family = 'fraction' THEN 'failed' ELSE 'verified' END AS verdict FROM claims"))
 def _(spark, sf_dir):
-    return gates.gate_aggregation(_unit_claims(structural_columns(load(spark, sf_dir, *STARRED))))
+    known = Profile(load(spark, sf_dir, *STARRED)).structural
+    return gates.gate_aggregation(_unit_claims(known), known)
 
 
 @query("gate_relation", with_(
@@ -383,7 +384,7 @@ def _(spark, sf_dir):
 
 
 @query("fact_check",
-       "SELECT 'error' AS severity, 'column:order_ref' AS location, 'order_number is not a profiled column' AS message FROM "
+       "SELECT 'error' AS severity, 'column:order_ref' AS location, 'order_number is not a column with values' AS message FROM "
        f"(SELECT count(order_ref) AS n FROM {SOURCES['sales']}) WHERE n > 0 UNION ALL SELECT 'warning', 'kpi:revenue_by_location', 'unresolved roles: location' "
        "UNION ALL SELECT 'warning', 'kpi:orders_by_payment_channel', 'unresolved roles: payment_channel'")
 def _(spark, sf_dir):
@@ -413,20 +414,21 @@ _MEASURES, _DIMENSIONS, _STATUS, _TIME = ("customer_ref", "revenue_amount"), ("o
 
 def _insight_sql(kind: str) -> list[tuple[str, float, str]]:
     total = "CAST(round(sum({m}), 2) AS DOUBLE)"
-    first = _MEASURES[0]
+    pairs = [(m, d) for m in _MEASURES for d in _DIMENSIONS]
     if kind == "trend":
         return [
-            (f"{g} trend of {m}", support,
+            (f"{g} trend of {m} over {_TIME}", support,
              f"SELECT strftime(date_trunc('{g}', {_TIME}), '%Y-%m-%d') AS key, {total.format(m=m)} AS value FROM {S} GROUP BY 1")
             for m in _MEASURES for g, support in (("month", 0.75), ("week", 0.6))]
     if kind == "breakdown":
-        return [(f"{first} by {d}", 0.7, f"SELECT {d} AS key, {total.format(m=first)} AS value FROM {S} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20") for d in _DIMENSIONS]
+        return [(f"{m} by {d}", 0.7, f"SELECT {d} AS key, {total.format(m=m)} AS value FROM {S} GROUP BY 1") for m, d in pairs]
     if kind == "distribution":
         return [(f"distribution of {d}", 0.65, f"SELECT {d} AS key, CAST(count(*) AS DOUBLE) AS value FROM {S} GROUP BY 1") for d in _DIMENSIONS]
     if kind == "status_sum":
-        return [(f"{first} for the most frequent {_STATUS}", 0.6,
-                 f"SELECT {_STATUS} AS key, {total.format(m=first)} AS value FROM {S} GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1")]
-    return []
+        return [(f"{m} for the most frequent {_STATUS}", 0.6,
+                 f"SELECT {_STATUS} AS key, {total.format(m=m)} AS value FROM {S} GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1") for m in _MEASURES]
+    return [(f"top {d} by {m}", 0.6, f"SELECT {d} AS key, {total.format(m=m)} AS value FROM {S} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+            for m, d in pairs if d == "payment_channel"]
 
 
 def _insights(spark, sf_dir, names=("sales",)):
@@ -445,8 +447,8 @@ def _insight_query(name: str, kind: str, sql: list, names=("sales",)) -> None:
             rows = insights.run_insight(ds, i)
             key = F.date_format("key", "yyyy-MM-dd") if kind == "trend" else F.col("key").cast("string")
             parts.append(rows.select(F.lit(i.question).alias("question"), key.alias("key"), F.round(F.col("value").cast("double"), 2).alias("value")))
-        result = parts[0]
-        for part in parts[1:]:
+        result = spark.createDataFrame([], "question string, key string, value double")
+        for part in parts:
             result = result.unionByName(part)
         return result
 
@@ -454,15 +456,16 @@ def _insight_query(name: str, kind: str, sql: list, names=("sales",)) -> None:
 for _kind in ("trend", "breakdown", "distribution", "status_sum"):
     _insight_query(f"insight_{_kind}", _kind, _insight_sql(_kind))
 
-# contacts has the five segments a top list needs
+# contacts has three columns of the five values that a top list needs
 _insight_query("insight_top_n", "top_n", [
-    ("top segment by balance", 0.6, f"SELECT segment AS key, CAST(round(sum(balance), 2) AS DOUBLE) AS value FROM {SOURCES['contacts']} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")],
+    (f"top {d} by balance", 0.6, f"SELECT {d} AS key, CAST(round(sum(balance), 2) AS DOUBLE) AS value FROM {SOURCES['contacts']} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+    for d in ("link", "referral_status", "segment")],
     ("contacts",))
 
 
 @query("insight_ranking", " UNION ALL ".join(
     f"SELECT '{kind}' AS kind, {quote(q)} AS question, {support}::DOUBLE AS support, (SELECT count(*) FROM ({s})) AS \"rows\""
-    for kind in ("trend", "breakdown", "distribution", "status_sum") for q, support, s in _insight_sql(kind)))
+    for kind in ("trend", "breakdown", "distribution", "status_sum", "top_n") for q, support, s in _insight_sql(kind)))
 def _(spark, sf_dir):
     return insights.rank_insights(*_insights(spark, sf_dir))
 

@@ -91,10 +91,6 @@ _TYPES = {
 }
 
 
-def key_text(column: str) -> str:
-    return f"CASE WHEN length(trim({column})) > 256 THEN sha256({column}) ELSE {column} END"
-
-
 def frequency_ctes(names, sources=None, schemas=None) -> str:
     """``meta`` and ``freq``; ``sources`` may replace a table by a subquery."""
     columns = schema_columns(names, schemas)
@@ -106,7 +102,7 @@ def frequency_ctes(names, sources=None, schemas=None) -> str:
     parts = []
     for c in columns:
         source = (sources or {}).get(c["table"], c["table"])
-        text = key_text(c["column"]) if c["family"] == "text" else f"CAST({c['column']} AS VARCHAR)"
+        text = c["column"] if c["family"] == "text" else f"CAST({c['column']} AS VARCHAR)"
         number = f"CAST({c['column']} AS DOUBLE)" if c["family"] in ("integer", "fraction") else "CAST(NULL AS DOUBLE)"
         whole = c["column"] if c["family"] == "text" else "CAST(NULL AS VARCHAR)"
         parts.append(
@@ -159,23 +155,24 @@ samples AS (
     FROM freq JOIN meta USING (column_id) WHERE value IS NOT NULL AND family NOT IN ('integer', 'fraction')
   ) WHERE rk <= 5
 ),
-sample_facts AS (
-  SELECT column_id, avg(length(value)) AS sample_length,
+value_facts AS (
+  SELECT column_id, avg(length(value)) AS mean_length,
     bool_and(trim(value) = '' OR regexp_matches(trim(value), {re2(X.PHONE_PATTERN)})) AS all_phone,
     bool_and(trim(value) = '' OR regexp_matches(trim(value), {re2(X.AADHAAR_PATTERN)})) AS all_aadhaar,
     bool_and(trim(value) = '' OR regexp_matches(trim(value), {re2(X.PAN_PATTERN)})) AS all_pan,
     bool_and(trim(value) = '' OR regexp_matches(trim(value), {re2(X.URL_PATTERN)})) AS all_url,
     bool_and(regexp_matches(value, {re2(X.UUID_PATTERN)})) AS all_uuid,
-    bool_or(regexp_matches(value, {re2(X.CURRENCY_SIGN_PATTERN)})) AS any_currency,
+    bool_or(trim(value) <> '') AND bool_and(trim(value) = '' OR regexp_matches(trim(value), {re2(X.CURRENCY_SIGN_PATTERN)})) AS all_currency,
     bool_or(trim(value) <> '') AND bool_and(trim(value) = '' OR lower(trim(value)) IN ({words(X.BOOLEAN_WORDS)})) AS all_boolean
-  FROM samples GROUP BY column_id
+  FROM freq JOIN meta USING (column_id)
+  WHERE value IS NOT NULL AND family NOT IN ('integer', 'fraction') GROUP BY column_id
 )"""
 
 STRUCTURAL = f"""
 rivals AS (
   SELECT i.*, f.* EXCLUDE (column_id), row_number() OVER (PARTITION BY tbl, id_role = 'identifier'
     ORDER BY (family = 'integer' OR coalesce(all_uuid, false)) DESC, ordinal) AS place
-  FROM identified i LEFT JOIN sample_facts f USING (column_id)
+  FROM identified i LEFT JOIN value_facts f USING (column_id)
 ),
 structural AS (
   SELECT *, CASE WHEN id_role = 'identifier' AND place > 1 THEN 'free_text' ELSE id_role END AS guessed_role,
@@ -271,7 +268,7 @@ def _hits(column: str, hints) -> str:
 COLUMNS = f"""
 labelled AS (
   SELECT s.* EXCLUDE (guessed_role), CASE WHEN s.guessed_role = 'free_text' AND NOT is_pii AND (
-      (g.confidence >= 0.8 AND g.size = 1 AND cardinality = row_count AND coalesce(sample_length, 0) < 60)
+      (g.confidence >= 0.8 AND g.size = 1 AND cardinality = row_count AND coalesce(mean_length, 0) < 60)
       OR cardinality <= greatest(2, least(50, cast(floor(sqrt(row_count)) AS BIGINT) * 3)))
     THEN 'categorical' ELSE s.guessed_role END AS guessed_role
   FROM structural s JOIN grains g USING (tbl)
@@ -285,10 +282,10 @@ printed AS (
     WHEN coalesce(all_url, false) THEN 'url'
     WHEN coalesce(all_boolean, false) AND cardinality <= 3 THEN 'boolean_str'
     WHEN family IN ('integer', 'fraction') AND (trunc(min_value) BETWEEN 1000000000 AND 2000000000 OR trunc(min_value) BETWEEN 1000000000000 AND 2000000000000) THEN 'epoch'
-    WHEN coalesce(any_currency, false) THEN 'currency'
+    WHEN coalesce(all_currency, false) THEN 'currency'
     WHEN coalesce(all_uuid, false) THEN 'uuid'
-    WHEN guessed_role = 'categorical' AND cardinality <= 12 AND coalesce(sample_length, 0) < 40 THEN 'enum'
-    WHEN guessed_role = 'categorical' AND cardinality <= 20 AND coalesce(sample_length, 999) < 25 THEN 'enum'
+    WHEN guessed_role = 'categorical' AND cardinality <= 12 AND coalesce(mean_length, 0) < 40 THEN 'enum'
+    WHEN guessed_role = 'categorical' AND cardinality <= 20 AND coalesce(mean_length, 999) < 25 THEN 'enum'
     END AS fingerprint
   FROM labelled
 ),

@@ -73,13 +73,13 @@ def _metric(name: str, sql: str, metric: Metric, *tables: str, digits: int | Non
         return _shown(M.build_metric(load(spark, sf_dir, *tables), metric, **question), digits)
 
 
-def _ranked(columns: str, source: str, where: str = "", value: str = "sum(o_totalprice)", limit: int = 200) -> str:
+def _ranked(columns: str, source: str, where: str = "", value: str = "sum(o_totalprice)", limit: int | None = None) -> str:
     """Grouped values: largest first, then the group, then the time bucket."""
     names = [c.split(" AS ")[-1] for c in columns.split("; ")]
     order = ", ".join(["value DESC NULLS LAST", *reversed(names)])
     return (
         f"SELECT {', '.join(columns.split('; '))}, round({value}, 2)::DOUBLE AS value FROM {source} {where} "
-        f"GROUP BY {', '.join(str(i + 1) for i in range(len(names)))} ORDER BY {order} LIMIT {limit}"
+        f"GROUP BY {', '.join(str(i + 1) for i in range(len(names)))} ORDER BY {order}" + ("" if limit is None else f" LIMIT {limit}")
     )
 
 
@@ -136,7 +136,7 @@ for _op, (_column, _values, _where) in _FILTER_CASES.items():
             ORDER_VALUE.with_filter(FilterSpec(_column, _op, _values)), "orders", "customer", group_by="o_orderpriority")
 
 for _grain in M.TIME_GRAINS:
-    _metric(f"grain_{_grain}", _ranked(_bucket(_grain), "orders", limit=5000), ORDER_VALUE, "orders", time_grain=_grain, limit=5000)
+    _metric(f"grain_{_grain}", _ranked(_bucket(_grain), "orders"), ORDER_VALUE, "orders", time_grain=_grain)
 
 SET_FILTERED = M.value_set_filter(ORDER_VALUE, ("F", "O"))
 _metric("metric_value_set_filter", _ranked("o_orderpriority AS grp", "orders", "WHERE o_orderstatus IN ('F', 'O')"),

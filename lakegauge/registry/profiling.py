@@ -180,7 +180,7 @@ _column_query("understanding_role", "understanding_role", "understanding_role")
     columns_ctes((*SALES, "leads"), KEYLESS, **EXTRA),
     select="SELECT tbl AS \"table\", col AS \"column\", rank, value, n FROM (SELECT c.*, coalesce(f.whole, f.value) AS value, f.n, "
     "row_number() OVER (PARTITION BY column_id ORDER BY n DESC, f.value) AS rank FROM freq f JOIN columns_ c USING (column_id) "
-    "WHERE f.value IS NOT NULL AND NOT is_pii AND (fingerprint = 'enum' OR (guessed_role = 'categorical' AND cardinality <= 20))) WHERE rank <= 8"))
+    "WHERE f.value IS NOT NULL AND NOT is_pii AND (fingerprint = 'enum' OR (guessed_role = 'categorical' AND cardinality <= 20)))"))
 def _(spark, sf_dir):
     known = Profile(derive(spark, sf_dir, *SALES, "leads"))
     found = profile.vocabulary(known.ds, known.frequency, known.columns)

@@ -43,8 +43,8 @@ def edtech(spark):
 
 
 @pytest.fixture(scope="session")
-def leads(spark):
-    return fixtures.leads(spark)
+def survey(spark):
+    return fixtures.survey(spark)
 
 
 def rows(df, *columns):

@@ -79,7 +79,7 @@ def test_gates(spark, school):
     assert verdicts["score", "INR"]["reasons"] == "money bounded by 0 and 100"
     assert verdicts["price_inr", "percent"]["verdict"] == "failed"
     assert verdicts["price_inr", "currency"]["verdict"] == verdicts["score", "score"]["verdict"] == "verified"
-    sums = rows(gates.gate_aggregation(claims), "column", "unit", "verdict")
+    sums = rows(gates.gate_aggregation(claims, school.columns), "column", "unit", "verdict")
     assert ("score", "score", "failed") in sums and ("price_inr", "currency", "verified") in sums
     money = binding.role_bindings(school.columns, EDTECH, "enrollments", {"revenue_amount": "score"})
     got = {r["role"]: r["severity"] for r in gates.gate_money_range(money, school.columns, EDTECH, "enrollments").collect()}
@@ -107,7 +107,8 @@ def test_personal_values_in_whole_texts(spark):
 
 def test_insights_run(bookings, booked):
     found = insights.propose_insights(booked.columns)
-    assert 3 <= len(found) <= 10 and {"trend", "breakdown", "distribution"} <= {i.kind for i in found}
+    assert {"trend", "breakdown", "distribution"} <= {i.kind for i in found}
+    assert len(insights.propose_insights(booked.columns, most=3)) == 3 < len(found)
     ranked = insights.rank_insights(bookings, found).collect()
     assert [r["support"] for r in ranked] == sorted((r["support"] for r in ranked), reverse=True)
     assert all(r["rows"] > 0 for r in ranked)
@@ -118,7 +119,7 @@ def one(spark, column):
 
 
 @pytest.mark.parametrize("answer,truth,ok", [
-    ("In 2026 revenue was 28,082 INR", 28082.0, True), ("about -3.5 percent", -3.5, True), ("nothing", 1.0, False), ("12 and 13", 14.0, False)])
+    ("In 2025 revenue was 31,350 INR", 31350.0, True), ("about -3.5 percent", -3.5, True), ("nothing", 1.0, False), ("12 and 13", 14.0, False)])
 def test_numeric_answers(spark, answer, truth, ok):
     assert one(spark, scoring.score_numeric(F.lit(answer), F.lit(truth), F.lit(0.01))) is ok
 
@@ -130,9 +131,9 @@ def test_refusals(spark, answer, ok):
 
 
 def test_labels_and_tools(spark):
-    labels = F.array(F.lit("Algebra II"), F.lit("Intro to Python"))
-    assert one(spark, scoring.score_categorical(F.lit("It is intro to python."), labels)) is True
-    assert one(spark, scoring.score_categorical(F.lit("Physics"), labels)) is False
+    labels = F.array(F.lit("Stone Pottery"), F.lit("Chess at Dawn"))
+    assert one(spark, scoring.score_categorical(F.lit("It is chess at dawn."), labels)) is True
+    assert one(spark, scoring.score_categorical(F.lit("Botany"), labels)) is False
     calls = F.array(F.lit("query_metric"))
     assert one(spark, scoring.score_tool(calls, F.lit("query_metric"))) is True
     assert one(spark, scoring.score_tool(calls, F.lit(None).cast("string"))) is None

@@ -53,10 +53,10 @@ def test_declared_edges_replace_inferred_ones(school):
 def test_bridge(spark):
     known = Profile(fixtures.bridge(spark))
     grains = {r["table"]: (r["grain_columns"], r["confidence"]) for r in known.grains.collect()}
-    assert grains["enrollments"] == (["student_id", "course_id"], 0.85)
+    assert grains["loans"] == (["reader_id", "book_id"], 0.85)
     roles = {r["table"]: r["role"] for r in known.entities.collect()}
-    assert roles["enrollments"] == "bridge"
-    out = known.edges.where("from_table = 'enrollments'").collect()
+    assert roles["loans"] == "bridge"
+    out = known.edges.where("from_table = 'loans'").collect()
     assert len(out) == 2 and all(e["cardinality"] == "N:N" and e["fan_out_risk"] for e in out)
 
 

@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check import TABLES, rows_of
+from lakegauge import registry
 
 SF = "/root/testdata/sf0.001"
 # at this scale some measures are unique and so are no measures
@@ -17,9 +18,8 @@ SAMPLE = [
 
 
 def test_names():
-    queries, oracle = entry.queries(), entry.oracle_sql()
-    assert set(oracle) <= set(queries)
-    assert set(queries) - set(oracle) == {"data_map", "kpi_snapshot", "source_fingerprint"}
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(registry.QUERIES) - set(registry.ORACLE) == {"data_map", "kpi_snapshot", "source_fingerprint"}
 
 
 @pytest.mark.parametrize("name", SAMPLE)
