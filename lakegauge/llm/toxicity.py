@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 #: About so many bytes of labelled toxic text, and twice as many of ordinary, are drawn by a hash for training.
 MOST_TRAINING_BYTES = 8 << 20
+#: Nor more than about so many rows of each, however short; the ids of the sample go to every task.
+MOST_TRAINING_ROWS = 20_000
 #: Words of a window; a text is covered from its first to its last word.
 WINDOW = 4
 DICTIONARY_BYTES = 8192
@@ -173,7 +175,7 @@ def fit(rows: list[tuple[bytes, int, int]]) -> ToxicityModel:
 
 def train(
     docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
-    keep: Column | None = None, most_bytes: int = MOST_TRAINING_BYTES,
+    keep: Column | None = None, most_bytes: int = MOST_TRAINING_BYTES, most_rows: int = MOST_TRAINING_ROWS,
 ) -> ToxicityModel:
     """Fit on labelled rows (those with ``keep`` of the id), about ``most_bytes`` of toxic text and twice that of ordinary.
 
@@ -184,12 +186,12 @@ def train(
         marked = marked.where(keep)
     draw = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 20))
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sizes = texts.select("id", F.octet_length("text").alias("n")).join(marked, "id").groupBy("y").agg(F.sum("n"))
+    sizes = texts.select("id", F.octet_length("text").alias("n")).join(marked, "id").groupBy("y").agg(F.sum("n"), F.count("*"))
     wanted = {0: 2 * most_bytes, 1: most_bytes}
-    share = {y: min(1.0, wanted.get(y, 0) / max(n, 1)) for y, n in sizes.collect()}
+    share = {y: min(1.0, wanted.get(y, 0) / max(n, 1), most_rows / rows) for y, n, rows in sizes.collect()}
     limit = F.when(F.col("y") == 1, int(share.get(1, 0) * (1 << 20))).otherwise(int(share.get(0, 0) * (1 << 20)))
     drawn = marked.select("id", "y", draw.alias("draw")).where(F.col("draw") < limit)
-    table = texts.join(drawn, "id").select(F.col("text").cast("binary").alias("text"), "y", "draw").toArrow()
+    table = texts.join(F.broadcast(drawn), "id").select(F.col("text").cast("binary").alias("text"), "y", "draw").toArrow()
     return fit(list(zip(table.column("text").to_pylist(), table.column("y").to_pylist(), table.column("draw").to_pylist())))
 
 
