@@ -33,7 +33,9 @@ SEED = 42
 #: Lists above this length are split by further bits (exactly, at any size).
 LONGEST_LIST = 20_000
 #: The wide fingerprint of near_copies(): 64-bit lanes, rotations of eight strongest-coordinate bytes.
-LANES, ROTATIONS = 8, 9
+LANES, ROTATIONS = 8, 16
+#: Sign bits estimate a similarity; pairs estimated this far below the one asked for are still verified.
+SLACK = 0.1
 
 _ONES = np.uint64(0x0101010101010101)
 
@@ -250,7 +252,7 @@ def _turned(v: np.ndarray) -> np.ndarray:
 
 
 def wide_fingerprints(texts: list[bytes | None], words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sign bits (n, LANES) as 64-bit words, and keys (n, LANES * ROTATIONS / 3) of three strongest-coordinate bytes.
+    """Sign bits (n, LANES) as 64-bit words, and keys (n, LANES * ROTATIONS // 3) of three strongest-coordinate bytes.
 
     Over the set of shingles.  The strongest coordinate of a group of 64 keeps
     its place in a near copy far oftener than eight sign bits keep theirs.
@@ -270,26 +272,52 @@ def wide_fingerprints(texts: list[bytes | None], words: int) -> tuple[np.ndarray
         sign = np.take_along_axis(group, best[:, :, None], axis=2)[:, :, 0] > 0
         own.append((best + 64 * sign).astype(np.int64))
     positional = np.concatenate(own, axis=1)
-    triples = positional.reshape(len(texts), -1, 3)
+    triples = positional[:, : positional.shape[1] // 3 * 3].reshape(len(texts), -1, 3)
     number = np.arange(triples.shape[1], dtype=np.int64)
     return signs, (((number * 128 + triples[:, :, 0]) * 128 + triples[:, :, 1]) * 128 + triples[:, :, 2])
 
 
+def nearest_tree(x: np.ndarray, radius: int, least: int) -> list[tuple[int, int]]:
+    """Edges (row, row) of a minimum spanning forest by differing bits, none longer than ``radius``.
+
+    Every row joins the tree by the nearest row in it, if that shares ``least``
+    positional bytes; of all links between two groups the nearest is kept.
+    """
+    n, far = len(x), 64 * x.shape[1] + 1
+    gap, near = np.full(n, far), np.zeros(n, np.int64)
+    left, at = np.arange(n), 0
+    out = []
+    while True:
+        left = left[left != at]
+        if not len(left):
+            return out
+        diff = x[left] ^ x[at]
+        bits = np.bitwise_count(diff).sum(axis=1).astype(np.int64)
+        bits[(diff.view(np.uint8).reshape(len(left), -1) == 0).sum(axis=1) < least] = far
+        closer = left[bits < gap[left]]
+        gap[closer], near[closer] = bits[bits < gap[left]], at
+        at = int(left[np.argmin(gap[left])])
+        if gap[at] <= radius:
+            out.append((at, int(near[at])))
+
+
 def near_copies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8
 ) -> DataFrame:
     """Rows (id, row_hash, sign binary, component binary): classes of texts whose word shingles are ``similarity`` alike.
 
     For similarities that three bits of 64 cannot express.  Two sets with
-    Jaccard similarity J meet at an angle whose cosine is 2J / (1 + J); that angle
-    gives the share of differing sign bits of the 512, which is what verifies a
-    pair.  The index has posting lists of three strongest-coordinate bytes; in a
-    list pairs tally their 64 positional bytes of signs, of which a pair this
-    close shares 17 on average, and go on with 4.  ``row_hash``, of the
-    text, tells the rows of one id apart.  Null and empty texts are one class.
+    Jaccard similarity J meet at an angle whose cosine is 2J / (1 + J), which
+    gives the share of differing sign bits of the 512.  The index has posting
+    lists of three strongest-coordinate bytes.  In a list, pairs tally their 64
+    positional bytes of signs, of which a pair this close shares 17 on average,
+    and go on with 4; of those within the bits of a similarity ``SLACK`` lower,
+    a minimum spanning forest leaves the task.  Its edges are verified by the
+    Jaccard similarity of the shingle sets.  ``row_hash``, of the text, tells
+    the rows of one id apart.  Null and empty texts are one class.
     """
-    spread = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    radius = int(round(64 * LANES * spread))
+    loose = similarity - SLACK
+    radius = int(round(64 * LANES * np.arccos(2 * loose / (1 + loose)) / np.pi))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -308,7 +336,7 @@ def near_copies(
             i, j = [], []
             for s, e in zip(bounds[:-1], bounds[1:]):
                 if e - s > 1:
-                    for p, q in forest(x[s:e], radius, least=4):
+                    for p, q in nearest_tree(x[s:e], radius, least=4):
                         i.append(s + p)
                         j.append(s + q)
             yield pa.RecordBatch.from_arrays([sign.take(pa.array(v, pa.int64())) for v in (i, j)], ["a", "b"])
@@ -320,7 +348,25 @@ def near_copies(
     marks = written(rows.mapInArrow(run, f"id {kind}, row_hash long, sign binary, keys array<long>"), "wide")
     classes = marks.groupBy("sign").agg(F.first("keys").alias("keys"))
     postings = classes.select("sign", F.explode("keys").alias("key"))
-    edges = postings.repartition("key").sortWithinPartitions("key", "sign").mapInArrow(lists, "a binary, b binary")
+    pairs = postings.repartition("key").sortWithinPartitions("key", "sign").mapInArrow(lists, "a binary, b binary")
+    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    asked = pairs.select(F.col("a").alias("sign")).union(pairs.select(F.col("b").alias("sign"))).distinct()
+    one = marks.join(asked, "sign", "left_semi").groupBy("sign").agg(F.min(F.struct("id", "row_hash")).alias("k"))
+    one = one.select("sign", F.col("k.id").alias("one_id"), F.col("k.row_hash").alias("one_hash"))
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), words)).view(np.int64) for t in batch.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["sign", "shingles"])
+
+    texts = rows.join(one, rows.id.eqNullSafe(one.one_id) & (rows.row_hash == one.one_hash)).select("sign", "text")
+    sets = texts.mapInArrow(shingles, "sign binary, shingles array<long>").groupBy("sign").agg(F.first("shingles").alias("shingles"))
+    sets = written(sets, "shingles")
+    both = pairs.join(sets.select(F.col("sign").alias("a"), F.col("shingles").alias("x")), "a").join(
+        sets.select(F.col("sign").alias("b"), F.col("shingles").alias("y")), "b"
+    )
+    shared = F.size(F.array_intersect("x", "y"))
+    edges = both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
     joined = components(edges)
     return marks.join(joined, marks.sign == joined.node, "left").select(
         "id", "row_hash", "sign", F.coalesce("component", "sign").alias("component")

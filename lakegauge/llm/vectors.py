@@ -47,9 +47,13 @@ def _beam(x: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.ndarr
     ids = np.full((q, width), n)
     sims = np.full((q, width), -np.inf, np.float32)
     k = min(width, entry.shape[1])
-    start = np.einsum("qd,qkd->qk", queries, x[entry])
-    sims[:, :k], ids[:, :k] = _top(start.astype(np.float32), entry, k)
+    entry = np.sort(entry, axis=1)
+    start = np.einsum("qd,qkd->qk", queries, x[entry]).astype(np.float32)
     seen[rows, entry] = True
+    again = entry[:, 1:] == entry[:, :-1]  # a node enters a beam once
+    start[:, 1:][again] = -np.inf
+    entry[:, 1:][again] = n
+    sims[:, :k], ids[:, :k] = _top(start, entry, k)
     opened = ids == n
     live = np.arange(q)
     while len(live):

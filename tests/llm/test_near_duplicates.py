@@ -118,6 +118,30 @@ def test_one_of_each_class_of_copies_stays(spark):
     assert got == sorted({(i, k) for i, _, k in rows if k == "kept"})
 
 
+def test_nearest_tree_is_a_minimum_spanning_forest():
+    rnd = np.random.RandomState(8)
+    base = rnd.randint(0, 2, (4, 512))
+    rows = np.array([base[i % 4] ^ (rnd.random_sample(512) < rnd.choice([0.02, 0.1])) for i in range(40)], np.uint8)
+    x = np.packbits(rows, axis=1, bitorder="little").view("<u8")
+    gap = (rows[:, None] != rows[None]).sum(axis=2)
+    edges = simhash.nearest_tree(x, 99, 4)
+    want = classes(40, lambda i, j: gap[i, j] <= 99)
+    got = classes(40, lambda i, j: (i, j) in edges or (j, i) in edges)
+    assert got == want and len(edges) == 40 - len(set(want))
+    kruskal, root = 0, list(range(40))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for d, i, j in sorted((gap[i, j], i, j) for i in range(40) for j in range(i) if gap[i, j] <= 99):
+        if find(i) != find(j):
+            root[find(i)] = find(j)
+            kruskal += d
+    assert sum(gap[i, j] for i, j in edges) == kruskal
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (None, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
