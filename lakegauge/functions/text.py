@@ -30,16 +30,15 @@ PERSONAL_VALUE_PATTERNS = {
 ANSWER_NUMBER_PATTERN = r"-?\d[\d,]*\.?\d*"
 # --- end of fixed values ---
 
-_DASH_DATE = r"^\s*\d{4}-\d{1,2}-\d{1,2}"
-_SLASH_DATE = r"^\s*\d{4}/\d{1,2}/\d{1,2}\s*$"
+_TIME = r"\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?(\s?(Z|[+-]\d{2}(:?\d{2})?))?"
+_DATE_TEXT = rf"^\s*\d{{4}}([-/])\d{{1,2}}\1\d{{1,2}}([T ]{_TIME})?\s*$"
 _PLAIN_NUMBER = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity|nan)\s*$"
 
 
 def is_date_text(value: Column) -> Column:
-    """True when the text names a full calendar date (year-month-day)."""
-    dashed = value.rlike(_DASH_DATE) & value.try_cast("date").isNotNull()
-    slashed = value.rlike(_SLASH_DATE) & F.try_to_timestamp(F.trim(value), F.lit("y/M/d")).isNotNull()
-    return F.coalesce(dashed | slashed, F.lit(False))
+    """True when the text is a calendar date (year, month, day), with a time of day at most after it."""
+    day = F.translate(F.regexp_extract(value, r"\d{4}[-/]\d{1,2}[-/]\d{1,2}", 0), "/", "-")
+    return F.coalesce(value.rlike(_DATE_TEXT) & day.try_cast("date").isNotNull(), F.lit(False))
 
 
 def is_number_text(value: Column) -> Column:

@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakegauge.dataset import Dataset, column, constant_rows, quoted
-from lakegauge.functions.types import TEXT, family
 
+# defaults that the results depend on; callers may widen the search
 MAX_KEY_CANDIDATES = 6
-WITNESS_ROWS = (50_000, 5_000_000)
-"""Rows per combination that the cheap duplicate searches look at, in turn."""
+WIDEST_KEY = 3
+SKETCH_ERROR, MARGIN = 0.02, 5
 
 GRAIN_SCHEMA = "table string, grain_columns array<string>, description string, confidence double"
 
@@ -70,25 +70,30 @@ def full_row(structural: DataFrame) -> DataFrame:
     )
 
 
-def _repeated(df: DataFrame, combos: list[tuple[str, ...]], share: int) -> set[tuple[str, ...]]:
-    """Combinations with a repeated or null key among one ``share`` of the rows.
+def _refuted(df: DataFrame, combos: list[tuple[str, ...]], rows: int) -> set[tuple[str, ...]]:
+    """Combinations with clearly fewer different keys than rows, from one scan with sketches.
 
-    Reads the rows whose leading column hashes into one of ``share`` classes.
-    All copies of a key fall into the same class, so a repeat found there is a
-    repeat in the table; a combination without one is still open.  All
-    combinations go through one shuffle.
+    A sketch errs by ``SKETCH_ERROR`` on average; only what falls short of the rows
+    by ``MARGIN`` times that is refuted.  Nothing but the sketches is shuffled.
+    """
+    sketches = [
+        F.approx_count_distinct(F.xxhash64(*[column(c) for c in combo]), SKETCH_ERROR).alias(f"c{i}")
+        for i, combo in enumerate(combos)
+    ]
+    found = df.agg(*sketches).first()
+    return {combo for combo, n in zip(combos, found) if n < rows * (1 - MARGIN * SKETCH_ERROR)}
+
+
+def _repeated(df: DataFrame, combos: list[tuple[str, ...]]) -> set[tuple[str, ...]]:
+    """Combinations with a repeated or null key: the exact test of all of them in one shuffle.
+
+    Keys compare as their texts joined by pipes.
     """
     cells = []
-    chosen = {c[0]: f"pmod(xxhash64({quoted(c[0])}), {share}) = 0" for c in combos}
     for i, combo in enumerate(combos):
         joined = " || '|' || ".join(f"cast({quoted(c)} as string)" for c in combo)
-        cells.append(f"{i}, {chosen[combo[0]]}, if({chosen[combo[0]]}, {joined}, null)")
-    keys = (
-        df.where(" or ".join(chosen.values()))
-        .selectExpr(f"stack({len(combos)}, {', '.join(cells)}) as (combo, chosen, key)")
-        .where("chosen")
-        .select("combo", "key")
-    )
+        cells.append(f"{i}, {joined}")
+    keys = df.selectExpr(f"stack({len(combos)}, {', '.join(cells)}) as (combo, key)")
     counted = keys.groupBy("combo", "key").agg(F.count(F.lit(1)).alias("n"))
     repeated = counted.groupBy("combo").agg(
         F.bool_or((F.col("n") > 1) | F.col("key").isNull()).alias("repeated")
@@ -96,51 +101,31 @@ def _repeated(df: DataFrame, combos: list[tuple[str, ...]], share: int) -> set[t
     return {combos[r["combo"]] for r in repeated.where("repeated").collect()}
 
 
-def _is_unique(df: DataFrame, combo: tuple[str, ...]) -> bool:
-    """The exact test over the whole table.
-
-    Keys compare as their texts joined by pipes.  Unless two of the columns
-    are text that is the same as comparing the columns themselves.
-    """
-    texts = [c for c in combo if family(df.schema[c].dataType) == TEXT]
-    if len(texts) > 1:
-        joined = " || '|' || ".join(f"cast({quoted(c)} as string)" for c in combo)
-        keys, parts = df.selectExpr(f"{joined} as key"), ["key"]
-    else:
-        keys, parts = df.select(*[column(c) for c in combo]), list(combo)
-    counted = keys.groupBy(*[column(c) for c in parts]).agg(F.count(F.lit(1)).alias("_n"))
-    broken = F.col("_n") > 1
-    for part in parts:
-        broken = broken | column(part).isNull()
-    return not counted.where(broken).limit(1).collect()
-
-
 def composite_key(
-    df: DataFrame, cardinality: dict[str, int], rows: int
+    df: DataFrame, cardinality: dict[str, int], rows: int, widest: int = WIDEST_KEY
 ) -> tuple[str, ...] | None:
-    """The first pair, else triple, of the ordered candidates that is unique.
+    """The first pair, else triple and so on up to ``widest``, of the ordered candidates that is unique.
 
-    Most combinations are refuted on a small share of the rows; only the rest
-    are tested on the whole table, in order, until one is unique.
+    One scan refutes nearly all combinations of a width; one job tests the rest.
     """
-    for size in (2, 3):
+    for size in range(2, widest + 1):
         # fewer value combinations than rows cannot be unique
         combos = [
             c for c in combinations(cardinality, size) if prod(cardinality[k] for k in c) >= rows
         ]
-        for looked_at in WITNESS_ROWS:
-            share = rows // looked_at
-            if combos and share > 1:
-                repeated = _repeated(df, combos, share)
-                combos = [c for c in combos if c not in repeated]
-        for combo in combos:
-            if _is_unique(df, combo):
-                return combo
+        if combos:
+            refuted = _refuted(df, combos, rows)
+            combos = [c for c in combos if c not in refuted]
+        if combos:
+            repeated = _repeated(df, combos)
+            combos = [c for c in combos if c not in repeated]
+        if combos:
+            return combos[0]
     return None
 
 
-def key_candidates(structural: DataFrame) -> DataFrame:
-    """Up to six columns per table without a single key, most distinct first."""
+def key_candidates(structural: DataFrame, most: int = MAX_KEY_CANDIDATES) -> DataFrame:
+    """The ``most`` likely columns of each table without a single key, most distinct first."""
     eligible = structural.where(
         (F.col("null_percent") < 5.0)
         & (F.col("cardinality") > 1)
@@ -153,19 +138,21 @@ def key_candidates(structural: DataFrame) -> DataFrame:
             F.collect_list(F.struct(order.alias("o"), "column", "cardinality", "is_identifier"))
         ).alias("c"),
     )
-    return ordered.select("table", "row_count", F.slice("c", 1, MAX_KEY_CANDIDATES).alias("c"))
+    return ordered.select("table", "row_count", F.slice("c", 1, most).alias("c"))
 
 
-def composite_keys(ds: Dataset, structural: DataFrame) -> DataFrame:
+def composite_keys(
+    ds: Dataset, structural: DataFrame, most: int = MAX_KEY_CANDIDATES, widest: int = WIDEST_KEY
+) -> DataFrame:
     """Composite keys of the tables that have no single one.
 
-    Reads a catalogue-sized list of candidates, at most six per table.
+    Reads a catalogue-sized list of candidates, ``most`` for each table.
     """
     found = []
-    for row in key_candidates(structural).collect():
+    for row in key_candidates(structural, most).collect():
         cards = {c["column"]: c["cardinality"] for c in row["c"]}
         marked = {c["column"] for c in row["c"] if c["is_identifier"]}
-        key = composite_key(ds.table(row["table"]), cards, row["row_count"])
+        key = composite_key(ds.table(row["table"]), cards, row["row_count"], widest)
         if key:
             bridge = len(key) == 2 and set(key) <= marked
             note = " (bridge/junction table)" if bridge else ""

@@ -119,8 +119,7 @@ STATS = f"""
 raw AS (
   SELECT m.*, sum(n) AS row_count, coalesce(sum(n) FILTER (WHERE value IS NULL), 0) AS null_count,
     count(value) AS cardinality, min(number) AS min_value, max(number) AS max_value,
-    count(*) FILTER (WHERE family = 'text' AND regexp_matches(value, '^\\s*\\d{{4}}-\\d{{1,2}}-\\d{{1,2}}')
-      AND try_cast(value AS DATE) IS NOT NULL) AS dates
+    count(*) FILTER (WHERE family = 'text' AND try_cast(value AS DATE) IS NOT NULL) AS dates
   FROM meta m JOIN freq USING (column_id) GROUP BY ALL
 ),
 stats AS (

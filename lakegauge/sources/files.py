@@ -27,13 +27,14 @@ def read_table(
     path: str,
     fmt: str | None = None,
     schema: T.StructType | None = None,
-    quoted_line_breaks: bool = True,
+    quoted_line_breaks: bool = False,
 ) -> DataFrame:
     """One file, or a directory of part files of one format, as a DataFrame.
 
     Text formats are sniffed unless a schema is given; state it for large
-    inputs, as sniffing reads the data once more.  A CSV file is one task
-    unless ``quoted_line_breaks`` is off, which lets Spark split it.
+    inputs, as sniffing reads the data once more.  With ``quoted_line_breaks``
+    a CSV value may hold line breaks, and a file is one task; without, Spark
+    splits it.
     """
     fmt = fmt or FORMATS.get(_extension(path))
     reader = spark.read.schema(schema) if schema is not None else spark.read
@@ -65,7 +66,9 @@ def table_name(stem: str) -> str:
     return f"t_{name}" if name[0].isdigit() else name
 
 
-def load_dataset(spark: SparkSession, path: str, names: Iterable[str] | None = None) -> Dataset:
+def load_dataset(
+    spark: SparkSession, path: str, names: Iterable[str] | None = None, quoted_line_breaks: bool = False
+) -> Dataset:
     """A file as one table, or a directory as one table per readable entry.
 
     The listing goes through the cluster's file system; nothing is read yet.
@@ -85,7 +88,7 @@ def load_dataset(spark: SparkSession, path: str, names: Iterable[str] | None = N
             continue
         name = table_name(leaf[: -len(extension)])
         if names is None or name in names:
-            tables[name] = read_table(spark, item)
+            tables[name] = read_table(spark, item, quoted_line_breaks=quoted_line_breaks)
     if not tables:
         raise ValueError(f"no readable files in {path}; extensions: {sorted(FORMATS)}")
     kinds = {FORMATS[_extension(i)] for i in found if _extension(i) in FORMATS}

@@ -65,15 +65,21 @@ def test_nullable_composite_is_no_key(spark):
     assert grain.composite_key(df, {"a": 2, "b": 2}, 4) is None
 
 
-def test_composite_search_by_hash_class(spark, monkeypatch):
-    # every combination goes through the cheap search first, and the key survives it
-    monkeypatch.setattr(grain, "WITNESS_ROWS", (50, 300))
+def test_composite_search(spark):
+    # every combination goes through the sketches first, and the key survives them
     df = spark.range(1000).selectExpr("id div 10 as a", "id % 10 as b", "id % 7 as c", "id div 200 as d")
     cards = {"a": 100, "b": 10, "c": 7, "d": 5}
     assert grain.composite_key(df, cards, 1000) == ("a", "b")
     assert grain.composite_key(df.unionAll(df.limit(1)), cards, 1001) is None
 
 
+def test_key_of_four_columns(spark):
+    df = spark.range(1296).selectExpr("id % 6 as a", "id div 6 % 6 as b", "id div 36 % 6 as c", "id div 216 as d", "id % 5 as e")
+    cards = {"a": 6, "b": 6, "c": 6, "d": 6, "e": 5}
+    assert grain.composite_key(df, cards, 1296) is None
+    assert grain.composite_key(df, cards, 1296, widest=4) == ("a", "b", "c", "d")
+
+
 def test_composite_of_two_texts_compares_joined_texts(spark):
     # joined by pipes both rows read a|b|c
     df = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), ("a", "c")], "x string, y string")

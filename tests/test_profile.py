@@ -92,7 +92,8 @@ def test_empty_table(spark):
 
 @pytest.mark.parametrize("text,is_date", [
     ("2024-01-05", True), ("2024-1-5", True), ("2024/01/05", True), ("2024-01-05 10:00:00", True),
-    ("2024", False), ("2024-01", False), ("2024-13-01", False), ("9820011111", False), ("a-b", False)])
+    ("2024", False), ("2024-01", False), ("2024-13-01", False), ("9820011111", False), ("a-b", False),
+    ("2024-01-01 foo", False), ("2024-01-01T", False), ("2024/01/01 10:00", True), ("2024-01/05", False), ("2024-01-01T10:00:00Z", True)])
 def test_date_text(spark, text, is_date):
     from lakegauge.functions.text import is_date_text
 
