@@ -233,58 +233,67 @@ def near_duplicates(
 # Near copies by similarity: a wide fingerprint, whose positional bytes name its strongest coordinates.
 
 
-def _mixed(h: np.ndarray, lane: int) -> np.ndarray:
-    x = h ^ np.uint64(0x9E3779B97F4A7C15 * (lane + 1) & (1 << 64) - 1)
+_LANE_KEYS = np.array([0x9E3779B97F4A7C15 * (lane + 1) & (1 << 64) - 1 for lane in range(LANES)], np.uint64)
+
+
+def _wide_sums(h: np.ndarray) -> np.ndarray:
+    """How many of the numbers ``h``, mixed anew for each lane, have each of the 64 * LANES bits set."""
+    x = h[:, None] ^ _LANE_KEYS
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x ^= x >> np.uint64(31)
+    out = np.zeros((LANES * 8, 8), np.int64)
+    for at in range(0, len(x), 255):  # byte-wide counters hold up to 255
+        part = x[at : at + 255]
+        for bit in range(8):
+            out[:, bit] += ((part >> np.uint64(bit)) & _ONES).sum(axis=0, dtype=np.uint64).view(np.uint8)
+    return out.reshape(-1)
 
 
-def _turned(v: np.ndarray) -> np.ndarray:
-    """Walsh-Hadamard transform of the rows."""
-    n, step = v.shape[1], 1
-    while step < n:
-        v = v.reshape(len(v), -1, 2, step)
-        v = np.stack([v[:, :, 0] + v[:, :, 1], v[:, :, 0] - v[:, :, 1]], axis=2)
-        step *= 2
-        v = v.reshape(len(v), n)
-    return v
+def _hadamard(n: int) -> np.ndarray:
+    m = np.ones((1, 1), np.float32)
+    while len(m) < n:
+        m = np.block([[m, m], [m, -m]])
+    return m
 
 
 def wide_fingerprints(texts: list[bytes | None], words: int) -> tuple[np.ndarray, np.ndarray]:
     """Sign bits (n, LANES) as 64-bit words, and keys (n, LANES * ROTATIONS // 3) of three strongest-coordinate bytes.
 
     Over the set of shingles.  The strongest coordinate of a group of 64 keeps
-    its place in a near copy far oftener than eight sign bits keep theirs.
+    its place in a near copy far oftener than eight sign bits keep theirs; other
+    rotations of other groups give more of them.
     """
     margins = np.zeros((len(texts), 64 * LANES), np.float32)
     for i, text in enumerate(texts):
         h = np.unique(shingle_hashes(text, words))
-        for lane in range(LANES if len(h) else 0):
-            margins[i, 64 * lane : 64 * lane + 64] = bit_sums(_mixed(h, lane)) * 2 - len(h)
+        if len(h):
+            margins[i] = _wide_sums(h) * 2 - len(h)
     signs = np.packbits(margins > 0, axis=1, bitorder="little").view("<u8")
-    flips = np.random.RandomState(SEED).choice(np.array([-1, 1], np.float32), (ROTATIONS, margins.shape[1]))
-    own, v = [], margins
-    for r in range(ROTATIONS):
-        v = _turned(v * flips[r]) / np.float32(np.sqrt(margins.shape[1]))
-        group = v.reshape(len(v), LANES, 64)
-        best = np.abs(group).argmax(axis=2)
-        sign = np.take_along_axis(group, best[:, :, None], axis=2)[:, :, 0] > 0
-        own.append((best + 64 * sign).astype(np.int64))
+    draw, mix, own = np.random.RandomState(SEED), _hadamard(64), []
+    places = np.arange(64, dtype=np.int32)[:, None]
+    for _ in range(ROTATIONS):
+        order, flips = draw.permutation(margins.shape[1]), draw.choice(np.array([-1, 1], np.float32), margins.shape[1])
+        group = mix @ (margins[:, order] * flips).reshape(-1, 64).T
+        # positive floats order like their bits, whose last seven make room for place and sign
+        strength = (np.abs(group).view(np.int32) & ~127) | places | ((group > 0).astype(np.int32) << 6)
+        own.append((strength.max(axis=0, initial=0) & 127).reshape(len(texts), LANES).astype(np.int64))
     positional = np.concatenate(own, axis=1)
-    triples = positional[:, : positional.shape[1] // 3 * 3].reshape(len(texts), -1, 3)
-    number = np.arange(triples.shape[1], dtype=np.int64)
+    count = positional.shape[1] // 3
+    triples = positional[:, : 3 * count].reshape(len(texts), count, 3)
+    number = np.arange(count, dtype=np.int64)
     return signs, (((number * 128 + triples[:, :, 0]) * 128 + triples[:, :, 1]) * 128 + triples[:, :, 2])
 
 
-def nearest_tree(x: np.ndarray, radius: int, least: int) -> list[tuple[int, int]]:
-    """Edges (row, row) of a minimum spanning forest by differing bits, none longer than ``radius``.
+def nearest_links(x: np.ndarray, radius: int, least: int, each: int = 3) -> list[tuple[int, int]]:
+    """Edges (row, row) no longer than ``radius`` bits: a minimum spanning forest, and each row's next nearest in it.
 
-    Every row joins the tree by the nearest row in it, if that shares ``least``
-    positional bytes; of all links between two groups the nearest is kept.
+    Every row joins the tree by the nearest row in it that shares ``least``
+    positional bytes, so of all links between two groups the nearest is there;
+    the others are second opinions, as bits only estimate a similarity.
     """
     n, far = len(x), 64 * x.shape[1] + 1
-    gap, near = np.full(n, far), np.zeros(n, np.int64)
+    gap, near = np.full((n, each), far), np.zeros((n, each), np.int64)
     left, at = np.arange(n), 0
     out = []
     while True:
@@ -294,11 +303,11 @@ def nearest_tree(x: np.ndarray, radius: int, least: int) -> list[tuple[int, int]
         diff = x[left] ^ x[at]
         bits = np.bitwise_count(diff).sum(axis=1).astype(np.int64)
         bits[(diff.view(np.uint8).reshape(len(left), -1) == 0).sum(axis=1) < least] = far
-        closer = left[bits < gap[left]]
-        gap[closer], near[closer] = bits[bits < gap[left]], at
-        at = int(left[np.argmin(gap[left])])
-        if gap[at] <= radius:
-            out.append((at, int(near[at])))
+        worst = gap[left].argmax(axis=1)
+        closer = bits < gap[left, worst]
+        gap[left[closer], worst[closer]], near[left[closer], worst[closer]] = bits[closer], at
+        at = int(left[np.argmin(gap[left].min(axis=1))])
+        out += [(at, int(j)) for d, j in zip(gap[at], near[at]) if d <= radius]
 
 
 def near_copies(
@@ -312,8 +321,8 @@ def near_copies(
     lists of three strongest-coordinate bytes.  In a list, pairs tally their 64
     positional bytes of signs, of which a pair this close shares 17 on average,
     and go on with 4; of those within the bits of a similarity ``SLACK`` lower,
-    a minimum spanning forest leaves the task.  Its edges are verified by the
-    Jaccard similarity of the shingle sets.  ``row_hash``, of the text, tells
+    a minimum spanning forest and a few more leave the task.  All these edges are
+    verified by the Jaccard similarity of the shingle sets.  ``row_hash``, of the text, tells
     the rows of one id apart.  Null and empty texts are one class.
     """
     loose = similarity - SLACK
@@ -336,7 +345,7 @@ def near_copies(
             i, j = [], []
             for s, e in zip(bounds[:-1], bounds[1:]):
                 if e - s > 1:
-                    for p, q in nearest_tree(x[s:e], radius, least=4):
+                    for p, q in nearest_links(x[s:e], radius, least=4):
                         i.append(s + p)
                         j.append(s + q)
             yield pa.RecordBatch.from_arrays([sign.take(pa.array(v, pa.int64())) for v in (i, j)], ["a", "b"])

@@ -124,7 +124,8 @@ def test_nearest_tree_is_a_minimum_spanning_forest():
     rows = np.array([base[i % 4] ^ (rnd.random_sample(512) < rnd.choice([0.02, 0.1])) for i in range(40)], np.uint8)
     x = np.packbits(rows, axis=1, bitorder="little").view("<u8")
     gap = (rows[:, None] != rows[None]).sum(axis=2)
-    edges = simhash.nearest_tree(x, 99, 4)
+    edges = simhash.nearest_links(x, 99, 4, each=1)
+    assert set(edges) <= set(simhash.nearest_links(x, 99, 4))
     want = classes(40, lambda i, j: gap[i, j] <= 99)
     got = classes(40, lambda i, j: (i, j) in edges or (j, i) in edges)
     assert got == want and len(edges) == 40 - len(set(want))
