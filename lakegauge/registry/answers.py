@@ -210,13 +210,13 @@ bindings AS (SELECT role, CASE WHEN score >= 0.4 THEN col END AS col, CASE WHEN
 SCORES = _score_ctes()
 
 
-def _bound(spark, sf_dir) -> DataFrame:
-    return Profile(derive(spark, sf_dir, *BOUND)).columns
+def _bound(spark, sf_dir, *names) -> DataFrame:
+    return Profile(derive(spark, sf_dir, *names)).columns
 
 
 @query("role_scores", with_(BOUND_CTES, SCORES, select="SELECT tbl AS \"table\", col AS \"column\", role, score FROM scores"))
 def _(spark, sf_dir):
-    return binding.role_scores(_bound(spark, sf_dir), RETAIL).select("table", "column", "role", "score")
+    return binding.role_scores(_bound(spark, sf_dir, *BOUND), RETAIL).select("table", "column", "role", "score")
 
 
 OVERRIDES = {"location": "sales.order_status"}
@@ -230,7 +230,7 @@ OVERRIDES = {"location": "sales.order_status"}
     "CASE WHEN status = 'needs_confirmation' THEN (SELECT string_agg(col, ',' ORDER BY place) FROM best o WHERE o.role = b.role AND place BETWEEN 2 AND 4) END AS alternatives "
     "FROM bindings b"))
 def _(spark, sf_dir):
-    found = binding.role_bindings(_bound(spark, sf_dir), RETAIL, "sales", OVERRIDES)
+    found = binding.role_bindings(_bound(spark, sf_dir, "sales"), RETAIL, "sales", OVERRIDES)
     return found.withColumn("alternatives", F.array_join("alternatives", ","))
 
 
@@ -239,7 +239,7 @@ def _(spark, sf_dir):
     select="SELECT tbl AS \"table\", round(sum(best) FILTER (WHERE best >= 0.4), 4) AS total FROM "
     "(SELECT tbl, role, max(score) AS best FROM scores GROUP BY tbl, role) GROUP BY tbl ORDER BY total DESC NULLS LAST, tbl LIMIT 1"))
 def _(spark, sf_dir):
-    found = binding.pack_fact_table(_bound(spark, sf_dir), RETAIL)
+    found = binding.pack_fact_table(_bound(spark, sf_dir, *BOUND), RETAIL)
     return found.withColumn("total", F.round("total", 4))
 
 
@@ -259,7 +259,7 @@ USES = ", ".join(f"({quote(r)}, {quote(k.id)})" for k in K.pack_kpis(RETAIL.slug
     "FROM bindings b JOIN uses u USING (role) WHERE b.status = 'needs_confirmation' AND u.kpi_id NOT IN "
     "(SELECT kpi_id FROM uses WHERE role IN (SELECT role FROM bindings WHERE status = 'unresolved')) GROUP BY ALL"))
 def _(spark, sf_dir):
-    bound = binding.role_bindings(_bound(spark, sf_dir), RETAIL, "sales", OVERRIDES)
+    bound = binding.role_bindings(_bound(spark, sf_dir, "sales"), RETAIL, "sales", OVERRIDES)
     return binding.binding_gate(bound, RETAIL)
 
 
