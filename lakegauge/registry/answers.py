@@ -147,6 +147,16 @@ def _(spark, sf_dir):
     return explore.value_set_coverage(load(spark, sf_dir, "orders"), "orders", "o_orderstatus", ["F", "O", "X"])
 
 
+@query("value_set_summary",
+       "SELECT 'orders' AS \"table\", 'o_orderstatus' AS \"column\", count(*) FILTER (WHERE v IN (SELECT o_orderstatus FROM orders)) AS matched, "
+       "count(*) AS candidates, coalesce(string_agg(v, ', ' ORDER BY i) FILTER (WHERE v NOT IN (SELECT o_orderstatus FROM orders)), '') AS absent, "
+       "(SELECT count(DISTINCT o_orderstatus) FROM orders) AS real_values, "
+       "round(count(*) FILTER (WHERE v IN (SELECT o_orderstatus FROM orders)) / count(*), 4) AS coverage_ratio "
+       "FROM (VALUES (0, 'F'), (1, 'O'), (2, 'X')) t(i, v)")
+def _(spark, sf_dir):
+    return explore.coverage_summary(load(spark, sf_dir, "orders"), "orders", "o_orderstatus", ["F", "O", "X"])
+
+
 @query("search_records",
        "SELECT o_orderkey, o_custkey, o_orderstatus, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate, o_orderpriority "
        "FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' ORDER BY o_orderkey LIMIT 20")
@@ -566,6 +576,12 @@ def _(spark, sf_dir):
     return scoring.eval_summary(_results(spark, sf_dir))
 
 
+@query("eval_by_category", with_(
+    RESULTS, select="SELECT dataset, category, round(100.0 * count(*) FILTER (WHERE passed) / count(*), 1) AS accuracy FROM results GROUP BY ALL"))
+def _(spark, sf_dir):
+    return scoring.category_accuracy(_results(spark, sf_dir))
+
+
 _LONG = (
     "SELECT dataset, measure, v FROM {t} UNPIVOT INCLUDE NULLS (v FOR measure IN (answer_accuracy, capability_coverage, "
     "false_confidence_rate, refusal_correctness, tool_selection_precision))"
