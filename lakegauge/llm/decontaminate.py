@@ -175,6 +175,46 @@ class Phrases:
         return window, start
 
 
+    def near(
+        self, terms: list[bytes], counts: np.ndarray, positions: np.ndarray, ends: np.ndarray, reach: int
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, first, last position) where every term of a window stands within ``reach`` words of its rarest one.
+
+        In any order, in one document; a term that a window repeats counts once.
+        """
+        number = {w: i for i, w in enumerate(terms)}
+        own = np.array([number.get(w, -1) for w in self.terms], np.int64)
+        none = np.zeros(0, np.int64)
+        if not len(own) or not len(positions):
+            return none, none, none
+        begin = np.cumsum(counts) - counts
+        there = np.where(self.term >= 0, own[self.term], 0)
+        live = np.flatnonzero((there >= 0).all(axis=1))
+        n = counts[there[live, 0]] if len(live) else none
+        window = np.repeat(live, n)
+        at = positions[np.repeat(begin[there[live, 0]], n) + np.arange(len(window)) - np.repeat(np.cumsum(n) - n, n)] if len(live) else none
+        doc = np.searchsorted(ends, at, side="right")
+        opened, closed = np.concatenate([[0], ends])[doc], ends[doc]
+        length = int(ends[-1])
+        keys = np.repeat(np.arange(len(counts)), counts) * length + positions  # rises: by term, then by position
+        low, high = at.copy(), at.copy()
+        for k in range(1, self.order.shape[1]):
+            asked = self.term[window, k] >= 0
+            wanted = there[window, k] * length + at
+            after = np.searchsorted(keys, wanted)
+            gap = np.full(len(window), reach + 1)
+            place = at.copy()
+            for side in (np.minimum(after, len(keys) - 1), np.maximum(after - 1, 0)):
+                p = keys[side] - there[window, k] * length
+                fits = (p >= opened) & (p < closed) & (abs(p - at) < gap)
+                gap[fits], place[fits] = abs(p - at)[fits], p[fits]
+            keep = ~asked | (gap <= reach)
+            place = np.where(asked, place, at)
+            low, high = np.minimum(low, place), np.maximum(high, place)
+            window, at, low, high, opened, closed = (v[keep] for v in (window, at, low, high, opened, closed))
+        return window, low, high
+
+
 #: Windows in a block that goes to all tasks at once; more windows are more blocks, each a pass over the index.
 BLOCK = 200_000
 
@@ -188,12 +228,14 @@ def contamination(
     item_text_col: str = "text",
     width: int = WINDOW,
     block: int = BLOCK,
+    reach: int | None = None,
 ) -> DataFrame:
-    """Rows (row, id, n_words, n_hit, items array<string>, spans array<struct<start, stop>>) for each row of ``docs``.
+    """Rows (shard, slot, id, n_words, n_hit, items array<string>, spans array<struct<start, stop>>) for each row of ``docs``.
 
     A document word inside any occurrence of a window is hit; ``spans`` are the
     merged runs of hit words, ``items`` the sorted ids of items with an occurring
-    window.  Test windows are read in blocks of ``block`` (a bounded table), the
+    window.  With ``reach``, ``near_items`` are the items that have a window whose
+    terms all stand within so many words of its rarest one (else it is empty).  Test windows are read in blocks of ``block`` (a bounded table), the
     index in shards.  Null texts have no words; without test words nothing is
     hit; repeated rows give repeated results.
     """
@@ -205,13 +247,14 @@ def contamination(
     found: DataFrame | None = None
     for k in range(blocks):
         own = phrases if blocks == 1 else phrases.where(F.pmod(F.xxhash64("phrase"), F.lit(blocks)) == k)
-        part = _hits(index, [(bytes(r[0]), list(r[1])) for r in own.collect()], kind)
+        part = _hits(index, [(bytes(r[0]), list(r[1])) for r in own.collect()], kind, reach)
         found = part if found is None else found.union(part)
     if blocks == 1:
         return found
     merged = found.groupBy("shard", "slot").agg(
         F.first("id").alias("id"), F.first("n_words").alias("n_words"),
         F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("near_items")))).alias("near_items"),
     )
     joined = F.aggregate(
         F.array_sort("spans"),
@@ -224,10 +267,10 @@ def contamination(
     )
     merged = merged.withColumn("spans", joined).withColumn("items", F.sort_array(F.array_distinct("items")))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["stop"] - s["start"])
-    return merged.select("shard", "slot", "id", "n_words", hit.alias("n_hit"), "items", "spans")
+    return merged.select("shard", "slot", "id", "n_words", hit.alias("n_hit"), "items", "spans", "near_items")
 
 
-def _hits(index: DataFrame, rows: list[tuple[bytes, list[str]]], kind: str) -> DataFrame:
+def _hits(index: DataFrame, rows: list[tuple[bytes, list[str]]], kind: str, reach: int | None) -> DataFrame:
     wanted = sorted({w for r in rows for w in r[0].split(b"\n")})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +303,13 @@ def _hits(index: DataFrame, rows: list[tuple[bytes, list[str]]], kind: str) -> D
                     summed = np.cumsum(positions)
                     positions = summed - np.repeat(summed[starts] - positions[starts], counts)
                 terms = one.column("terms")[0].as_py()
-                window, start = phrases.find(terms.split(b"\n") if len(counts) else [], counts, positions, ends)
+                terms = terms.split(b"\n") if len(counts) else []
+                window, start = phrases.find(terms, counts, positions, ends)
+                close: list[set[str]] = [set() for _ in range(len(lengths))]
+                if reach is not None:
+                    beside, first, _ = phrases.near(terms, counts, positions, ends, reach)
+                    for d, w in set(zip(np.searchsorted(ends, first, side="right").tolist(), beside.tolist())):
+                        close[d].update(phrases.items[w])
                 marks = np.zeros(int(ends[-1]) + 1 if len(ends) else 1, np.int64)
                 np.add.at(marks, start, 1)
                 np.add.at(marks, start + phrases.size[window], -1)
@@ -286,15 +335,16 @@ def _hits(index: DataFrame, rows: list[tuple[bytes, list[str]]], kind: str) -> D
                         pa.array(total[ends] - total[begins]),
                         pa.array([sorted(s) for s in items], pa.list_(pa.string())),
                         pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))),
+                        pa.array([sorted(s) for s in close], pa.list_(pa.string())),
                     ],
-                    ["shard", "slot", "id", "n_words", "n_hit", "items", "spans"],
+                    ["shard", "slot", "id", "n_words", "n_hit", "items", "spans", "near_items"],
                 )
 
     numbered = index.select(F.monotonically_increasing_id().alias("shard"), "*")
     return numbered.mapInArrow(
         look,
         f"shard long, slot long, id {kind}, n_words long, n_hit long, items array<string>, "
-        "spans array<struct<start:long,stop:long>>",
+        "spans array<struct<start:long,stop:long>>, near_items array<string>",
     )
 
 

@@ -106,6 +106,28 @@ def test_decontamination(spark, shard, block):
     assert decontaminate.contamination(docs, benchmark.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_proximity(spark):
+    rnd = random.Random(7)
+    texts = [" ".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(0, 40))) for _ in range(40)]
+    items = [(i, " ".join(rnd.choice("abcdefghz") for _ in range(4))) for i in range(12)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    every = " ".join(texts).split()
+    want = {}
+    for i, text in enumerate(texts):
+        words, found = text.split(), set()
+        for key, phrase in items:
+            own = phrase.split()
+            rare = min(range(4), key=lambda k: (every.count(own[k]), k))
+            for p in (p for p, w in enumerate(words) if w == own[rare]):
+                if all(w in words[max(0, p - 3) : p + 4] for w in own):
+                    found.add(str(key))
+        want[i] = sorted(found)
+    for block in (decontaminate.BLOCK, 3):
+        got = decontaminate.contamination(docs, benchmark, reach=3, block=block)
+        assert {r["id"]: list(r.near_items) for r in got.collect()} == want
+
+
 def test_clean_documents_keep_all_columns(spark):
     passage = " ".join(f"p{i}" for i in range(20))
     benchmark = spark.createDataFrame([(1, passage)], "item_id long, text string")
