@@ -360,7 +360,7 @@ def near_copies(
     pairs = postings.repartition("key").sortWithinPartitions("key", "sign").mapInArrow(lists, "a binary, b binary")
     pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     asked = pairs.select(F.col("a").alias("sign")).union(pairs.select(F.col("b").alias("sign"))).distinct()
-    one = marks.join(asked, "sign", "left_semi").groupBy("sign").agg(F.min(F.struct("id", "row_hash")).alias("k"))
+    one = marks.groupBy("sign").agg(F.min(F.struct("id", "row_hash")).alias("k")).join(asked, "sign", "left_semi")
     one = one.select("sign", F.col("k.id").alias("one_id"), F.col("k.row_hash").alias("one_hash"))
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
