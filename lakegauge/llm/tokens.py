@@ -33,7 +33,7 @@ END_ID = 2
 #: A shard takes documents until it has so many ids; one longer document is a shard of its own.
 SHARD_IDS = 1 << 21
 #: Distinct words whose ids a worker keeps; others are looked up again, which changes no result.
-KEPT_WORDS = 700_000
+KEPT_WORDS = 850_000
 
 _HEADER = struct.Struct("<4sBQQ")  # magic, planes, ids, documents
 _BLOCK = 512
@@ -58,10 +58,15 @@ class WaveletMatrix:
     def build(ids: np.ndarray, bits: int) -> WaveletMatrix:
         planes = []
         now = ids.astype(np.uint16 if bits <= 16 else np.uint32)
+        then = np.empty_like(now)
         for k in range(bits - 1, -1, -1):
-            ones = (now & now.dtype.type(1 << k)) != 0
+            ones = (now & now.dtype.type(1 << k)).astype(bool)
             planes.append(np.packbits(ones, bitorder="little"))
-            now = np.concatenate([now[~ones], now[ones]])
+            zeros = len(now) - int(np.count_nonzero(ones))
+            np.compress(ones, now, out=then[zeros:])
+            np.logical_not(ones, out=ones)
+            np.compress(ones, now, out=then[:zeros])
+            now, then = then, now
         return WaveletMatrix(planes, len(ids))
 
     def rank1(self, level: int, at: int) -> int:
@@ -121,9 +126,10 @@ class WaveletMatrix:
         now = np.zeros(self.n, kind)
         for level in range(bits - 1, -1, -1):
             ones = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
-            out = np.empty(self.n, kind)
-            out[~ones] = now[: self.zeros[level]]
-            out[ones] = now[self.zeros[level] :] | kind(1 << (bits - 1 - level))
+            out, zeros = np.empty(self.n, kind), self.zeros[level]
+            out[np.flatnonzero(ones)] = now[zeros:] | kind(1 << (bits - 1 - level))
+            np.logical_not(ones, out=ones)
+            out[np.flatnonzero(ones)] = now[:zeros]
             now = out
         return now
 
@@ -353,7 +359,7 @@ def write_token_files(
             at = 0
             while at < batch.num_rows:
                 lengths = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy()[at:])
-                n = max(1, int(np.searchsorted(lengths, 4 << 20)))  # texts of about 4 MB at a time
+                n = max(1, int(np.searchsorted(lengths, 6 << 20)))  # texts of about 6 MB at a time
                 texts = batch.column("text").slice(at, n)
                 found, size = coder.encode(texts)
                 ended = np.full(len(found) + len(size), end_id, np.uint32)
