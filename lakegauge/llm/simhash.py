@@ -36,6 +36,10 @@ LONGEST_LIST = 20_000
 LANES, ROTATIONS = 8, 16
 #: Sign bits estimate a similarity; pairs estimated this far below the one asked for are still verified.
 SLACK = 0.1
+#: Rows that the first look of near_copies() compares at once; what it leaves apart, the second one finds at any size.
+LOOK = 4_000
+#: Documents whose shingles are counted to order all shingles by rarity, and the shingles that are told from rare ones.
+SAMPLE, COMMON = 20_000, 200_000
 
 _ONES = np.uint64(0x0101010101010101)
 
@@ -257,16 +261,15 @@ def _hadamard(n: int) -> np.ndarray:
     return m
 
 
-def wide_fingerprints(texts: list[bytes | None], words: int) -> tuple[np.ndarray, np.ndarray]:
+def wide_fingerprints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Sign bits (n, LANES) as 64-bit words, and keys (n, LANES * ROTATIONS // 3) of three strongest-coordinate bytes.
 
-    Over the set of shingles.  The strongest coordinate of a group of 64 keeps
+    Over sets of shingles.  The strongest coordinate of a group of 64 keeps
     its place in a near copy far oftener than eight sign bits keep theirs; other
     rotations of other groups give more of them.
     """
-    margins = np.zeros((len(texts), 64 * LANES), np.float32)
-    for i, text in enumerate(texts):
-        h = np.unique(shingle_hashes(text, words))
+    margins = np.zeros((len(sets), 64 * LANES), np.float32)
+    for i, h in enumerate(sets):
         if len(h):
             margins[i] = _wide_sums(h) * 2 - len(h)
     signs = np.packbits(margins > 0, axis=1, bitorder="little").view("<u8")
@@ -277,10 +280,10 @@ def wide_fingerprints(texts: list[bytes | None], words: int) -> tuple[np.ndarray
         group = mix @ (margins[:, order] * flips).reshape(-1, 64).T
         # positive floats order like their bits, whose last seven make room for place and sign
         strength = (np.abs(group).view(np.int32) & ~127) | places | ((group > 0).astype(np.int32) << 6)
-        own.append((strength.max(axis=0, initial=0) & 127).reshape(len(texts), LANES).astype(np.int64))
+        own.append((strength.max(axis=0, initial=0) & 127).reshape(len(sets), LANES).astype(np.int64))
     positional = np.concatenate(own, axis=1)
     count = positional.shape[1] // 3
-    triples = positional[:, : 3 * count].reshape(len(texts), count, 3)
+    triples = positional[:, : 3 * count].reshape(len(sets), count, 3)
     number = np.arange(count, dtype=np.int64)
     return signs, (((number * 128 + triples[:, :, 0]) * 128 + triples[:, :, 1]) * 128 + triples[:, :, 2])
 
@@ -310,73 +313,177 @@ def nearest_links(x: np.ndarray, radius: int, least: int, each: int = 3) -> list
         out += [(at, int(j)) for d, j in zip(gap[at], near[at]) if d <= radius]
 
 
+def prefix(h: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The rarest shingles of a set, rarest first: two sets of ``similarity`` or more share one of these, whatever their order.
+
+    The sets share ``similarity`` times the larger one's shingles at least, so not
+    all shared ones can come after the first n - ceil(similarity * n) + 1 of each
+    in an order that holds for both.  ``common`` rises and has known ``counts``.
+    """
+    seen = np.zeros(len(h), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        seen = np.where(common[at] == h, counts[at], 0)
+    return h[np.lexsort((h, seen))][: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1] if len(h) else h
+
+
+def crossing_pairs(
+    node: np.ndarray, group: np.ndarray, size: np.ndarray, rest: np.ndarray, similarity: float
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of a list's rows, sorted by ``group``, of different groups that can be ``similarity`` alike.
+
+    ``rest`` is how many of a row's ``size`` shingles are left from the list's one
+    on; the first that two rows share has as many left in both as they must share.
+    """
+    step = max(1, 2_000_000 // len(node))
+    for at in range(0, len(node), step):
+        end = min(at + step, len(node))
+        other = slice(int(np.searchsorted(group, group[at], side="right")), len(node))
+        need = similarity / (1 + similarity) * (size[at:end, None] + size[None, other]) - 1e-6
+        i, j = np.nonzero((group[at:end, None] < group[None, other]) & (np.minimum(rest[at:end, None], rest[None, other]) >= need))
+        yield node[at + i], node[other.start + j]
+
+
 def near_copies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8
 ) -> DataFrame:
     """Rows (id, row_hash, sign binary, component binary): classes of texts whose word shingles are ``similarity`` alike.
 
-    For similarities that three bits of 64 cannot express.  Two sets with
-    Jaccard similarity J meet at an angle whose cosine is 2J / (1 + J), which
-    gives the share of differing sign bits of the 512.  The index has posting
-    lists of three strongest-coordinate bytes.  In a list, pairs tally their 64
-    positional bytes of signs, of which a pair this close shares 17 on average,
-    and go on with 4; of those within the bits of a similarity ``SLACK`` lower,
-    a minimum spanning forest and a few more leave the task.  All these edges are
-    verified by the Jaccard similarity of the shingle sets.  ``row_hash``, of the text, tells
-    the rows of one id apart.  Null and empty texts are one class.
+    For similarities that three bits of 64 cannot express.  Every pair of a
+    Jaccard similarity of ``similarity`` or more is in one class, in two looks
+    whose pairs are all verified by the shingle sets.
+
+    The first look is a quick one.  Two sets with similarity J meet at an angle
+    whose cosine is 2J / (1 + J), which gives the share of differing sign bits of
+    the 512.  The index has posting lists of three strongest-coordinate bytes; in
+    a list, of pairs that share four of 64 positional bytes of signs and are within
+    the bits of a similarity ``SLACK`` lower, a minimum spanning forest and a few
+    more leave the task.
+
+    The second look is complete: posting lists of each set's rarest shingles, of
+    which such pairs share one.  All pairs of a list that the first look left in
+    different classes, and whose sizes and places allow it, are verified.
+
+    ``row_hash``, of the text, tells the rows of one id apart; ``sign`` is the same
+    for texts of the same shingles.  Null and empty texts are one class.
     """
     loose = similarity - SLACK
     radius = int(round(64 * LANES * np.arccos(2 * loose / (1 + loose)) / np.pi))
+    rows = docs.select(
+        F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row_hash"), F.col(text_col).alias("text")
+    )
+
+    def shingles(texts: pa.Array) -> list[np.ndarray]:
+        return [np.unique(shingle_hashes(t.as_py(), words)) for t in texts.cast(pa.binary())]
+
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = shingles(batch.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64))], ["h"])
+
+    every = max(1, -(-rows.count() // SAMPLE))
+    some = rows.where(F.pmod("row_hash", F.lit(every)) == 0).dropDuplicates(["row_hash"]).select("text")
+    often = some.mapInArrow(sampled, "h long").groupBy("h").count().where("count > 1")
+    often = sorted((h & (1 << 64) - 1, n) for h, n in often.orderBy(F.desc("count"), "h").limit(COMMON).collect())
+    common, counts = np.array([h for h, _ in often], np.uint64), np.array([n for _, n in often], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                signs, keys = wide_fingerprints(part.column("text").cast(pa.binary()).to_pylist(), words)
+                sets = shingles(part.column("text"))
+                signs, keys = wide_fingerprints(sets)
+                names = [s.tobytes() + xxhash.xxh64_digest(h.tobytes(), SEED) for s, h in zip(signs, sets)]
+                rare = [prefix(h, similarity, common, counts).view(np.int64) for h in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("row_hash"), pa.array([s.tobytes() for s in signs], pa.binary()),
-                     pa.array(list(keys), pa.list_(pa.int64()))], ["id", "row_hash", "sign", "keys"])
+                    [part.column("id"), part.column("row_hash"), pa.array(names, pa.binary()), pa.array(list(keys), pa.list_(pa.int64())),
+                     pa.array([len(h) for h in sets], pa.int64()), pa.array(rare, pa.list_(pa.int64()))],
+                    ["id", "row_hash", "sign", "keys", "size", "rare"])
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in sorted_runs(batches, ["key"]):
             sign = table.column("sign").combine_chunks()
-            x = np.frombuffer(b"".join(sign.to_pylist()), "<u8").reshape(-1, LANES)
-            bounds = run_bounds(table.column("key").to_numpy())
+            x = np.frombuffer(b"".join(sign.to_pylist()), "<u8").reshape(-1, LANES + 1)[:, :LANES]
+            key = table.column("key").to_numpy()
+            bounds = run_bounds(key)
             i, j = [], []
             for s, e in zip(bounds[:-1], bounds[1:]):
                 if e - s > 1:
-                    for p, q in nearest_links(x[s:e], radius, least=4):
-                        i.append(s + p)
-                        j.append(s + q)
+                    # another deal in each list, so that those of a family hang together
+                    order = s + (np.arange(e - s) if e - s <= LOOK else np.random.RandomState(key[s] & 0xFFFFFFFF).permutation(e - s))
+                    for own in np.array_split(order, -(-(e - s) // LOOK)):
+                        for p, q in nearest_links(np.ascontiguousarray(x[own]), radius, least=4):
+                            i.append(own[p])
+                            j.append(own[q])
             yield pa.RecordBatch.from_arrays([sign.take(pa.array(v, pa.int64())) for v in (i, j)], ["a", "b"])
 
+    def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in sorted_runs(batches, ["key"]):
+            key, node, group, place = (table.column(c).to_numpy() for c in ("key", "node", "grp", "place"))
+            size, rest = place >> 32, place & 0xFFFFFFFF
+            bounds = run_bounds(key)
+            starts, ends = bounds[:-1], bounds[1:]
+            mixed = group[starts] != group[ends - 1]
+            found, held = [], 0
+            for s, e in zip(starts[mixed], ends[mixed]):
+                for pair in crossing_pairs(node[s:e], group[s:e], size[s:e], rest[s:e], similarity):
+                    if len(pair[0]):
+                        found.append(np.stack([np.minimum(*pair), np.maximum(*pair)]))
+                        held += len(pair[0])
+                    if held > 500_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(v) for v in np.unique(np.concatenate(found, axis=1), axis=1)], ["a", "b"])
+                        found, held = [], 0
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in np.unique(np.concatenate(found, axis=1), axis=1)], ["a", "b"])
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [h.view(np.int64) for h in shingles(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["sign", "shingles"])
+
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(
-        F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row_hash"), F.col(text_col).alias("text")
+    marks = written(
+        rows.mapInArrow(run, f"id {kind}, row_hash long, sign binary, keys array<long>, size long, rare array<long>"), "wide"
     )
-    marks = written(rows.mapInArrow(run, f"id {kind}, row_hash long, sign binary, keys array<long>"), "wide")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) of signs whose sets are ``similarity`` alike."""
+        asked = pairs.select(F.col("a").alias("sign")).union(pairs.select(F.col("b").alias("sign"))).distinct()
+        one = marks.groupBy("sign").agg(F.min(F.struct("id", "row_hash")).alias("k")).join(asked, "sign", "left_semi")
+        one = one.select("sign", F.col("k.id").alias("one_id"), F.col("k.row_hash").alias("one_hash"))
+        texts = rows.join(one, rows.id.eqNullSafe(one.one_id) & (rows.row_hash == one.one_hash)).select("sign", "text")
+        sets = texts.mapInArrow(sets_of, "sign binary, shingles array<long>").groupBy("sign").agg(F.first("shingles").alias("shingles"))
+        sets = written(sets, "shingles")
+        both = pairs.join(sets.select(F.col("sign").alias("a"), F.col("shingles").alias("x")), "a").join(
+            sets.select(F.col("sign").alias("b"), F.col("shingles").alias("y")), "b"
+        )
+        shared = F.size(F.array_intersect("x", "y"))
+        return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
     classes = marks.groupBy("sign").agg(F.first("keys").alias("keys"))
     postings = classes.select("sign", F.explode("keys").alias("key"))
     pairs = postings.repartition("key").sortWithinPartitions("key", "sign").mapInArrow(lists, "a binary, b binary")
     pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    asked = pairs.select(F.col("a").alias("sign")).union(pairs.select(F.col("b").alias("sign"))).distinct()
-    one = marks.groupBy("sign").agg(F.min(F.struct("id", "row_hash")).alias("k")).join(asked, "sign", "left_semi")
-    one = one.select("sign", F.col("k.id").alias("one_id"), F.col("k.row_hash").alias("one_hash"))
-
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(t.as_py(), words)).view(np.int64) for t in batch.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["sign", "shingles"])
-
-    texts = rows.join(one, rows.id.eqNullSafe(one.one_id) & (rows.row_hash == one.one_hash)).select("sign", "text")
-    sets = texts.mapInArrow(shingles, "sign binary, shingles array<long>").groupBy("sign").agg(F.first("shingles").alias("shingles"))
-    sets = written(sets, "shingles")
-    both = pairs.join(sets.select(F.col("sign").alias("a"), F.col("shingles").alias("x")), "a").join(
-        sets.select(F.col("sign").alias("b"), F.col("shingles").alias("y")), "b"
+    joined = written(components(verified(pairs)), "first")
+
+    # a pair of nodes is a hash of signs here, and looked up again below
+    nodes = marks.groupBy("sign").agg(F.first("size").alias("size"), F.first("rare").alias("rare")).join(
+        joined.withColumnRenamed("node", "sign"), "sign", "left"
+    ).select(
+        F.xxhash64("sign").alias("node"), F.xxhash64(F.coalesce("component", "sign")).alias("grp"), "size",
+        F.posexplode("rare").alias("pos", "key"),
+    ).select("key", "node", "grp", (F.shiftleft("size", 32) + F.col("size") - F.col("pos")).alias("place"))
+    found = nodes.repartition("key").sortWithinPartitions("key", "grp").mapInArrow(crossing, "a long, b long")
+    found = written(found.distinct(), "crossing")
+    names = found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))).distinct()
+    names = written(
+        marks.select("sign").distinct().withColumn("node", F.xxhash64("sign")).join(names, "node", "left_semi"), "names"
+    )
+    found = found.join(names.select(F.col("node").alias("a"), F.col("sign").alias("x")), "a").join(
+        names.select(F.col("node").alias("b"), F.col("sign").alias("y")), "b"
     )
-    shared = F.size(F.array_intersect("x", "y"))
-    edges = both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
-    joined = components(edges)
+    more = verified(found.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     return marks.join(joined, marks.sign == joined.node, "left").select(
         "id", "row_hash", "sign", F.coalesce("component", "sign").alias("component")
     )

@@ -190,3 +190,25 @@ def test_graph_search_recall():
     a, b = vectors.near_pairs(again, x, 0.93)
     truth = (x @ x.T >= 0.93).sum()
     assert vectors._verified(x, x, a, b, 0.93).sum() >= 0.95 * truth
+
+
+def test_near_copies_find_every_pair_of_the_similarity_asked_for(spark):
+    """Short texts at just 0.8, and a family whose nearest rows by bits are not the alike ones."""
+    rnd = random.Random(11)
+    new = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for n in (8, 14, 18, 28, 60) * 12:  # the last words of the longer text are the fifth that is not shared
+        w = new(n + (n - 4) // 4)
+        texts += [" ".join(w[:n]), " ".join(w)]
+    common = new(300)
+    for i in range(40):  # 0.74 to 0.8 alike
+        texts.append(" ".join(common + new(45)))
+    texts += [None, "", "a b", "A  b"]
+    sets = [set(simhash.shingle_hashes((t or "").encode(), 5).tolist()) for t in texts]
+    want = classes(len(texts), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    got = {r["id"]: bytes(r.component) for r in simhash.near_copies(docs).collect()}
+    first = {}
+    for i in range(len(texts)):
+        first.setdefault(got[i], i)
+    assert [first[got[i]] for i in range(len(texts))] == [want[i] for i in range(len(texts))]
