@@ -40,6 +40,8 @@ SLACK = 0.1
 LOOK = 4_000
 #: Documents whose shingles are counted to order all shingles by rarity, and the shingles that are told from rare ones.
 SAMPLE, COMMON = 20_000, 200_000
+#: Bits that tell how many shingles two sets can share at most.
+PARITIES = 1024
 
 _ONES = np.uint64(0x0101010101010101)
 
@@ -327,6 +329,16 @@ def prefix(h: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndar
     return h[np.lexsort((h, seen))][: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1] if len(h) else h
 
 
+def parities(h: np.ndarray) -> bytes:
+    """For each of PARITIES classes of hashes, whether the set ``h`` has an odd number of them.
+
+    A shingle that two sets do not share changes one bit, so of the shingles in
+    one set only there are as many as differing bits, or more.
+    """
+    odd = np.bincount((h % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def crossing_pairs(
     node: np.ndarray, group: np.ndarray, size: np.ndarray, rest: np.ndarray, similarity: float
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -362,7 +374,7 @@ def near_copies(
 
     The second look is complete: posting lists of each set's rarest shingles, of
     which such pairs share one.  All pairs of a list that the first look left in
-    different classes, and whose sizes and places allow it, are verified.
+    different classes, and whose sizes, places and parities allow it, are verified.
 
     ``row_hash``, of the text, tells the rows of one id apart; ``sign`` is the same
     for texts of the same shingles.  Null and empty texts are one class.
@@ -394,11 +406,12 @@ def near_copies(
                 sets = shingles(part.column("text"))
                 signs, keys = wide_fingerprints(sets)
                 names = [s.tobytes() + xxhash.xxh64_digest(h.tobytes(), SEED) for s, h in zip(signs, sets)]
+                bits = [parities(h) for h in sets]
                 rare = [prefix(h, similarity, common, counts).view(np.int64) for h in sets]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), part.column("row_hash"), pa.array(names, pa.binary()), pa.array(list(keys), pa.list_(pa.int64())),
-                     pa.array([len(h) for h in sets], pa.int64()), pa.array(rare, pa.list_(pa.int64()))],
-                    ["id", "row_hash", "sign", "keys", "size", "rare"])
+                     pa.array([len(h) for h in sets], pa.int64()), pa.array(rare, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
+                    ["id", "row_hash", "sign", "keys", "size", "rare", "bits"])
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in sorted_runs(batches, ["key"]):
@@ -436,6 +449,14 @@ def near_copies(
             if held:
                 yield pa.RecordBatch.from_arrays([pa.array(v) for v in np.unique(np.concatenate(found, axis=1), axis=1)], ["a", "b"])
 
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u8").reshape(-1, PARITIES // 64) for c in ("xbits", "ybits"))
+            both = batch.column("xsize").to_numpy() + batch.column("ysize").to_numpy()
+            most = (both - np.bitwise_count(x ^ y).sum(axis=1)) / 2
+            near = pa.array(most >= similarity / (1 + similarity) * both - 1e-6)
+            yield pa.RecordBatch.from_arrays([batch.column("x").filter(near), batch.column("y").filter(near)], ["a", "b"])
+
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [h.view(np.int64) for h in shingles(batch.column(1))]
@@ -443,14 +464,15 @@ def near_copies(
 
     kind = docs.schema[id_col].dataType.simpleString()
     marks = written(
-        rows.mapInArrow(run, f"id {kind}, row_hash long, sign binary, keys array<long>, size long, rare array<long>"), "wide"
+        rows.mapInArrow(run, f"id {kind}, row_hash long, sign binary, keys array<long>, size long, rare array<long>, bits binary"), "wide"
     )
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b) of signs whose sets are ``similarity`` alike."""
         asked = pairs.select(F.col("a").alias("sign")).union(pairs.select(F.col("b").alias("sign"))).distinct()
         one = marks.groupBy("sign").agg(F.min(F.struct("id", "row_hash")).alias("k")).join(asked, "sign", "left_semi")
-        one = one.select("sign", F.col("k.id").alias("one_id"), F.col("k.row_hash").alias("one_hash"))
+        # written, so that its size is known and the texts stay where they are if it is small
+        one = written(one.select("sign", F.col("k.id").alias("one_id"), F.col("k.row_hash").alias("one_hash")), "asked")
         texts = rows.join(one, rows.id.eqNullSafe(one.one_id) & (rows.row_hash == one.one_hash)).select("sign", "text")
         sets = texts.mapInArrow(sets_of, "sign binary, shingles array<long>").groupBy("sign").agg(F.first("shingles").alias("shingles"))
         sets = written(sets, "shingles")
@@ -476,13 +498,11 @@ def near_copies(
     found = nodes.repartition("key").sortWithinPartitions("key", "grp").mapInArrow(crossing, "a long, b long")
     found = written(found.distinct(), "crossing")
     names = found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))).distinct()
-    names = written(
-        marks.select("sign").distinct().withColumn("node", F.xxhash64("sign")).join(names, "node", "left_semi"), "names"
-    )
-    found = found.join(names.select(F.col("node").alias("a"), F.col("sign").alias("x")), "a").join(
-        names.select(F.col("node").alias("b"), F.col("sign").alias("y")), "b"
-    )
-    more = verified(found.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    bits = marks.select("sign", "size", "bits", F.xxhash64("sign").alias("node")).join(names, "node", "left_semi")
+    names = written(bits.dropDuplicates(["sign"]), "names")
+    found = found.join(names.select(F.col("node").alias("a"), F.col("sign").alias("x"), F.col("size").alias("xsize"), F.col("bits").alias("xbits")), "a")
+    found = found.join(names.select(F.col("node").alias("b"), F.col("sign").alias("y"), F.col("size").alias("ysize"), F.col("bits").alias("ybits")), "b")
+    more = verified(written(found.drop("a", "b").mapInArrow(possible, "a binary, b binary"), "possible"))
     joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
     return marks.join(joined, marks.sign == joined.node, "left").select(
         "id", "row_hash", "sign", F.coalesce("component", "sign").alias("component")
