@@ -320,3 +320,18 @@ def test_pipeline_runs_to_token_files(spark):
     found = corpus_pipeline.run(spark, SF).orderBy("start").collect()
     assert found and found[0].start == 0
     assert all(a.start + a.n_tokens == b.start for a, b in zip(found, found[1:]))
+
+
+def test_repeats_do_not_depend_on_the_size_of_a_host(spark):
+    """A notice on two of 600 pages without an article goes; copies of a page keep their text."""
+    notice = "this notice stands on two pages of the whole host only"
+    rows = [(i, f"<p>{' '.join(f'w{i}x{k}' for k in range(12))}</p>") for i in range(600)]
+    for i in (0, 1, 300, 599):
+        rows[i] = (i, rows[i][1] + f"<p>{notice} {'a' if i < 2 else 'b'}</p>")
+    rows += [(600, rows[5][1]), (601, rows[5][1]), (602, None), (603, f"<article><p>{notice} c</p></article>")]
+    table = spark.createDataFrame([(i, "http://h.example/x", h) for i, h in rows], "page_id long, url string, html string")
+    texts, tokens, shared = extraction.main_texts([h for _, h in rows])
+    want = {i: (t, n, m) for (i, _), t, n, m in zip(rows, texts, tokens, shared)}
+    assert not any("notice" in want[i][0] for i in range(602)) and want[600][0] == want[5][0] != ""
+    assert {r.page_id: (r.text, r.n_tokens, r.n_repeated) for r in extraction.extract(table).collect()} == want
+    assert {r.page_id: r.text for r in extraction.extract(table, counts=False).collect()} == {i: w[0] for i, w in want.items()}
