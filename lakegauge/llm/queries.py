@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakegauge.llm import decontaminate, extraction, language, mixing, quality, simhash, tokens, toxicity, vectors, warc
+from lakegauge.llm import (
+    decontaminate, extraction, importance, language, mixing, phrases, pieces, quality, simhash, tokens, toxicity, vectors, warc,
+)
 from lakegauge.llm.common import crc_bucket, read
 
 #: File of the tokenizer in the public collection that the workers have.
 TOKENIZER = "byte_bpe_50k.json"
+PIECE_MODEL = "piece_bpe_32k.model"
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,6 +96,23 @@ def warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def sentencepiece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pieces.encoded(read(spark, sf_dir, "documents"), tokenizer_path(PIECE_MODEL))
+    return found.select(
+        F.col("id").alias("doc_id"), pieces.n_ids(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(phrases.frequent_phrases(read(spark, sf_dir, "documents")))
+
+
+def importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resampled(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_simhash_near_dedup": simhash_near_dedup,
     "op2_quality_classifier": quality_classifier,
@@ -104,6 +124,9 @@ QUERIES = {
     "op8_token_files": token_files,
     "op9_warc": warc_archive,
     "op10_toxicity": toxicity_classifier,
+    "op11_sentencepiece": sentencepiece_ids,
+    "op12_collocations": phrase_collocations,
+    "op13_importance_resampling": importance_resampling,
 }
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -199,5 +222,64 @@ SELECT page_id, strlen(payload) AS payload_bytes,
        CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> first THEN first END AS refers_to
 FROM digits
+""",
+    "op12_collocations": f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents
+), worded AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces
+), totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM worded GROUP BY lang
+), runs AS (
+  SELECT lang, size, w[i : i + size - 1] AS p
+  FROM worded, range(1, 5) AS s(size), unnest(range(1, len(w) - size + 2)) AS r(i)
+), frequent AS MATERIALIZED (SELECT lang, size, p, count(*) AS f FROM runs GROUP BY ALL HAVING count(*) >= 30
+), halves AS MATERIALIZED (
+  SELECT lang, p, size, f AS a, k, p[1:k] AS head, p[k + 1 : size] AS tail FROM frequent, range(1, 4) AS g(k) WHERE k < size
+), cuts AS (
+  SELECT c.lang, c.p, c.a, x.f AS l, y.f AS r, k, 2000000 * CAST(c.a AS HUGEINT) // (x.f + y.f) AS score
+  FROM halves c JOIN frequent x ON x.lang = c.lang AND x.p = c.head JOIN frequent y ON y.lang = c.lang AND y.p = c.tail
+), best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1
+), inner_parts AS (
+  SELECT lang, p[i : i + part - 1] AS p, max(f) AS longer
+  FROM frequent, range(2, 4) AS g(part), unnest(range(1, size - part + 2)) AS r(i) WHERE part < size GROUP BY ALL
+), kept AS (
+  SELECT lang, array_to_string(p, ' ') AS phrase, a, l, r, score FROM best LEFT JOIN inner_parts USING (lang, p)
+  WHERE longer IS NULL OR 100 * longer < 80 * a
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+""",
+    "op13_importance_resampling": f"""
+WITH steps AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(range(8),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b)) AS t
+), doc_words AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), item_words AS (
+  SELECT unnest(regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS word FROM benchmark
+), doc_counts AS (SELECT row, word, count(*) AS n FROM (SELECT row, unnest(w) AS word FROM doc_words) GROUP BY ALL
+), words AS (SELECT word FROM doc_counts UNION SELECT word FROM item_words
+), hashed AS (
+  SELECT word, xor(4294967295, list_reduce(range(strlen(word)), lambda c, i: xor(c >> 8,
+    t[(xor(c, CAST('0x' || substr(hex(word), 2 * i + 1, 2) AS BIGINT)) & 255) + 1]), 4294967295)) % 10000 AS bucket
+  FROM words, steps
+), sums AS (
+  SELECT bucket, CAST(sum(s) AS DOUBLE) AS s, CAST(sum(t) AS DOUBLE) AS t FROM (
+    SELECT word, n AS s, 0 AS t FROM doc_counts UNION ALL SELECT word, 0, 1 FROM item_words
+  ) JOIN hashed USING (word) GROUP BY bucket
+), gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM sums) + 10000) / ((s + 1) * ((SELECT sum(t) FROM sums) + 10000)))) AS gain
+  FROM sums
+), weighed AS (
+  SELECT row, CAST(sum(n) AS BIGINT) AS n_features, CAST(floor(sum(n * gain) / sum(n)) AS BIGINT) AS weight
+  FROM doc_counts JOIN hashed USING (word) JOIN gains USING (bucket) GROUP BY row
+), scored AS (
+  SELECT row, doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((
+           CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT) + 0.5) / 4294967296.0))) AS BIGINT) AS score
+  FROM doc_words LEFT JOIN weighed USING (row)
+), ranked AS (
+  SELECT row, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) AS rank, count(*) OVER () AS able
+  FROM scored WHERE n_features >= 20
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= able * 10 // 100 THEN rank END AS rank FROM scored LEFT JOIN ranked USING (row)
 """,
 }
