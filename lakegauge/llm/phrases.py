@@ -3,9 +3,11 @@
 Frequent phrases are found by partitioning.  The tasks' texts are dealt to a few
 shards, each of which is mined completely at the support lowered in proportion:
 a phrase with ``least`` occurrences in all has ``least / shards`` of them in some
-shard.  Shards are mined by rising length, and a longer phrase is counted only
-where the two shorter ones inside it were found.  What any shard finds is put
-together and counted exactly over all texts.
+shard.  A shard is no task's load: its counts are summed by phrase like any
+others.  Shards are mined by rising length, single words, pairs, then two
+lengths at a time, and a phrase is counted only where the shorter ones inside it
+were found.  What any shard finds is put together and counted exactly over all
+texts.
 
 In the mining, phrases are 64-bit hashes, and what was found travels as a
 filter of a fixed number of bits.  Equal hashes and a full filter only let more
@@ -31,11 +33,11 @@ LEAST = 30
 TOP = 2000
 #: A longer candidate with so many hundredths of a phrase's occurrences covers it.
 COVERED = 80
-SHARDS = 10
+SHARDS = 4
 #: Bits of the filter of phrases found; 8 MB.
 FILTER_BITS = 1 << 26
 #: Texts are taken together up to so many bytes.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
 #: Parts that more than one in so many links name are joined by broadcast: at most so many parts.
 HOT_SHARE = 500
 NO_LANG = "und"
@@ -114,14 +116,14 @@ def _filter(found: DataFrame, bits: int) -> np.ndarray:
         F.bitmap_construct_agg(F.pmod(F.col("p"), F.lit(_BITS_OF_BUCKET))).alias("bits")
     )
     out = np.zeros(bits // 8, np.uint8)
-    for row in maps.toLocalIterator():
+    for row in maps.collect():
         one = np.frombuffer(bytes(row.bits), np.uint8)
         out[row.bucket * (_BITS_OF_BUCKET // 8) :][: len(one)] = one
     return out
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, _Block]]:
-    """The tasks' texts by language, in blocks of some megabytes."""
+    """A task's texts by language, in blocks of some megabytes."""
     held: dict[str, list[bytes]] = {}
     size = 0
 
@@ -131,27 +133,30 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, _Block]]:
         held.clear()
 
     for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-            held.setdefault(lang, []).append(text)
-            size += len(text) + 1
-            if size >= BLOCK_BYTES:
-                yield from out()
-                size = 0
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()):
+                held.setdefault(lang, []).append(text)
+                size += len(text) + 1
+                if size >= BLOCK_BYTES:
+                    yield from out()
+                    size = 0
     yield from out()
 
 
-def _filters(shared: list[Broadcast]) -> list[Filter]:
-    return [Filter(b.value) for b in shared]
+def _filters(shared: list[tuple[range, Broadcast]]) -> list[Filter]:
+    """The filter of each size that was mined, the size of one word first."""
+    return [one for sizes, b in shared for one in [Filter(b.value)] * len(sizes)]
 
 
-def _mined(rows: DataFrame, size: int, shared: list[Broadcast], least: int, shards: int) -> DataFrame:
-    """Rows (h): phrases of ``size`` words that have the lowered support in some shard."""
+def _mined(rows: DataFrame, sizes: range, shared: list[tuple[range, Broadcast]], least: int, shards: int) -> DataFrame:
+    """Rows (h): phrases of ``sizes`` words that have the lowered support in some shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId() % shards
         found = _filters(shared)
         for _, block in _blocks(batches):
-            for _, _, hashes in block.phrases(found, range(size, size + 1)):
+            for _, _, hashes in block.phrases(found, sizes):
                 values, counts = np.unique(hashes, return_counts=True)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(len(values), shard, np.int32)), pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64))],
@@ -162,7 +167,7 @@ def _mined(rows: DataFrame, size: int, shared: list[Broadcast], least: int, shar
     return counted.where(F.col("n") >= -(-least // shards)).select("h")
 
 
-def _counted(rows: DataFrame, longest: int, shared: list[Broadcast]) -> DataFrame:
+def _counted(rows: DataFrame, longest: int, shared: list[tuple[range, Broadcast]]) -> DataFrame:
     """Rows (lang, phrase, size, n) over all texts: what the filters let through; size 0 counts all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,13 +206,14 @@ def frequent_phrases(
     rows = docs.select(
         F.coalesce(F.col(lang_col), F.lit(NO_LANG)).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")
     )
-    shared: list[Broadcast] = []
-    for size in range(1, longest + 1):
-        found = _mined(rows, size, shared, least, shards)
-        shared.append(spark.sparkContext.broadcast(_filter(found, filter_bits)))
+    shared: list[tuple[range, Broadcast]] = []
+    for first in [1, *range(2, longest + 1)[:1], *range(3, longest + 1, 2)]:
+        sizes = range(first, min(first + (2 if first > 2 else 1), longest + 1))
+        found = _mined(rows, sizes, shared, least, shards)
+        shared.append((sizes, spark.sparkContext.broadcast(_filter(found, filter_bits))))
     counted = _counted(rows, longest, shared)
     found = written(counted.where((F.col("n") >= least) | (F.col("size") == 0)), "phrases")
-    for one in shared:
+    for _, one in shared:
         one.unpersist()
     return found
 
