@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager, nullcontext
 from pathlib import Path
 
 import numpy as np
@@ -40,13 +41,41 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` to the shared folder and return what was written: later steps survive lost executors."""
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Queries built and run inside give their shuffle files back as soon as they end, not when the driver forgets them."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(setting)
+        else:
+            spark.conf.set(setting, before)
+
+
+def written(df: DataFrame, name: str = "table", free: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and return what was written: later steps survive lost executors.
+
+    ``free`` gives the shuffle files of the writing back at its end.
+    """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with shuffles_freed(df.sparkSession) if free else nullcontext():
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def erased(*tables: DataFrame) -> None:
+    """Delete ``written`` tables that nothing will read again; only files in the shared folder's own tables go."""
+    for table in tables:
+        spark = table.sparkSession
+        for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def constant(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 

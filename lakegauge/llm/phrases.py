@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lakegauge.llm.common import written
+from lakegauge.llm.common import shuffles_freed, written
 
 LONGEST = 4
 LEAST = 30
@@ -116,7 +116,9 @@ def _filter(found: DataFrame, bits: int) -> np.ndarray:
         F.bitmap_construct_agg(F.pmod(F.col("p"), F.lit(_BITS_OF_BUCKET))).alias("bits")
     )
     out = np.zeros(bits // 8, np.uint8)
-    for row in maps.collect():
+    with shuffles_freed(found.sparkSession):
+        rows = maps.select("*").collect()
+    for row in rows:
         one = np.frombuffer(bytes(row.bits), np.uint8)
         out[row.bucket * (_BITS_OF_BUCKET // 8) :][: len(one)] = one
     return out
@@ -212,7 +214,7 @@ def frequent_phrases(
         found = _mined(rows, sizes, shared, least, shards)
         shared.append((sizes, spark.sparkContext.broadcast(_filter(found, filter_bits))))
     counted = _counted(rows, longest, shared)
-    found = written(counted.where((F.col("n") >= least) | (F.col("size") == 0)), "phrases")
+    found = written(counted.where((F.col("n") >= least) | (F.col("size") == 0)), "phrases", free=True)
     for _, one in shared:
         one.unpersist()
     return found
