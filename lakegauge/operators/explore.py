@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import threading
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
+from contextlib import contextmanager
 from functools import reduce
 from typing import Any
 from uuid import uuid4
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -150,52 +152,85 @@ def search_records(
 
 # ------------------------------------------------------------------ guarded SQL
 
-# functions that run code or tell where files lie
-FORBIDDEN_FUNCTIONS = frozenset({"reflect", "java_method", "try_reflect", "input_file_name"})
-_SUBQUERIES = frozenset({"ScalarSubquery", "Exists", "ListQuery", "InSubquery", "LateralSubquery"})
+# functions that run code or tell where files lie, and the expressions they become
+FORBIDDEN_FUNCTIONS = frozenset({"reflect", "java_method", "try_reflect", "input_file_name", "input_file_block_start", "input_file_block_length"})
+FORBIDDEN_EXPRESSIONS = frozenset({"CallMethodViaReflection", "InputFileName", "InputFileBlockStart", "InputFileBlockLength"})
+
+#: Nodes of a resolved query that only work on what lies below them.
+_OPERATORS = frozenset(
+    {
+        "Project", "Filter", "Aggregate", "Join", "LateralJoin", "AsOfJoin", "Sort", "Window", "WithWindowDefinition",
+        "GlobalLimit", "LocalLimit", "LimitAll", "Offset", "Tail", "SubqueryAlias", "Union", "Distinct", "Deduplicate",
+        "Intersect", "Except", "Generate", "Expand", "Sample", "ResolvedHint", "WithCTE", "CTERelationDef", "UnionLoop",
+        "RepartitionByExpression", "Repartition", "RebalancePartitions",
+    }
+)
+#: Leaves that hold constants, or stand for a common table whose definition is in the same tree.
+_CONSTANTS = frozenset({"OneRowRelation", "LocalRelation", "Range", "CTERelationRef", "UnionLoopRef"})
 
 
 def _seq(items) -> list:
     return [items.apply(i) for i in range(items.size())]
 
 
-def _named_in(plan) -> tuple[set[tuple[str, ...]], set[str], set[str]]:
-    """Relations, functions and names of common tables of an unresolved plan, subqueries included."""
-    relations: set[tuple[str, ...]] = set()
+def _check_resolved(plan, views: set[str]) -> None:
+    """Refuse a resolved query that reads anything but ``views``, in any scope.
+
+    Names have been looked up by then, so neither a common table that shares a
+    name, nor a name put together by an expression, hides what is read: every
+    leaf must be a constant or lie under one of the session's own views.  Kinds of nodes
+    that are not known are refused.
+    """
+    plans, expressions = [plan], []
+    while plans or expressions:
+        if plans:
+            node = plans.pop()
+            kind = node.getClass().getSimpleName()
+            if kind == "View":
+                name = node.desc().identifier()
+                if not node.isTempView() or name.database().isDefined() or name.table().lower() not in views:
+                    raise GuardError(f"{name.unquotedString()} is not one of the views")
+                continue  # what lies below was put there by the guard
+            if kind not in _OPERATORS and kind not in _CONSTANTS:
+                raise GuardError(f"the statement reads or does more than the views allow ({kind})")
+            plans += _seq(node.children()) + _seq(node.subqueries())
+            expressions += _seq(node.expressions())
+        else:
+            node = expressions.pop()
+            if node.getClass().getSimpleName() in FORBIDDEN_EXPRESSIONS:
+                raise GuardError("the statement calls a function that is not allowed")
+            expressions += _seq(node.children())
+
+
+def _functions_of(plan) -> set[str]:
+    """Names of the functions that an unresolved plan calls, subqueries included."""
     functions: set[str] = set()
-    common: set[str] = set()
     plans, expressions = [plan], []
     while plans or expressions:
         if plans:
             node = plans.pop()
             kind = node.getClass().getSimpleName()
-            if kind == "UnresolvedRelation":
-                relations.add(tuple(_seq(node.multipartIdentifier())))
-            elif kind == "UnresolvedTableValuedFunction":
-                functions.add(".".join(_seq(node.name())).lower())
+            if kind == "UnresolvedTableValuedFunction":
+                functions.add(_seq(node.name())[-1].lower())
             elif kind == "UnresolvedWith":
-                for pair in _seq(node.cteRelations()):
-                    common.add(pair._1().lower())
-                    plans.append(pair._2())
-            plans += _seq(node.children())
+                plans += [pair._2() for pair in _seq(node.cteRelations())]
+            plans += _seq(node.children()) + _seq(node.subqueries())
             expressions += _seq(node.expressions())
         else:
             node = expressions.pop()
-            kind = node.getClass().getSimpleName()
-            if kind == "UnresolvedFunction":
+            if node.getClass().getSimpleName() == "UnresolvedFunction":
                 functions.add(_seq(node.nameParts())[-1].lower())
-            if kind in _SUBQUERIES:
-                plans.append(node.plan() if kind != "InSubquery" else node.query().plan())
             expressions += _seq(node.children())
-    return relations, functions, common
+    return functions
 
 
 class GuardedSql:
     """Free SELECT statements over tables that lack their denied columns.
 
     The statement is parsed alone first, so that it cannot leave the subquery it
-    is wrapped in; the parsed tree may name registered views and its own common
-    tables only.  It runs in a session whose views lack the denied columns.
+    is wrapped in, and forbidden calls are refused before the resolver could
+    fold them.  The resolved tree may read the registered views only.  It runs in
+    a session whose views lack the denied columns.
     """
 
     def __init__(
@@ -220,35 +255,65 @@ class GuardedSql:
             self.views.add(name.lower())
 
     def query(self, sql: str) -> DataFrame:
-        plan = self.session._jsparkSession.sessionState().sqlParser().parsePlan(sql)
+        state = self.session._jsparkSession.sessionState()
+        plan = state.sqlParser().parsePlan(sql)
         wrapped = f"SELECT * FROM (\n{sql}\n) LIMIT {self.max_rows}"
-        self.session._jsparkSession.sessionState().sqlParser().parsePlan(wrapped)  # a query, not a command
-        relations, functions, common = _named_in(plan)
-        if functions & FORBIDDEN_FUNCTIONS:
+        state.sqlParser().parsePlan(wrapped)  # a query, not a command
+        if _functions_of(plan) & FORBIDDEN_FUNCTIONS:
             raise GuardError("the statement calls a function that is not allowed")
-        for name in relations:
-            if len(name) > 1 or name[0].lower() not in self.views | common:
-                raise GuardError(f"{'.'.join(name)} is not one of the views")
-        return self.session.sql(wrapped).limit(self.max_rows)
+        try:
+            found = self.session.sql(wrapped)
+        except AnalysisException as error:
+            if error.getCondition() == "TABLE_OR_VIEW_NOT_FOUND":  # as for a table that is there
+                raise GuardError("the statement names something that is not one of the views") from None
+            raise
+        _check_resolved(found._jdf.queryExecution().analyzed(), self.views)
+        return found.limit(self.max_rows)
 
     def rows(self, sql: str, seconds: float = TIMEOUT_SECONDS) -> list[Row]:
         """The statement's rows, or a TimeoutError after so many seconds."""
         return rows_within(self.query(sql), seconds, self.max_rows)
 
+    def answer(self, sql: str, seconds: float = TIMEOUT_SECONDS) -> DataFrame:
+        """The statement's rows, at most ``max_rows``, computed within the time limit, as a table of constants."""
+        return answer_within(self.query(sql), seconds, self.max_rows)
 
-def rows_within(df: DataFrame, seconds: float = TIMEOUT_SECONDS, max_rows: int = MAX_ROWS) -> list[Row]:
-    """The first rows of a result; the jobs are cancelled after the time limit."""
-    context = df.sparkSession.sparkContext
-    group = f"lakegauge-{uuid4().hex}"
-    context.setJobGroup(group, "time-limited query", interruptOnCancel=True)
-    timer = threading.Timer(seconds, context.cancelJobGroup, [group])
+
+@contextmanager
+def time_limit(spark: SparkSession, seconds: float = TIMEOUT_SECONDS) -> Iterator[None]:
+    """Jobs started inside carry a tag of their own, and are cancelled by it after ``seconds`` with a TimeoutError.
+
+    Tags belong to the thread, and a job may have several, so that questions
+    may run side by side or inside one another, each with its own limit.
+    """
+    context = spark.sparkContext
+    tag = f"lakegauge-{uuid4().hex}"
+    over = threading.Event()
+
+    def stop() -> None:
+        over.set()
+        context.cancelJobsWithTag(tag)
+
+    timer = threading.Timer(seconds, stop)
+    context.addJobTag(tag)
     timer.start()
     try:
-        return df.limit(max_rows).collect()
+        yield
     except Exception as error:
-        if not timer.is_alive():
+        if over.is_set():
             raise TimeoutError(f"query exceeded {seconds} seconds") from error
         raise
     finally:
         timer.cancel()
-        context.setLocalProperty("spark.jobGroup.id", None)
+        context.removeJobTag(tag)
+
+
+def rows_within(df: DataFrame, seconds: float = TIMEOUT_SECONDS, max_rows: int = MAX_ROWS) -> list[Row]:
+    """The first rows of a result; its jobs are cancelled after the time limit."""
+    with time_limit(df.sparkSession, seconds):
+        return df.limit(max_rows).collect()
+
+
+def answer_within(df: DataFrame, seconds: float = TIMEOUT_SECONDS, max_rows: int = MAX_ROWS) -> DataFrame:
+    """``rows_within`` as a DataFrame of the same columns, which needs no further job; at most ``max_rows`` rows are held."""
+    return df.sparkSession.createDataFrame(rows_within(df, seconds, max_rows), df.schema)

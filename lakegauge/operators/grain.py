@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
-from itertools import combinations
+from itertools import chain, combinations
 from math import prod
 
 from pyspark.sql import DataFrame
@@ -14,7 +15,9 @@ from lakegauge.dataset import Dataset, column, constant_rows, quoted
 # defaults that the results depend on; callers may widen the search
 MAX_KEY_CANDIDATES = 6
 WIDEST_KEY = 3
-SKETCH_ERROR, MARGIN = 0.02, 5
+# keys that the first look at a table compares
+SLICE_KEYS = 16_000
+COMBO = "_grain_combo"
 
 GRAIN_SCHEMA = "table string, grain_columns array<string>, description string, confidence double"
 
@@ -70,58 +73,98 @@ def full_row(structural: DataFrame) -> DataFrame:
     )
 
 
-def _refuted(df: DataFrame, combos: list[tuple[str, ...]], rows: int) -> set[tuple[str, ...]]:
-    """Combinations with clearly fewer different keys than rows, from one scan with sketches.
+@dataclass(frozen=True)
+class Candidates:
+    """A table's columns that may be part of a key, most distinct first, with their numbers of different values."""
+
+    table: str
+    rows: int
+    cardinality: dict[str, int]
+    nullable: frozenset[str] = frozenset()
+    marked: frozenset[str] = frozenset()
+
+    def combinations(self, widest: int) -> list[tuple[str, ...]]:
+        """Pairs, triples and so on without nulls; fewer combinations of values than rows cannot be unique."""
+        whole = [c for c in self.cardinality if c not in self.nullable]
+        every = chain.from_iterable(combinations(whole, size) for size in range(2, widest + 1))
+        return [c for c in every if prod(self.cardinality[k] for k in c) >= self.rows]
 
-    A sketch errs by ``SKETCH_ERROR`` on average; only what falls short of the rows
-    by ``MARGIN`` times that is refuted.  Nothing but the sketches is shuffled.
-    """
-    sketches = [
-        F.approx_count_distinct(F.xxhash64(*[column(c) for c in combo]), SKETCH_ERROR).alias(f"c{i}")
-        for i, combo in enumerate(combos)
-    ]
-    found = df.agg(*sketches).first()
-    return {combo for combo, n in zip(combos, found) if n < rows * (1 - MARGIN * SKETCH_ERROR)}
 
+def _joined(combo: tuple[str, ...]) -> str:
+    """The key as SQL: its columns' texts joined by pipes."""
+    return " || '|' || ".join(f"cast({quoted(c)} as string)" for c in combo)
 
-def _repeated(df: DataFrame, combos: list[tuple[str, ...]]) -> set[tuple[str, ...]]:
-    """Combinations with a repeated or null key: the exact test of all of them in one shuffle.
 
-    Keys compare as their texts joined by pipes.
+def _keys(ds: Dataset, asked: list[tuple[Candidates, tuple[str, ...]]], slices: dict[str, int] | None = None) -> DataFrame:
+    """``combo, key`` of the asked combinations of all tables, each table read once.
+
+    ``slices`` gives each table the number of slices, a power of two, that its
+    keys are dealt to by hash; only the first slice's keys are kept, and only
+    kept keys become texts.
     """
-    cells = []
-    for i, combo in enumerate(combos):
-        joined = " || '|' || ".join(f"cast({quoted(c)} as string)" for c in combo)
-        cells.append(f"{i}, {joined}")
-    keys = df.selectExpr(f"stack({len(combos)}, {', '.join(cells)}) as (combo, key)")
+    parts = []
+    for table in dict.fromkeys(c.table for c, _ in asked):
+        own = [(i, combo) for i, (c, combo) in enumerate(asked) if c.table == table]
+        names = list(dict.fromkeys(chain.from_iterable(combo for _, combo in own)))
+        rows = ds.table(table).select(*map(column, names))
+        if slices:
+            hashed = {name: f"xxhash64({k}, {quoted(name)})" for k, name in enumerate(names)}
+            inside = {i: f"(({' ^ '.join(hashed[c] for c in combo)}) & {slices[table] - 1}) = 0" for i, combo in own}
+            rows = rows.where(" or ".join(inside.values()))  # most rows are in no slice
+            cells = ", ".join(f"if({test}, {i}, null)" for i, test in inside.items())
+            rows = rows.withColumn(COMBO, F.explode(F.expr(f"array_compact(array({cells}))")))
+        else:
+            rows = rows.withColumn(COMBO, F.explode(F.array(*[F.lit(i) for i, _ in own])))
+        key = " ".join(f"when {i} then {_joined(combo)}" for i, combo in own)
+        parts.append(rows.selectExpr(f"{COMBO} as combo", f"case {COMBO} {key} end as key"))
+    return reduce(DataFrame.unionAll, parts)
+
+
+def _repeated(keys: DataFrame) -> set[int]:
+    """Numbers of the combinations with a repeated or null key, for certain: one shuffle with map-side combine."""
     counted = keys.groupBy("combo", "key").agg(F.count(F.lit(1)).alias("n"))
-    repeated = counted.groupBy("combo").agg(
-        F.bool_or((F.col("n") > 1) | F.col("key").isNull()).alias("repeated")
-    )
-    return {combos[r["combo"]] for r in repeated.where("repeated").collect()}
+    found = counted.where((F.col("n") > 1) | F.col("key").isNull()).select("combo").distinct()
+    return {r["combo"] for r in found.collect()}
 
 
-def composite_key(
-    df: DataFrame, cardinality: dict[str, int], rows: int, widest: int = WIDEST_KEY
-) -> tuple[str, ...] | None:
-    """The first pair, else triple and so on up to ``widest``, of the ordered candidates that is unique.
+def _slices(rows: int, slice_keys: int) -> int:
+    """The power of two nearest below ``rows / slice_keys``, one for small tables."""
+    return 1 << max(0, (rows // slice_keys).bit_length() - 1)
+
 
-    One scan refutes nearly all combinations of a width; one job tests the rest.
+def search_keys(
+    ds: Dataset, tables: list[Candidates], widest: int = WIDEST_KEY, slice_keys: int = SLICE_KEYS
+) -> dict[str, tuple[str, ...]]:
+    """Each table's first pair, else triple and so on up to ``widest`` columns, of its candidates that is unique.
+
+    One scan of all tables looks at the combinations of every width, but only at
+    the keys in one slice of the hashes, of about ``slice_keys`` rows whatever
+    the table's size: a key that is repeated there refutes its combination for
+    certain.  What is left is tested over all keys, a width at a time and all
+    tables in one job.
     """
+    asked = [(c, combo) for c in tables for combo in c.combinations(widest)]
+    if asked:
+        slices = {c.table: _slices(c.rows, slice_keys) for c in tables}
+        refuted = _repeated(_keys(ds, asked, slices))
+        asked = [a for i, a in enumerate(asked) if i not in refuted]
+    found: dict[str, tuple[str, ...]] = {}
     for size in range(2, widest + 1):
-        # fewer value combinations than rows cannot be unique
-        combos = [
-            c for c in combinations(cardinality, size) if prod(cardinality[k] for k in c) >= rows
-        ]
-        if combos:
-            refuted = _refuted(df, combos, rows)
-            combos = [c for c in combos if c not in refuted]
-        if combos:
-            repeated = _repeated(df, combos)
-            combos = [c for c in combos if c not in repeated]
-        if combos:
-            return combos[0]
-    return None
+        tested = [(c, combo) for c, combo in asked if len(combo) == size and c.table not in found]
+        # a table that fits into its slice has been tested over all keys
+        unsure = [a for a in tested if _slices(a[0].rows, slice_keys) > 1]
+        refuted = {(unsure[i][1], unsure[i][0].table) for i in _repeated(_keys(ds, unsure))} if unsure else set()
+        for c, combo in tested:
+            if (combo, c.table) not in refuted:
+                found.setdefault(c.table, combo)
+    return found
+
+
+def composite_key(
+    df: DataFrame, cardinality: dict[str, int], rows: int, widest: int = WIDEST_KEY, slice_keys: int = SLICE_KEYS
+) -> tuple[str, ...] | None:
+    """``search_keys`` of a single table."""
+    return search_keys(Dataset({"t": df}), [Candidates("t", rows, cardinality)], widest, slice_keys).get("t")
 
 
 def key_candidates(structural: DataFrame, most: int = MAX_KEY_CANDIDATES) -> DataFrame:
@@ -135,7 +178,7 @@ def key_candidates(structural: DataFrame, most: int = MAX_KEY_CANDIDATES) -> Dat
     ordered = eligible.groupBy("table").agg(
         F.first("row_count").alias("row_count"),
         F.sort_array(
-            F.collect_list(F.struct(order.alias("o"), "column", "cardinality", "is_identifier"))
+            F.collect_list(F.struct(order.alias("o"), "column", "cardinality", "null_count", "is_identifier"))
         ).alias("c"),
     )
     return ordered.select("table", "row_count", F.slice("c", 1, most).alias("c"))
@@ -148,16 +191,22 @@ def composite_keys(
 
     Reads a catalogue-sized list of candidates, ``most`` for each table.
     """
+    tables = [
+        Candidates(
+            row["table"], row["row_count"], {c["column"]: c["cardinality"] for c in row["c"]},
+            frozenset(c["column"] for c in row["c"] if c["null_count"]),
+            frozenset(c["column"] for c in row["c"] if c["is_identifier"]),
+        )
+        for row in key_candidates(structural, most).collect()
+    ]
+    keys = search_keys(ds, tables, widest)
     found = []
-    for row in key_candidates(structural, most).collect():
-        cards = {c["column"]: c["cardinality"] for c in row["c"]}
-        marked = {c["column"] for c in row["c"] if c["is_identifier"]}
-        key = composite_key(ds.table(row["table"]), cards, row["row_count"], widest)
-        if key:
-            bridge = len(key) == 2 and set(key) <= marked
+    for c in tables:
+        if key := keys.get(c.table):
+            bridge = len(key) == 2 and set(key) <= c.marked
             note = " (bridge/junction table)" if bridge else ""
             text = f"One row per unique combination of {', '.join(key)}{note}"
-            found.append((row["table"], list(key), text, 0.85))
+            found.append((c.table, list(key), text, 0.85))
     return constant_rows(ds.spark, found, GRAIN_SCHEMA)
 
 

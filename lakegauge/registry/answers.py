@@ -178,6 +178,12 @@ def _(spark, sf_dir):
     return guard.query(GUARDED)
 
 
+@query("guarded_answer", GUARDED)
+def _(spark, sf_dir):
+    guard = explore.GuardedSql(spark, lambda s: load(s, sf_dir, "customer", "orders"), {"customer": ["c_name"]})
+    return guard.answer(GUARDED, seconds=60)
+
+
 # ------------------------------------------------------------------- binding
 
 BOUND = ("sales", "customer", "lineitem")

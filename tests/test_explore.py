@@ -186,3 +186,59 @@ def test_constant_rows_need_no_job(spark):
     df = constant_rows(spark, [(1, ["a"]), (2, [])], "x int, y array<string>")
     assert "LocalRelation" in df._jdf.queryExecution().optimizedPlan().toString()
     assert constant_rows(spark, [], "x int").count() == 0
+
+
+@pytest.mark.parametrize("sql", [
+    "select * from identifier('outside')", "select * from identifier('out' || 'side')",
+    "select * from outside where exists (with outside as (select 1) select * from outside)",
+    "select city from customers where 1 in (with outside as (select 1 as y) select y from outside) union all select cast(id as string) from outside",
+    "select (select max(id) from outside)", "select * from customers, lateral (select id from outside)",
+    "with recursive r as (select id from outside union all select id + 1 from r where id < 0) select * from r",
+    "select * from (select id from outside) pivot (max(id) for id in (1))", "select transform(order_id) using 'cat' from orders",
+    "select input_file_block_start() from orders", "select * from customers where city in (select id from outside)"])
+def test_guard_sees_through_names_and_scopes(guard, sql):
+    with pytest.raises((explore.GuardError, ParseException)):
+        guard.query(sql)
+
+
+@pytest.mark.parametrize("sql", [
+    "select _metadata.file_path from orders", "select * from customers c where exists (select c.full_name)"])
+def test_guard_hides_file_facts(guard, sql):
+    with pytest.raises(AnalysisException):
+        guard.query(sql)
+
+
+@pytest.mark.parametrize("sql", [
+    "with customers as (select order_id from orders) select * from customers",
+    "with recursive r as (select 1 as n union all select n + 1 from r where n < 3) select * from r",
+    "select * from (select city, order_id from customers c join orders o on c.customer_id = o.customer_id) pivot (count(order_id) for city in ('Oslo'))",
+    "select distinct city from customers union select 'x' except select 'y' intersect select 'z'",
+    "select city, row_number() over (partition by city order by customer_id) as n from customers",
+    "select * from values (1), (2) t(a), range(2)", "select explode(array(1, 2)) as a from orders order by a limit 3 offset 1",
+    "select city from customers tablesample (50 percent)", "select 1", "select max((select count(*) from orders)) from customers",
+    "select * from identifier('orders')", "select * from orders o, lateral (select o.order_id + 1 as b)"])
+def test_guard_lets_queries_on_views_through(guard, sql):
+    assert guard.query(sql).count() <= 5
+
+
+def test_time_limit_cancels_only_its_own_jobs(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    slow = spark.range(0, 64, 1, 16).selectExpr("java_method('java.lang.Thread', 'sleep', 700L) as slept")
+    begun = time.time()
+    with ThreadPoolExecutor(2) as pool:
+        first = pool.submit(explore.rows_within, slow, 0.6, 100)
+        second = pool.submit(explore.rows_within, spark.range(100), 60, 7)
+        assert len(second.result()) == 7
+        with pytest.raises(TimeoutError):
+            first.result()
+    assert time.time() - begun < 20
+    with explore.time_limit(spark, 60), pytest.raises(TimeoutError):
+        explore.rows_within(slow, 0.5)
+    assert spark.range(3).count() == 3 and not spark.sparkContext.getJobTags()
+
+
+def test_answers_are_constants(spark, guard):
+    got = guard.answer("SELECT city, count(*) AS n FROM customers GROUP BY city", seconds=60)
+    assert got.count() == 4 and got.columns == ["city", "n"]
+    assert guard.answer("SELECT city FROM customers WHERE 1 = 0").schema.simpleString() == "struct<city:string>"

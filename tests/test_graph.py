@@ -66,7 +66,6 @@ def test_nullable_composite_is_no_key(spark):
 
 
 def test_composite_search(spark):
-    # every combination goes through the sketches first, and the key survives them
     df = spark.range(1000).selectExpr("id div 10 as a", "id % 10 as b", "id % 7 as c", "id div 200 as d")
     cards = {"a": 100, "b": 10, "c": 7, "d": 5}
     assert grain.composite_key(df, cards, 1000) == ("a", "b")
@@ -80,6 +79,33 @@ def test_key_of_four_columns(spark):
     assert grain.composite_key(df, cards, 1296, widest=4) == ("a", "b", "c", "d")
 
 
+@pytest.mark.parametrize("slice_keys", [1, 40, 10**6])
+def test_keys_of_several_tables_by_slices(spark, slice_keys):
+    wide = spark.range(1296).selectExpr("id % 6 as a", "id div 6 % 6 as b", "id div 36 % 6 as c", "id div 216 as d", "id % 5 as e")
+    pairs = spark.range(2000).selectExpr("id div 40 as x", "id % 40 as y", "'t' || (id % 7) as `o d`", "if(id = 5, null, id % 1999) as z")
+    rare = pairs.union(pairs.where("x = 49 and y = 39"))  # one repeat among 2001 rows
+    cards = {"x": 50, "y": 40, "o d": 7}
+    tables = [
+        grain.Candidates("wide", 1296, {"a": 6, "b": 6, "c": 6, "d": 6, "e": 5}), grain.Candidates("pairs", 2000, cards),
+        grain.Candidates("rare", 2001, cards), grain.Candidates("nulls", 2000, {"x": 50, "z": 1998}, frozenset({"z"})),
+        grain.Candidates("seen", 2000, {"x": 50, "z": 1998}),
+    ]
+    ds = Dataset({"wide": wide, "pairs": pairs, "rare": rare, "nulls": pairs, "seen": pairs})
+    found = grain.search_keys(ds, tables, widest=4, slice_keys=slice_keys)
+    assert found == {"wide": ("a", "b", "c", "d"), "pairs": ("x", "y")}
+    assert grain.search_keys(ds, [], slice_keys=slice_keys) == {}
+
+
+def test_slice_scan_reads_only_candidates_and_makes_few_texts(spark, tmp_path):
+    spark.range(1000).selectExpr("id div 10 as a", "id % 10 as b", "id as unused").write.parquet(str(tmp_path / "t"))
+    ds = Dataset({"t": spark.read.parquet(str(tmp_path / "t"))})
+    one = grain.Candidates("t", 1000, {"a": 100, "b": 10})
+    keys = grain._keys(ds, [(one, ("a", "b"))], {"t": 64})
+    plan = keys._jdf.queryExecution().executedPlan().toString()
+    assert "unused" not in plan.split("ReadSchema")[1] and "Exchange" not in plan
+    assert 0 < keys.count() < 100
+
+
 def test_composite_of_two_texts_compares_joined_texts(spark):
     # joined by pipes both rows read a|b|c
     df = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), ("a", "c")], "x string, y string")
