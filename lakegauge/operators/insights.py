@@ -7,8 +7,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from lakegauge.dataset import Dataset, column
+from lakegauge.dataset import Dataset, column, constant_rows
 from lakegauge.functions.types import NUMERIC
 
 #: How far each kind of insight is trusted before it has run.
@@ -88,14 +89,55 @@ def run_insight(ds: Dataset, insight: Insight, top: int = 10) -> DataFrame:
     return ordered.limit(top) if insight.kind == "top_n" else ordered
 
 
+def run_insights(ds: Dataset, insights: list[Insight], top: int = 10) -> DataFrame:
+    """``kind, question, support, key, value`` of all insights, each table read once.
+
+    Every dimension and every time bucket of a table is a grouping set, and all
+    its measures are summed in each.  Keys come as texts; equal values of a top
+    list are taken in the order of these.
+    """
+    parts = []
+    for table in dict.fromkeys(i.table for i in insights):
+        own = [i for i in insights if i.table == table]
+        keys = list(dict.fromkeys((i.dimension, i.grain) for i in own))
+        measures = list(dict.fromkeys(i.measure for i in own if i.measure))
+        cells = [column(d) if g is None else F.date_trunc(g, column(d).cast("timestamp")) for d, g in keys]
+        rows = ds.table(table).select(
+            *[c.alias(f"k{n}") for n, c in enumerate(cells)], *[column(m).alias(f"m{n}") for n, m in enumerate(measures)]
+        )
+        groups = rows.groupingSets([[f"k{n}"] for n in range(len(keys))], *[f"k{n}" for n in range(len(keys))]).agg(
+            F.grouping_id().alias("set"), F.count(F.lit(1)).alias("n"),
+            *[F.sum(f"m{n}").cast("double").alias(f"s{n}") for n in range(len(measures))],
+        )
+        found = []
+        for insight in own:
+            at = keys.index((insight.dimension, insight.grain))
+            key = F.col(f"k{at}").cast("string")
+            mine = F.col("set") == (1 << len(keys)) - 1 - (1 << (len(keys) - 1 - at))
+            value = F.col("n").cast("double") if insight.kind == "distribution" else F.col(f"s{measures.index(insight.measure)}")
+            if insight.kind == "status_sum":
+                mine = mine & key.isNotNull()
+            found.append(
+                F.struct(
+                    mine.alias("mine"), F.lit(insight.kind).alias("kind"), F.lit(insight.question).alias("question"),
+                    F.lit(insight.support).alias("support"), key.alias("key"), value.alias("value"), F.col("n").alias("n"),
+                )
+            )
+        parts.append(groups.select(F.inline(F.array(*found))).where("mine").drop("mine"))
+    every = reduce(DataFrame.unionByName, parts)
+    # the most frequent state is one row, a top list ``top`` rows; all others are whole
+    first = W.partitionBy("kind", "question")
+    listed = every.where("kind = 'top_n'").withColumn("at", F.row_number().over(first.orderBy(F.desc_nulls_last("value"), F.asc_nulls_last("key"))))
+    state = every.where("kind = 'status_sum'").withColumn("at", F.row_number().over(first.orderBy(F.desc("n"), "key")))
+    rest = every.where("kind not in ('top_n', 'status_sum')").withColumn("at", F.lit(0))
+    picked = rest.unionByName(listed.where(F.col("at") <= top)).unionByName(state.where("at = 1"))
+    return picked.select("kind", "question", "support", "key", "value")
+
+
 def rank_insights(ds: Dataset, insights: list[Insight]) -> DataFrame:
-    """Row counts of all insights in one union; empty ones lose half their support."""
-    counts = [
-        run_insight(ds, i)
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .select(F.lit(i.kind).alias("kind"), F.lit(i.question).alias("question"),
-                F.lit(i.support).alias("support"), "rows")
-        for i in insights
-    ]
+    """Row counts of all insights, from one scan a table; empty ones lose half their support."""
+    counts = run_insights(ds, insights).groupBy("kind", "question").agg(F.count(F.lit(1)).alias("rows"))
+    listed = constant_rows(ds.spark, [(i.kind, i.question, i.support) for i in insights], "kind string, question string, support double")
+    ranked = listed.join(counts, ["kind", "question"], "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
     support = F.when(F.col("rows") == 0, F.round(F.col("support") * 0.5, 2)).otherwise(F.col("support"))
-    return reduce(DataFrame.unionByName, counts).withColumn("support", support).orderBy(F.desc("support"), "question")
+    return ranked.withColumn("support", support).orderBy(F.desc("support"), "question")

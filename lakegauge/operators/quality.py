@@ -35,29 +35,28 @@ def _finding(df: DataFrame, code: str, severity: str, summary: Column, top: Colu
     )
 
 
-def eligible_columns(structural: DataFrame) -> DataFrame:
-    """Columns whose values are worth listing: few, not personal, not dates."""
+def eligible_columns(structural: DataFrame, max_values: int = MAX_VALUES) -> DataFrame:
+    """Columns whose values are worth listing: at most ``max_values`` different ones, not personal, not dates."""
     return structural.where(
         ~F.col("is_pii")
-        & F.col("cardinality").between(1, MAX_VALUES)
+        & F.col("cardinality").between(1, max_values)
         & (F.col("family") != "temporal")
     )
 
 
-def histograms(frequency: DataFrame, structural: DataFrame) -> DataFrame:
-    """Values of eligible columns: total, share and place.
+def histograms(frequency: DataFrame, structural: DataFrame, max_values: int = MAX_VALUES) -> DataFrame:
+    """All values of columns with at most ``max_values`` different ones: total, share and place.
 
-    The eligible columns are a part of the catalogue and are broadcast; all
-    later groups are bounded by the value cap.
+    The bound is what later groups of a column's values are limited by.
     """
-    chosen = eligible_columns(structural).select(
+    chosen = eligible_columns(structural, max_values).select(
         "column_id", "table", "column", "family", "cardinality",
         (F.col("row_count") - F.col("null_count")).alias("total"),
     )
     place = Window.partitionBy("column_id").orderBy(F.desc("n"), "value")
     return (
         frequency.where(F.col("value").isNotNull())
-        .join(F.broadcast(chosen), "column_id")
+        .join(chosen, "column_id")
         .withColumn("place", F.row_number().over(place))
         .withColumn("percent", rounded(F.col("n") / F.col("total") * 100.0, 1))
     )
@@ -176,10 +175,10 @@ def unclear_meaning(claims: DataFrame) -> DataFrame:
 
 
 def quality_report(
-    frequency: DataFrame, structural: DataFrame, claims: DataFrame | None = None
+    frequency: DataFrame, structural: DataFrame, claims: DataFrame | None = None, max_values: int = MAX_VALUES
 ) -> DataFrame:
-    """All findings, most severe first, in one total order."""
-    hist = histograms(frequency, structural)
+    """All findings, most severe first, in one total order; values are judged in columns with at most ``max_values``."""
+    hist = histograms(frequency, structural, max_values)
     parts = [
         high_null(structural),
         single_value(hist),

@@ -92,26 +92,26 @@ def similar_candidates(structural: DataFrame) -> DataFrame:
 def edge_facts(frequency: DataFrame, pairs: DataFrame) -> DataFrame:
     """Overlap, cardinality and orphan ratio of all candidate pairs in one job.
 
-    Each deduplicated child value is given its candidate parents first and then
-    looked up there, so a value that many columns share meets only the parents
-    asked for, and none is hot however often it occurs in the tables.
+    Each value has one posting: the sorted numbers of the parent columns that
+    hold it.  A deduplicated child value meets its posting once, and what its
+    own column is paired with is read off it; rows are counted by the parents
+    met before these are taken apart, so that no row is multiplied by the number
+    of candidate parents.
     """
     values = frequency.where(F.col("value").isNotNull())
-    child_ids = pairs.select(F.col("from_id").alias("column_id")).distinct()
+    wanted = pairs.groupBy(F.col("from_id").alias("column_id")).agg(F.array_sort(F.collect_set("to_id")).alias("wanted"))
     parent_ids = pairs.select(F.col("to_id").alias("column_id")).distinct()
-    children = values.join(child_ids, "column_id", "left_semi").select(
-        F.col("column_id").alias("from_id"), "value", "n"
-    )
-    parents = values.join(parent_ids, "column_id", "left_semi").select(
-        F.col("column_id").alias("to_id"), "value"
-    )
-    wanted = pairs.select("from_id", "to_id")
-    # a value meets the parents that its column is paired with, and no others
+    children = values.join(wanted, "column_id").select(F.col("column_id").alias("from_id"), "value", "n", "wanted")
+    postings = values.join(parent_ids, "column_id", "left_semi").groupBy("value").agg(F.array_sort(F.collect_set("column_id")).alias("held"))
     met = (
-        children.join(wanted, "from_id")
-        .join(parents, ["to_id", "value"])
-        .groupBy("from_id", "to_id")
+        children.join(postings, "value")
+        .withColumn("to_ids", F.array_intersect("wanted", "held"))
+        .where(F.size("to_ids") > 0)
+        .groupBy("from_id", "to_ids")
         .agg(F.count(F.lit(1)).alias("_values"), F.sum("n").alias("_rows"))
+        .select("from_id", F.explode("to_ids").alias("to_id"), "_values", "_rows")
+        .groupBy("from_id", "to_id")
+        .agg(F.sum("_values").alias("_values"), F.sum("_rows").alias("_rows"))
     )
     filled = F.col("from_row_count") - F.col("from_null_count")
     overlap = F.coalesce("_values", F.lit(0)) / F.col("from_cardinality")

@@ -226,40 +226,63 @@ def _one_scan(fact: DataFrame, kpis: list[Kpi], bindings: Bindings) -> DataFrame
     )
 
 
-def kpi_sheet(fact: DataFrame, kpis: tuple[Kpi, ...], bindings: Bindings) -> DataFrame:
-    """Every bound KPI in long form: ``kpi_id, group_key, measure, value``.
+def pack_sheet(fact: DataFrame, packs: list[tuple[tuple[Kpi, ...], Bindings]]) -> DataFrame:
+    """Every bound KPI of several packs in long form: ``pack, kpi_id, group_key, measure, value``.
 
-    Ungrouped KPIs share one scan; each grouped KPI aggregates on its own keys.
+    All of them come out of one scan of the fact table: each distinct set of
+    keys, the empty one included, is a grouping set, a KPI's filter goes into
+    its aggregates, and groups without a row of the KPI's own are left out.
+    KPIs without keys have their row even where the table is empty.
     """
-    ready = [k for k in kpis if not missing_roles(k, bindings)]
-    parts = []
-    scalars = [k for k in ready if _is_scalar(k)]
-    if scalars:
-        cells = [
-            F.struct(
-                F.lit(k.id).alias("kpi_id"),
-                F.lit(None).cast("string").alias("group_key"),
-                F.lit(o.name).alias("measure"),
-                F.col(f"{k.id}__{o.name}").cast("double").alias("value"),
-            )
-            for k in scalars
-            for o in k.outputs
-        ]
-        parts.append(_one_scan(fact, scalars, bindings).select(F.inline(F.array(*cells))))
-    for kpi in (k for k in ready if not _is_scalar(k)):
-        result = build_kpi(fact, kpi, bindings)
-        keys = [c for c in result.columns if c not in {o.name for o in kpi.outputs}]
-        cells = [
-            F.struct(
-                F.lit(kpi.id).alias("kpi_id"),
-                F.concat_ws(" | ", *[F.col(c).cast("string") for c in keys]).alias("group_key"),
-                F.lit(o.name).alias("measure"),
-                F.col(o.name).cast("double").alias("value"),
-            )
-            for o in kpi.outputs
-        ]
-        parts.append(result.select(F.inline(F.array(*cells))))
-    return reduce(DataFrame.unionByName, parts)
+    ready = [(k, bound) for kpis, bound in packs for k in kpis if not missing_roles(k, bound)]
+    keys: dict[str, Column] = {}
+    own_keys: list[tuple[str, ...]] = []
+    for kpi, bound in ready:
+        names = []
+        if kpi.by_month:
+            names.append(f"_month_{bound.columns[kpi.by_month]}")
+            keys[names[-1]] = F.date_format(bound.col(kpi.by_month).cast("timestamp"), "yyyy-MM")
+        for _, role in kpi.by:
+            names.append(f"_by_{bound.columns[role]}")
+            keys[names[-1]] = bound.col(role)
+        own_keys.append(tuple(names))
+    place = {name: F.col(f"_k{i}") for i, name in enumerate(keys)}
+    rows = fact.select("*", *[c.alias(f"_k{i}") for i, c in enumerate(keys.values())])
+    aggregates, measures = [], []
+    for i, (kpi, bound) in enumerate(ready):
+        keep = bound.has(*kpi.where) if kpi.where else None
+        aggregates += [_value(o, bound, keep).cast("double").alias(f"_v{i}_{j}") for j, o in enumerate(kpi.outputs)]
+        aggregates.append((F.count(F.lit(1)) if keep is None else F.count_if(keep)).alias(f"_n{i}"))
+        measures += [(kpi.pack, kpi.id, o.name, None if own_keys[i] else 0.0 if o.op in ("rows", "filled", "distinct") else None, bool(own_keys[i])) for o in kpi.outputs]
+    sets = list(dict.fromkeys(own_keys))
+    if len(sets) > 1 or sets != [()]:
+        grouped = rows.groupingSets([[place[n] for n in names] for names in sets], *place.values()).agg(F.grouping_id().alias("_set"), *aggregates)
+    else:
+        grouped = rows.agg(F.lit(0).alias("_set"), *aggregates)
+    # a key that a set leaves out is a one bit in its number, the first key the highest
+    number = {names: sum(1 << (len(place) - 1 - i) for i, n in enumerate(place) if n not in names) for names in sets}
+    cells = []
+    for i, (kpi, _) in enumerate(ready):
+        names = own_keys[i]
+        mine = (F.col("_set") == number[names]) & (F.lit(not names) | (F.col(f"_n{i}") > 0))
+        key = F.concat_ws(" | ", *[place[n].cast("string") for n in names]) if names else F.lit(None).cast("string")
+        for j, o in enumerate(kpi.outputs):
+            cells.append(
+                F.struct(
+                    mine.alias("mine"), F.lit(kpi.pack).alias("pack"), F.lit(kpi.id).alias("kpi_id"), key.alias("group_key"),
+                    F.lit(o.name).alias("measure"), F.col(f"_v{i}_{j}").alias("value"),
+                )
+            )
+    found = grouped.select(F.inline(F.array(*cells))).where("mine").drop("mine")
+    # an empty table has no groups, not even that of no keys
+    listed = constant_rows(fact.sparkSession, measures, "pack string, kpi_id string, measure string, empty double, grouped boolean")
+    joined = listed.join(found, ["pack", "kpi_id", "measure"], "left").where(~F.col("grouped") | F.col("group_key").isNotNull())
+    return joined.select("pack", "kpi_id", "group_key", "measure", F.coalesce("value", "empty").alias("value"))
+
+
+def kpi_sheet(fact: DataFrame, kpis: tuple[Kpi, ...], bindings: Bindings) -> DataFrame:
+    """Every bound KPI of one pack in long form, from one scan: ``kpi_id, group_key, measure, value``."""
+    return pack_sheet(fact, [(kpis, bindings)]).drop("pack")
 
 
 def kpi_snapshot(fact: DataFrame, kpis: tuple[Kpi, ...], bindings: Bindings) -> DataFrame:

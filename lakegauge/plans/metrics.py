@@ -217,9 +217,36 @@ _PARTIAL = {
     "min": ({"m": F.min}, lambda: F.min("m")),
     "max": ({"m": F.max}, lambda: F.max("m")),
     "mean": ({"s": F.sum, "n": F.count}, lambda: F.sum("s") / F.nullif(F.sum("n"), F.lit(0))),
+    "nunique": ({}, lambda: F.count_distinct("measure")),
+    "var": ({"n": F.count, "mean": F.avg, "square": lambda c: F.var_pop(c) * F.count(c)}, None),
+    "std": ({"n": F.count, "mean": F.avg, "square": lambda c: F.var_pop(c) * F.count(c)}, None),
 }
 
 
+def _merged_moments(rows: DataFrame, keys: list[str], op: str) -> DataFrame:
+    """Variance or deviation of the groups from parts with count, mean and sum of squared distances from it.
+
+    Distances of the parts' means are taken from the group's own mean, so that
+    nothing large cancels out.
+    """
+    rows = rows.withColumn("_group", F.struct(*keys) if keys else F.lit(0))
+    filled = rows.where("n > 0")
+    centre = filled.groupBy("_group").agg(F.sum("n").alias("_n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_mean"))
+    centre = centre.withColumnRenamed("_group", "_own")
+    spread = filled.join(centre, F.col("_group").eqNullSafe(F.col("_own")))
+    away = F.col("mean") - F.col("_mean")
+    found = spread.groupBy("_group").agg(
+        F.first("_n").alias("_n"), F.sum(F.col("square") + F.col("n") * away * away).alias("_square")
+    )
+    var = F.when(F.col("_n") > 1, F.col("_square") / (F.col("_n") - 1))
+    found = found.select("_group", (F.sqrt(var) if op == "std" else var).alias("value"))
+    # groups whose measure is null throughout keep their row
+    every = rows.groupBy("_group").agg(F.lit(None).cast("double").alias("value"))
+    if not keys:
+        return found.agg(F.max("value").alias("value"))
+    return found.unionByName(every).groupBy("_group").agg(F.max("value").alias("value")).select("_group.*", "value")
+
+
 def _aggregated_before_join(ds, metric, base, edges, elsewhere, places, keys, dim) -> DataFrame:
     """Sum up the fact rows of each foreign key before a join that shuffles.
 
@@ -229,10 +256,14 @@ def _aggregated_before_join(ds, metric, base, edges, elsewhere, places, keys, di
     partial, final = _PARTIAL[metric.aggregation]
     foreign = sorted({e.from_column for e in edges if e.from_table == metric.table})
     early = {n: c for n, c in keys.items() if n == "time_bucket" or dim.table == metric.table}
+    # different values stay apart where they are to be counted
+    counted = [_col(metric.table, metric.measure).alias("part_measure")] if not partial else []
     small = base.groupBy(
         *[_col(metric.table, c).alias(c) for c in foreign],
         *[c.alias(f"key_{name}") for name, c in early.items()],
-    ).agg(*[f(_col(metric.table, metric.measure)).alias(f"part_{n}") for n, f in partial.items()])
+        *counted,
+    )
+    small = small.agg(F.lit(0).alias("part_")) if counted else small.agg(*[f(_col(metric.table, metric.measure)).alias(f"part_{n}") for n, f in partial.items()])
     small = small.alias(metric.table)
     for edge in edges:
         small = _joined(ds, small, edge)
@@ -241,8 +272,10 @@ def _aggregated_before_join(ds, metric, base, edges, elsewhere, places, keys, di
     named = {n: F.col(f"key_{n}") if n in early else c for n, c in keys.items()}
     rows = small.select(
         *[c.alias(name) for name, c in named.items()],
-        *[F.col(f"part_{n}").alias(n) for n in partial],
+        *[F.col(f"part_{n}").alias(n) for n in partial or ["measure"]],
     )
+    if final is None:
+        return _merged_moments(rows, list(named), metric.aggregation)
     return rows.groupBy(*named).agg(final().alias("value"))
 
 

@@ -10,7 +10,7 @@ from lakegauge.operators.profile import Profile
 from lakegauge.plans import kpis as K
 from lakegauge.plans import metrics as M
 from lakegauge.plans.metrics import Dimension, FilterSpec, JoinEdge, Metric
-from lakegauge.registry.base import BOTH, GRAPH, RELATIONS, columns_ctes, day, load, path_ctes, with_
+from lakegauge.registry.base import BOTH, GRAPH, RELATIONS, columns_ctes, day, load, path_ctes, with_, words
 from lakegauge.registry.derived import ALL_SCHEMAS, SOURCES, derive
 
 QUERIES: dict = {}
@@ -280,6 +280,49 @@ _kpi("kpi_monthly_count",
 
 RETAIL_KPIS = K.pack_kpis(RETAIL)
 
+# Every pack over the same facts, so that each of the thirty KPIs has its roles.
+EVERY_ROLE = K.Bindings(
+    {**SALE.columns, "score": "revenue_amount", "course_ref": "payment_channel", "transaction_type": "payment_channel",
+     "measure_amount": "revenue_amount", "category_dim": "order_status", "date_dim": "order_date", "location": "payment_channel",
+     "repeat_flag": "order_status", "partner_name": "order_status", "product_name": "payment_channel"},
+    {**SALE.value_sets, "repeat_values": ("returned", "cancelled")},
+)
+PACKS = tuple(dict.fromkeys(k.pack for k in K.KPIS))
+
+
+def _kpi_rows_sql(kpi: K.Kpi) -> str:
+    """A KPI over ``s`` in SQL, one SELECT for each of its outputs."""
+    bound = EVERY_ROLE
+
+    def has(role: str, value_set: str) -> str:
+        return f"{bound.columns[role]} IN ({words(bound.value_sets[value_set])})"
+
+    def value(out: K.Output) -> str:
+        name = bound.columns.get(out.role)
+        share = f"count(*) FILTER (WHERE {has(out.role, out.value_set)})" if out.value_set else ""
+        return {
+            "rows": "count(*)", "percent": f"round(100.0 * {share} / count(*), 2)", "hits": share, "sum": f"sum({name})",
+            "average": f"round(avg({name}), 2)", "filled": f"count({name})", "distinct": f"count(DISTINCT {name})",
+        }[out.op]
+
+    keys = [f"CAST({bound.columns[role]} AS VARCHAR)" for _, role in kpi.by]
+    if kpi.by_month:
+        keys = [f"strftime({bound.columns[kpi.by_month]}, '%Y-%m')"]
+    key = f"concat_ws(' | ', {', '.join(keys)})" if keys else "NULL"
+    rest = (f" WHERE {has(*kpi.where)}" if kpi.where else "") + (f" GROUP BY {', '.join(keys)}" if keys else "")
+    return " UNION ALL ".join(
+        f"SELECT '{kpi.pack}' AS pack, '{kpi.id}' AS kpi_id, {key} AS group_key, '{o.name}' AS measure, "
+        f"round(CAST({value(o)} AS DOUBLE), 2) AS value FROM s{rest}"
+        for o in kpi.outputs
+    )
+
+
+@query("kpi_all_packs", f"WITH s AS {SALES_SQL} " + " UNION ALL ".join(map(_kpi_rows_sql, K.KPIS)))
+def _(spark, sf_dir):
+    found = K.pack_sheet(_sales(spark, sf_dir), [(K.pack_kpis(p), EVERY_ROLE) for p in PACKS])
+    return found.withColumn("value", F.round("value", 2))
+
+
 
 def _sales(spark, sf_dir) -> DataFrame:
     return derive(spark, sf_dir, "sales").table("sales")

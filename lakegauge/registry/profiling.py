@@ -580,9 +580,12 @@ def _(spark, sf_dir):
     return _flat(quality.unclear_meaning(_claims(_structural(spark, sf_dir, CHECKED))))
 
 
+REPORTED = (*EVERY, "leads", "contacts")
+
+
 @query("quality_report", with_(
-    *CHECK_CTES, UNCLEAR,
+    structural_ctes(REPORTED, **EXTRA), HIST, UNCLEAR,
     select=" UNION ALL ".join(f"SELECT {FINDING} FROM {s}" for s in ("high_null", "single", "dominant", "inconsistent", "mixed", "unclear"))))
 def _(spark, sf_dir):
-    known = Profile(derive(spark, sf_dir, *CHECKED))
+    known = Profile(derive(spark, sf_dir, *REPORTED))
     return _flat(quality.quality_report(known.frequency, known.structural, _claims(known.structural)))

@@ -114,6 +114,23 @@ def test_insights_run(bookings, booked):
     assert all(r["rows"] > 0 for r in ranked)
 
 
+def test_insights_share_one_scan_a_table(bookings, booked):
+    found = insights.propose_insights(booked.columns)
+    every = insights.run_insights(bookings, found)
+    got = {}
+    for r in every.collect():
+        got.setdefault(r["question"], []).append((r["key"], r["value"]))
+    for i in found:
+        rows = [(None if r["key"] is None else str(r["key"]), None if r["value"] is None else float(r["value"])) for r in insights.run_insight(bookings, i).collect()]
+        own = got[i.question]
+        if i.kind == "top_n":
+            assert sorted(v for _, v in own) == pytest.approx(sorted(v for _, v in rows))
+        else:
+            assert sorted((str(k), v) for k, v in own) == sorted((str(k), v) for k, v in rows), i
+    plan = every._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LocalRelation") + plan.count("LogicalRDD") + plan.count("Relation [") <= 3  # one for each kind of limit
+
+
 def one(spark, column):
     return spark.range(1).select(column).first()[0]
 
@@ -162,3 +179,29 @@ def test_history(spark):
     assert rows(recent, "key", "id") == {("hot", 299), ("hot", 298), ("hot", 296), ("cold", 297), ("cold", 294), ("cold", 291)}
     plan = recent._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_pack_sheet_is_every_kpi_from_one_scan(spark, retail):
+    from lakegauge.plans import kpis as K
+    from lakegauge.registry.metrics import EVERY_ROLE, PACKS
+
+    fact = spark.createDataFrame(
+        [(i, i % 3, float(i), ("delivered", "cancelled", "returned", None)[i % 4], f"2024-0{1 + i % 3}-05 00:00:00", ("card", None)[i % 2]) for i in range(40)],
+        "order_ref long, customer_ref long, revenue_amount double, order_status string, order_date string, payment_channel string",
+    )
+    packs = [(K.pack_kpis(p), EVERY_ROLE) for p in PACKS]
+    sheet = K.pack_sheet(fact, packs)
+    got = sorted(map(str, ((r.pack, r.kpi_id, r.group_key, r.measure, r.value) for r in sheet.collect())))
+    want = []
+    for kpi in K.KPIS:
+        for row in K.build_kpi(fact, kpi, EVERY_ROLE).collect():
+            names = {o.name for o in kpi.outputs}
+            keys = [str(row[c]) for c in row.__fields__ if c not in names and row[c] is not None]
+            grouped = kpi.by or kpi.by_month
+            want += [str((kpi.pack, kpi.id, " | ".join(keys) if grouped else None, n, None if row[n] is None else float(row[n]))) for n in names]
+    assert got == sorted(want)
+    assert len({(r.pack, r.kpi_id) for r in sheet.collect()}) == len(K.KPIS)
+    assert sheet._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    empty = {(r.kpi_id, r.measure): r.value for r in K.pack_sheet(fact.limit(0), packs).collect()}
+    assert empty[("total_revenue", "completed_orders")] == 0.0 and empty[("total_revenue", "total_revenue")] is None
+    assert ("revenue_by_location", "revenue") not in empty

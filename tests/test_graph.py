@@ -148,3 +148,17 @@ def test_name_similarity(spark, a, b, score):
 def test_check_relationship_refuses_unknown_columns(retail):
     with pytest.raises(ValueError):
         relations.check_relationship(retail, "orders", "nope", "customers", "customer_id")
+
+
+def test_value_index_multiplies_no_rows(spark):
+    """Forty parents hold each value; a child row meets one posting, not forty rows."""
+    parents = {f"p{i:02}": spark.range(200).withColumnRenamed("id", f"p{i:02}_id") for i in range(40)}
+    child = spark.range(300).selectExpr("id as c_id", "id % 100 as p00_id", "id + 1000 as far")
+    known = Profile(Dataset({**parents, "c": child}))
+    pairs = relations.candidate_pairs(known.structural)
+    facts = relations.edge_facts(known.frequency, pairs)
+    plan = facts._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect" in plan and plan.index("explode") < plan.index("array_intersect")  # taken apart above the counting
+    got = {(r.from_table, r.from_column, r.to_table): (r.overlap_ratio, r.cardinality, r.orphan_ratio) for r in facts.collect()}
+    assert got[("c", "p00_id", "p00")] == (1.0, "N:1", 0.0)
+    assert all(v[0] == 0.0 and v[2] == 1.0 for k, v in got.items() if k[1] == "far")
