@@ -27,17 +27,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakegauge.llm.common import components, free_name, run_bounds, sorted_runs, written
+from lakegauge.llm.common import components, erased, flat_components, free_name, run_bounds, shuffles_freed, sorted_runs, written
 
 SEED = 42
 #: Lists above this length are split by further bits (exactly, at any size).
 LONGEST_LIST = 20_000
-#: The wide fingerprint of near_copies(): 64-bit lanes, rotations of eight strongest-coordinate bytes.
-LANES, ROTATIONS = 8, 16
-#: Sign bits estimate a similarity; pairs estimated this far below the one asked for are still verified.
-SLACK = 0.1
-#: Rows that the first look of near_copies() compares at once; what it leaves apart, the second one finds at any size.
-LOOK = 4_000
 #: Documents whose shingles are counted to order all shingles by rarity, and the shingles that are told from rare ones.
 SAMPLE, COMMON = 20_000, 200_000
 #: Bits that tell how many shingles two sets can share at most.
@@ -236,83 +230,7 @@ def near_duplicates(
     )
 
 
-# Near copies by similarity: a wide fingerprint, whose positional bytes name its strongest coordinates.
-
-
-_LANE_KEYS = np.array([0x9E3779B97F4A7C15 * (lane + 1) & (1 << 64) - 1 for lane in range(LANES)], np.uint64)
-
-
-def _wide_sums(h: np.ndarray) -> np.ndarray:
-    """How many of the numbers ``h``, mixed anew for each lane, have each of the 64 * LANES bits set."""
-    x = h[:, None] ^ _LANE_KEYS
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
-    out = np.zeros((LANES * 8, 8), np.int64)
-    for at in range(0, len(x), 255):  # byte-wide counters hold up to 255
-        part = x[at : at + 255]
-        for bit in range(8):
-            out[:, bit] += ((part >> np.uint64(bit)) & _ONES).sum(axis=0, dtype=np.uint64).view(np.uint8)
-    return out.reshape(-1)
-
-
-def _hadamard(n: int) -> np.ndarray:
-    m = np.ones((1, 1), np.float32)
-    while len(m) < n:
-        m = np.block([[m, m], [m, -m]])
-    return m
-
-
-def wide_fingerprints(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Sign bits (n, LANES) as 64-bit words, and keys (n, LANES * ROTATIONS // 3) of three strongest-coordinate bytes.
-
-    Over sets of shingles.  The strongest coordinate of a group of 64 keeps
-    its place in a near copy far oftener than eight sign bits keep theirs; other
-    rotations of other groups give more of them.
-    """
-    margins = np.zeros((len(sets), 64 * LANES), np.float32)
-    for i, h in enumerate(sets):
-        if len(h):
-            margins[i] = _wide_sums(h) * 2 - len(h)
-    signs = np.packbits(margins > 0, axis=1, bitorder="little").view("<u8")
-    draw, mix, own = np.random.RandomState(SEED), _hadamard(64), []
-    places = np.arange(64, dtype=np.int32)[:, None]
-    for _ in range(ROTATIONS):
-        order, flips = draw.permutation(margins.shape[1]), draw.choice(np.array([-1, 1], np.float32), margins.shape[1])
-        group = mix @ (margins[:, order] * flips).reshape(-1, 64).T
-        # positive floats order like their bits, whose last seven make room for place and sign
-        strength = (np.abs(group).view(np.int32) & ~127) | places | ((group > 0).astype(np.int32) << 6)
-        own.append((strength.max(axis=0, initial=0) & 127).reshape(len(sets), LANES).astype(np.int64))
-    positional = np.concatenate(own, axis=1)
-    count = positional.shape[1] // 3
-    triples = positional[:, : 3 * count].reshape(len(sets), count, 3)
-    number = np.arange(count, dtype=np.int64)
-    return signs, (((number * 128 + triples[:, :, 0]) * 128 + triples[:, :, 1]) * 128 + triples[:, :, 2])
-
-
-def nearest_links(x: np.ndarray, radius: int, least: int, each: int = 3) -> list[tuple[int, int]]:
-    """Edges (row, row) no longer than ``radius`` bits: a minimum spanning forest, and each row's next nearest in it.
-
-    Every row joins the tree by the nearest row in it that shares ``least``
-    positional bytes, so of all links between two groups the nearest is there;
-    the others are second opinions, as bits only estimate a similarity.
-    """
-    n, far = len(x), 64 * x.shape[1] + 1
-    gap, near = np.full((n, each), far), np.zeros((n, each), np.int64)
-    left, at = np.arange(n), 0
-    out = []
-    while True:
-        left = left[left != at]
-        if not len(left):
-            return out
-        diff = x[left] ^ x[at]
-        bits = np.bitwise_count(diff).sum(axis=1).astype(np.int64)
-        bits[(diff.view(np.uint8).reshape(len(left), -1) == 0).sum(axis=1) < least] = far
-        worst = gap[left].argmax(axis=1)
-        closer = bits < gap[left, worst]
-        gap[left[closer], worst[closer]], near[left[closer], worst[closer]] = bits[closer], at
-        at = int(left[np.argmin(gap[left].min(axis=1))])
-        out += [(at, int(j)) for d, j in zip(gap[at], near[at]) if d <= radius]
+# Near copies by similarity: fingerprints of parity bits, posting lists of rarest shingles.
 
 
 def prefix(h: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -339,48 +257,68 @@ def parities(h: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def _words_of_bits(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, PARITIES // 64)
+
+
+def may_be_alike(x: np.ndarray, y: np.ndarray, both: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs of parity bits of sets with ``both`` shingles together leave room for ``similarity``; none that has it is left out."""
+    most = (both - np.bitwise_count(x ^ y).sum(axis=1)) / 2
+    return most >= similarity / (1 + similarity) * both - 1e-6
+
+
 def crossing_pairs(
-    node: np.ndarray, group: np.ndarray, size: np.ndarray, rest: np.ndarray, similarity: float
+    group: np.ndarray, size: np.ndarray, rest: np.ndarray, bits: np.ndarray, block: np.ndarray, similarity: float
 ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of a list's rows, sorted by ``group``, of different groups that can be ``similarity`` alike.
+    """All pairs (row, row) of a list, sorted by ``group``, of different groups that can be ``similarity`` alike.
 
     ``rest`` is how many of a row's ``size`` shingles are left from the list's one
     on; the first that two rows share has as many left in both as they must share.
+    Of rows of two blocks only those are compared that lie in different ones.
     """
-    step = max(1, 2_000_000 // len(node))
-    for at in range(0, len(node), step):
-        end = min(at + step, len(node))
-        other = slice(int(np.searchsorted(group, group[at], side="right")), len(node))
+    step = max(1, 1_000_000 // len(group))
+    two = block.min() != block.max()
+    for at in range(0, len(group), step):
+        end = min(at + step, len(group))
+        first = int(np.searchsorted(group, group[at], side="right"))
+        other = slice(first, len(group))
         need = similarity / (1 + similarity) * (size[at:end, None] + size[None, other]) - 1e-6
-        i, j = np.nonzero((group[at:end, None] < group[None, other]) & (np.minimum(rest[at:end, None], rest[None, other]) >= need))
-        yield node[at + i], node[other.start + j]
+        open_ = (group[at:end, None] < group[None, other]) & (np.minimum(rest[at:end, None], rest[None, other]) >= need)
+        if two:
+            open_ &= block[at:end, None] != block[None, other]
+        i, j = np.nonzero(open_)
+        i, j = i + at, j + first
+        for s in range(0, len(i), 200_000):
+            p, q = i[s : s + 200_000], j[s : s + 200_000]
+            near = may_be_alike(bits[p], bits[q], size[p] + size[q], similarity)
+            if near.any():
+                yield p[near], q[near]
 
 
 def near_copies(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8
-) -> DataFrame:
-    """Rows (id, row_hash, sign binary, component binary): classes of texts whose word shingles are ``similarity`` alike.
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8,
+    longest: int = LONGEST_LIST,
+) -> DataFrame:
+    """Rows (id, row_hash, node, component): classes of texts whose word shingles are ``similarity`` alike.
 
     For similarities that three bits of 64 cannot express.  Every pair of a
-    Jaccard similarity of ``similarity`` or more is in one class, in two looks
-    whose pairs are all verified by the shingle sets.
-
-    The first look is a quick one.  Two sets with similarity J meet at an angle
-    whose cosine is 2J / (1 + J), which gives the share of differing sign bits of
-    the 512.  The index has posting lists of three strongest-coordinate bytes; in
-    a list, of pairs that share four of 64 positional bytes of signs and are within
-    the bits of a similarity ``SLACK`` lower, a minimum spanning forest and a few
-    more leave the task.
-
-    The second look is complete: posting lists of each set's rarest shingles, of
-    which such pairs share one.  All pairs of a list that the first look left in
-    different classes, and whose sizes, places and parities allow it, are verified.
-
-    ``row_hash``, of the text, tells the rows of one id apart; ``sign`` is the same
-    for texts of the same shingles.  Null and empty texts are one class.
+    Jaccard similarity of ``similarity`` or more is in one class, and all links
+    are verified by the shingle sets.
+
+    A set's fingerprint is ``PARITIES`` bits, of which a pair can differ in no
+    more than the shingles that it does not share.  The index has a posting list
+    for each of a set's rarest shingles; two sets that alike share one of them.
+    First every row of a list is paired with the list's first: as many pairs as
+    rows, of which the possible ones are verified, and large families are one
+    class already.  Then all pairs of a list that are still in different classes
+    are taken, where sizes, places and parity bits, tested inside the list, allow
+    the similarity; lists longer than ``longest`` are cut into blocks, and each
+    pair of blocks is a list of its own.
+
+    ``row_hash``, of the text, tells the rows of one id apart; ``node`` is a
+    64-bit hash of the shingle set.  Null and empty texts are one class.
     """
-    loose = similarity - SLACK
-    radius = int(round(64 * LANES * np.arccos(2 * loose / (1 + loose)) / np.pi))
+    spark = docs.sparkSession
     rows = docs.select(
         F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row_hash"), F.col(text_col).alias("text")
     )
@@ -395,118 +333,126 @@ def near_copies(
 
     every = max(1, -(-rows.count() // SAMPLE))
     some = rows.where(F.pmod("row_hash", F.lit(every)) == 0).dropDuplicates(["row_hash"]).select("text")
-    often = some.mapInArrow(sampled, "h long").groupBy("h").count().where("count > 1")
-    often = sorted((h & (1 << 64) - 1, n) for h, n in often.orderBy(F.desc("count"), "h").limit(COMMON).collect())
+    with shuffles_freed(spark):
+        often = some.mapInArrow(sampled, "h long").groupBy("h").count().where("count > 1")
+        often = sorted((h & (1 << 64) - 1, n) for h, n in often.orderBy(F.desc("count"), "h").limit(COMMON).collect())
     common, counts = np.array([h for h, _ in often], np.uint64), np.array([n for _, n in often], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 sets = shingles(part.column("text"))
-                signs, keys = wide_fingerprints(sets)
-                names = [s.tobytes() + xxhash.xxh64_digest(h.tobytes(), SEED) for s, h in zip(signs, sets)]
-                bits = [parities(h) for h in sets]
-                rare = [prefix(h, similarity, common, counts).view(np.int64) for h in sets]
+                nodes = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64)
+                # copies are told once a task what their set is
+                new = [not (n in seen or seen.add(n)) for n in nodes.tolist()]
+                if len(seen) > COMMON:
+                    seen.clear()
+                bits = [parities(h) if k else None for h, k in zip(sets, new)]
+                rare = [prefix(h, similarity, common, counts).view(np.int64) if k else None for h, k in zip(sets, new)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("row_hash"), pa.array(names, pa.binary()), pa.array(list(keys), pa.list_(pa.int64())),
-                     pa.array([len(h) for h in sets], pa.int64()), pa.array(rare, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
-                    ["id", "row_hash", "sign", "keys", "size", "rare", "bits"])
+                    [part.column("id"), part.column("row_hash"), pa.array(nodes), pa.array([len(h) for h in sets], pa.int64()),
+                     pa.array(rare, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
+                    ["id", "row_hash", "node", "size", "rare", "bits"])
 
-    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of lists with several sets, each with its list's first."""
         for table in sorted_runs(batches, ["key"]):
-            sign = table.column("sign").combine_chunks()
-            x = np.frombuffer(b"".join(sign.to_pylist()), "<u8").reshape(-1, LANES + 1)[:, :LANES]
-            key = table.column("key").to_numpy()
+            key, node, place = (table.column(c).to_numpy() for c in ("key", "node", "place"))
+            own = run_bounds(key, node)[:-1]  # copies once
+            key, node, place = key[own], node[own], place[own]
             bounds = run_bounds(key)
-            i, j = [], []
-            for s, e in zip(bounds[:-1], bounds[1:]):
-                if e - s > 1:
-                    # another deal in each list, so that those of a family hang together
-                    order = s + (np.arange(e - s) if e - s <= LOOK else np.random.RandomState(key[s] & 0xFFFFFFFF).permutation(e - s))
-                    for own in np.array_split(order, -(-(e - s) // LOOK)):
-                        for p, q in nearest_links(np.ascontiguousarray(x[own]), radius, least=4):
-                            i.append(own[p])
-                            j.append(own[q])
-            yield pa.RecordBatch.from_arrays([sign.take(pa.array(v, pa.int64())) for v in (i, j)], ["a", "b"])
+            sizes = np.diff(bounds)
+            head = np.repeat(node[bounds[:-1]], sizes)
+            keep = np.repeat(sizes > 1, sizes)
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(v[keep]) for v in (key, node, place, head)], ["key", "node", "place", "head"])
 
     def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in sorted_runs(batches, ["key"]):
-            key, node, group, place = (table.column(c).to_numpy() for c in ("key", "node", "grp", "place"))
+        for table in sorted_runs(batches, ["key", "part"]):
+            key, part, node, group, place, block = (table.column(c).to_numpy() for c in ("key", "part", "node", "grp", "place", "block"))
+            bits = _words_of_bits(table.column("bits"))
             size, rest = place >> 32, place & 0xFFFFFFFF
-            bounds = run_bounds(key)
-            starts, ends = bounds[:-1], bounds[1:]
-            mixed = group[starts] != group[ends - 1]
-            found, held = [], 0
-            for s, e in zip(starts[mixed], ends[mixed]):
-                for pair in crossing_pairs(node[s:e], group[s:e], size[s:e], rest[s:e], similarity):
-                    if len(pair[0]):
-                        found.append(np.stack([np.minimum(*pair), np.maximum(*pair)]))
-                        held += len(pair[0])
-                    if held > 500_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(v) for v in np.unique(np.concatenate(found, axis=1), axis=1)], ["a", "b"])
-                        found, held = [], 0
-            if held:
+            bounds = run_bounds(key, part)
+            found = []
+            for s, e in zip(bounds[:-1], bounds[1:]):
+                if group[s] != group[e - 1]:
+                    for i, j in crossing_pairs(group[s:e], size[s:e], rest[s:e], bits[s:e], block[s:e], similarity):
+                        a, b = node[s + i], node[s + j]
+                        found.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+            if found:
                 yield pa.RecordBatch.from_arrays([pa.array(v) for v in np.unique(np.concatenate(found, axis=1), axis=1)], ["a", "b"])
 
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u8").reshape(-1, PARITIES // 64) for c in ("xbits", "ybits"))
             both = batch.column("xsize").to_numpy() + batch.column("ysize").to_numpy()
-            most = (both - np.bitwise_count(x ^ y).sum(axis=1)) / 2
-            near = pa.array(most >= similarity / (1 + similarity) * both - 1e-6)
-            yield pa.RecordBatch.from_arrays([batch.column("x").filter(near), batch.column("y").filter(near)], ["a", "b"])
+            near = may_be_alike(_words_of_bits(batch.column("xbits")), _words_of_bits(batch.column("ybits")), both, similarity)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(near)) for c in ("a", "b")], ["a", "b"])
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [h.view(np.int64) for h in shingles(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["sign", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    marks = written(
-        rows.mapInArrow(run, f"id {kind}, row_hash long, sign binary, keys array<long>, size long, rare array<long>, bits binary"), "wide"
-    )
+    marks = written(rows.mapInArrow(run, f"id {kind}, row_hash long, node long, size long, rare array<long>, bits binary"), "marks")
+    names = written(marks.select("id", "row_hash", "node"), "names")
+
+    def prints(pairs: DataFrame) -> DataFrame:
+        """Rows (node, size, bits) of the nodes in ``pairs``, written so that their size is known."""
+        asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        own = marks.where("bits is not null").select("node", "size", "bits").join(asked, "node", "left_semi")
+        return written(own.dropDuplicates(["node"]), "prints", free=True)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) of signs whose sets are ``similarity`` alike."""
-        asked = pairs.select(F.col("a").alias("sign")).union(pairs.select(F.col("b").alias("sign"))).distinct()
-        one = marks.groupBy("sign").agg(F.min(F.struct("id", "row_hash")).alias("k")).join(asked, "sign", "left_semi")
-        # written, so that its size is known and the texts stay where they are if it is small
-        one = written(one.select("sign", F.col("k.id").alias("one_id"), F.col("k.row_hash").alias("one_hash")), "asked")
-        texts = rows.join(one, rows.id.eqNullSafe(one.one_id) & (rows.row_hash == one.one_hash)).select("sign", "text")
-        sets = texts.mapInArrow(sets_of, "sign binary, shingles array<long>").groupBy("sign").agg(F.first("shingles").alias("shingles"))
-        sets = written(sets, "shingles")
-        both = pairs.join(sets.select(F.col("sign").alias("a"), F.col("shingles").alias("x")), "a").join(
-            sets.select(F.col("sign").alias("b"), F.col("shingles").alias("y")), "b"
+        """Those of the pairs (a, b) of nodes whose sets are ``similarity`` alike, written."""
+        asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        one = names.groupBy("node").agg(F.min(F.struct("id", "row_hash")).alias("k")).join(asked, "node", "left_semi")
+        # written, so that the texts stay where they are if it is small
+        one = written(one.select("node", F.col("k.id").alias("one_id"), F.col("k.row_hash").alias("one_hash")), "asked", free=True)
+        texts = rows.join(one, rows.id.eqNullSafe(one.one_id) & (rows.row_hash == one.one_hash)).select("node", "text")
+        texts = written(texts.dropDuplicates(["node"]), "texts", free=True)
+        sets = texts.mapInArrow(sets_of, "node long, shingles array<long>")
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(
+            sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b"
         )
-        shared = F.size(F.array_intersect("x", "y"))
-        return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
-
-    classes = marks.groupBy("sign").agg(F.first("keys").alias("keys"))
-    postings = classes.select("sign", F.explode("keys").alias("key"))
-    pairs = postings.repartition("key").sortWithinPartitions("key", "sign").mapInArrow(lists, "a binary, b binary")
-    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    joined = written(components(verified(pairs)), "first")
-
-    # a pair of nodes is a hash of signs here, and looked up again below
-    nodes = marks.groupBy("sign").agg(F.first("size").alias("size"), F.first("rare").alias("rare")).join(
-        joined.withColumnRenamed("node", "sign"), "sign", "left"
-    ).select(
-        F.xxhash64("sign").alias("node"), F.xxhash64(F.coalesce("component", "sign")).alias("grp"), "size",
-        F.posexplode("rare").alias("pos", "key"),
-    ).select("key", "node", "grp", (F.shiftleft("size", 32) + F.col("size") - F.col("pos")).alias("place"))
-    found = nodes.repartition("key").sortWithinPartitions("key", "grp").mapInArrow(crossing, "a long, b long")
-    found = written(found.distinct(), "crossing")
-    names = found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))).distinct()
-    bits = marks.select("sign", "size", "bits", F.xxhash64("sign").alias("node")).join(names, "node", "left_semi")
-    names = written(bits.dropDuplicates(["sign"]), "names")
-    found = found.join(names.select(F.col("node").alias("a"), F.col("sign").alias("x"), F.col("size").alias("xsize"), F.col("bits").alias("xbits")), "a")
-    found = found.join(names.select(F.col("node").alias("b"), F.col("sign").alias("y"), F.col("size").alias("ysize"), F.col("bits").alias("ybits")), "b")
-    more = verified(written(found.drop("a", "b").mapInArrow(possible, "a binary, b binary"), "possible"))
-    joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-    return marks.join(joined, marks.sign == joined.node, "left").select(
-        "id", "row_hash", "sign", F.coalesce("component", "sign").alias("component")
-    )
+        both = both.withColumn("n", F.size(F.array_intersect("x", "y")))
+        found = written(both.where(F.col("n") >= similarity * (F.size("x") + F.size("y") - F.col("n"))).select("a", "b"), "links", free=True)
+        erased(one, texts)
+        return found
+
+    postings = marks.where("rare is not null").select("node", "size", F.posexplode("rare").alias("pos", "key"))
+    postings = postings.select("key", "node", (F.shiftleft("size", 32) + F.col("size") - F.col("pos")).alias("place"))
+    lists = postings.repartition("key").sortWithinPartitions("key", "node").mapInArrow(shared, "key long, node long, place long, head long")
+    lists = written(lists, "lists", free=True)
+    pairs = written(lists.where("head <> node").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "pairs", free=True)
+    own = prints(pairs)
+    pairs_with = pairs.join(own.toDF("b", "ysize", "ybits"), "b").join(own.toDF("a", "xsize", "xbits"), "a")
+    near = written(pairs_with.mapInArrow(possible, "a long, b long"), "possible", free=True)
+    erased(own, pairs)
+    links = verified(near)
+    erased(near)
+    classes = flat_components(links)
+
+    # what the first look left in different classes
+    placed = lists.select("key", "node", "place").join(classes, "node", "left")
+    placed = written(placed.select("key", "node", "place", F.coalesce("component", "node").alias("grp")), "placed", free=True)
+    erased(lists)
+    mixed = placed.groupBy("key").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
+    left = written(placed.join(mixed.select("key", "n"), "key"), "left", free=True)
+    own = prints(left.select(F.col("node").alias("a"), F.col("node").alias("b")))
+    cuts = F.ceil(F.col("n") / longest)
+    blocked = left.join(own.select("node", "bits"), "node").withColumn("block", F.pmod(F.xxhash64("node"), cuts))
+    blocked = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), cuts - 1)))
+    blocked = blocked.withColumn("part", F.least("block", "other") * cuts + F.greatest("block", "other"))
+    blocked = blocked.select("key", "part", "node", "grp", "place", "block", "bits").repartition("key", "part").sortWithinPartitions("key", "part", "grp")
+    more = written(blocked.mapInArrow(crossing, "a long, b long").distinct(), "crossing", free=True)
+    erased(placed, left, own, marks)
+    if not more.isEmpty():
+        classes = flat_components(links.union(verified(more)))
+    erased(more)
+    return names.join(classes, "node", "left").select("id", "row_hash", "node", F.coalesce("component", "node").alias("component"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -522,7 +468,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     copies = marks.groupBy("id", "row_hash").count().where("count > 1")
     kept = written(
         kept.join(copies, F.col("_kept_id").eqNullSafe(F.col("id")) & (F.col("_kept_hash") == F.col("row_hash")), "left")
-        .select("_kept_id", "_kept_hash", F.col("count").isNotNull().alias("_repeated")), "kept")
+        .select("_kept_id", "_kept_hash", F.col("count").isNotNull().alias("_repeated")), "kept", free=True)
     mark = free_name(docs, "_row_hash")
     hashed = docs.withColumn(mark, F.xxhash64(text_col))
 

@@ -304,12 +304,11 @@ def test_near_copies_as_in_brute_force(spark):
     docs = read(spark, SF, "documents")
     groups = {}
     for r in simhash.near_copies(docs).collect():
-        groups[r["id"]] = bytes(r.component)
+        groups[r["id"]] = r.component
     jaccard = lambda a, b: len(a & b) / max(len(a | b), 1) if a or b else 1.0
     ids = sorted(sets)
     close = [(i, j) for k, i in enumerate(ids) for j in ids[:k] if jaccard(sets[i], sets[j]) >= 0.8]
-    missed = [p for p in close if groups[p[0]] != groups[p[1]]]
-    assert len(missed) <= 0.05 * len(close)
+    assert close and not [p for p in close if groups[p[0]] != groups[p[1]]]
     left = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()}
     assert len(left) == len(set(groups.values()))
     for gone in set(ids) - left:  # nothing goes without a document like it
@@ -322,6 +321,18 @@ def test_pipeline_runs_to_token_files(spark):
     assert all(a.start + a.n_tokens == b.start for a, b in zip(found, found[1:]))
 
 
+def test_stages_of_no_documents_null_ids_and_clashing_names(spark, tmp_path):
+    docs = read(spark, SF, "documents")
+    odd = docs.limit(30).withColumn("doc_id", F.when(F.col("doc_id") % 3 > 0, F.col("doc_id"))).withColumn("node", F.lit("n")).withColumn("_found", F.lit(1)).withColumn("mix", F.lit(2)).withColumn("_row_hash", F.lit(3)).withColumn("size", F.lit(4))
+    for table in (docs.limit(0), odd):
+        columns, count = table.columns, table.count()
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            table = stage(spark, table, SF)
+            assert table.columns == columns, name
+        found = corpus_pipeline.STAGES[-1][1](spark, table, SF)
+        assert (found.count() == 0) == (count == 0)
+
+
 def test_repeats_do_not_depend_on_the_size_of_a_host(spark):
     """A notice on two of 600 pages without an article goes; copies of a page keep their text."""
     notice = "this notice stands on two pages of the whole host only"

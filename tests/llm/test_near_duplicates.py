@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from lakegauge.llm import simhash, vectors
-from lakegauge.llm.common import components
+from lakegauge.llm.common import components, flat_components
 
 DOCS = "doc_id long, text string"
 
@@ -118,31 +118,6 @@ def test_one_of_each_class_of_copies_stays(spark):
     assert got == sorted({(i, k) for i, _, k in rows if k == "kept"})
 
 
-def test_nearest_tree_is_a_minimum_spanning_forest():
-    rnd = np.random.RandomState(8)
-    base = rnd.randint(0, 2, (4, 512))
-    rows = np.array([base[i % 4] ^ (rnd.random_sample(512) < rnd.choice([0.02, 0.1])) for i in range(40)], np.uint8)
-    x = np.packbits(rows, axis=1, bitorder="little").view("<u8")
-    gap = (rows[:, None] != rows[None]).sum(axis=2)
-    edges = simhash.nearest_links(x, 99, 4, each=1)
-    assert set(edges) <= set(simhash.nearest_links(x, 99, 4))
-    want = classes(40, lambda i, j: gap[i, j] <= 99)
-    got = classes(40, lambda i, j: (i, j) in edges or (j, i) in edges)
-    assert got == want and len(edges) == 40 - len(set(want))
-    kruskal, root = 0, list(range(40))
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for d, i, j in sorted((gap[i, j], i, j) for i in range(40) for j in range(i) if gap[i, j] <= 99):
-        if find(i) != find(j):
-            root[find(i)] = find(j)
-            kruskal += d
-    assert sum(gap[i, j] for i, j in edges) == kruskal
-
-
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (None, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -150,6 +125,16 @@ def test_components_of_a_chain_and_a_star(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_flat_components(spark):
+    rnd = random.Random(12)
+    far = list(range(300, 380))
+    rnd.shuffle(far)
+    edges = [(i, i + 1) for i in range(40)] + [(i, 100) for i in range(101, 160)] + [(7, 7), (None, 3), (200, 201), (201, 200)] + list(zip(far, far[1:]))
+    got = {r.node: r.component for r in flat_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)} | {200: 200, 201: 200} | {i: 300 for i in far}
+    assert flat_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def vector_rows(seed):
     rnd = np.random.RandomState(seed)
     out, centres = [], rnd.normal(size=(12, 16))
@@ -192,7 +177,8 @@ def test_graph_search_recall():
     assert vectors._verified(x, x, a, b, 0.93).sum() >= 0.95 * truth
 
 
-def test_near_copies_find_every_pair_of_the_similarity_asked_for(spark):
+@pytest.mark.parametrize("longest", [simhash.LONGEST_LIST, 7])
+def test_near_copies_find_every_pair_of_the_similarity_asked_for(spark, longest):
     """Short texts at just 0.8, and a family whose nearest rows by bits are not the alike ones."""
     rnd = random.Random(11)
     new = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
@@ -207,7 +193,7 @@ def test_near_copies_find_every_pair_of_the_similarity_asked_for(spark):
     sets = [set(simhash.shingle_hashes((t or "").encode(), 5).tolist()) for t in texts]
     want = classes(len(texts), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
     docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
-    got = {r["id"]: bytes(r.component) for r in simhash.near_copies(docs).collect()}
+    got = {r["id"]: r.component for r in simhash.near_copies(docs, longest=longest).collect()}
     first = {}
     for i in range(len(texts)):
         first.setdefault(got[i], i)
