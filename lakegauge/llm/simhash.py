@@ -26,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from lakegauge.llm.common import components, erased, flat_components, free_name, run_bounds, shuffles_freed, sorted_runs, written
 
@@ -34,6 +35,8 @@ SEED = 42
 LONGEST_LIST = 20_000
 #: Documents whose shingles are counted to order all shingles by rarity, and the shingles that are told from rare ones.
 SAMPLE, COMMON = 20_000, 200_000
+#: Pairs of a set that near_copies() verifies first; all others that may be alike are verified after.
+FIRST_LOOK = 2
 #: Bits that tell how many shingles two sets can share at most.
 PARITIES = 1024
 
@@ -308,9 +311,9 @@ def near_copies(
     A set's fingerprint is ``PARITIES`` bits, of which a pair can differ in no
     more than the shingles that it does not share.  The index has a posting list
     for each of a set's rarest shingles; two sets that alike share one of them.
-    First every row of a list is paired with the list's first: as many pairs as
-    rows, of which the possible ones are verified, and large families are one
-    class already.  Then all pairs of a list that are still in different classes
+    First every row of a list is paired with the list's first, and each set's
+    nearest of these by bits are verified, so that large families are one class
+    already.  Then all pairs of a list that are still in different classes
     are taken, where sizes, places and parity bits, tested inside the list, allow
     the similarity; lists longer than ``longest`` are cut into blocks, and each
     pair of blocks is a list of its own.
@@ -386,14 +389,28 @@ def near_copies(
 
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            x, y = _words_of_bits(batch.column("xbits")), _words_of_bits(batch.column("ybits"))
             both = batch.column("xsize").to_numpy() + batch.column("ysize").to_numpy()
-            near = may_be_alike(_words_of_bits(batch.column("xbits")), _words_of_bits(batch.column("ybits")), both, similarity)
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(near)) for c in ("a", "b")], ["a", "b"])
+            near = pa.array(may_be_alike(x, y, both, similarity))
+            apart = np.bitwise_count(x ^ y).sum(axis=1) / np.maximum(both, 1)
+            yield pa.RecordBatch.from_arrays([c.filter(near) for c in (batch.column("a"), batch.column("b"), pa.array(apart))], ["a", "b", "apart"])
 
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [h.view(np.int64) for h in shingles(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+            known: dict[int, np.ndarray] = {}
+            keep = []
+            for i in range(batch.num_rows):
+                pair = []
+                for node, text in (("a", "x"), ("b", "y")):
+                    n = batch.column(node)[i].as_py()
+                    if n not in known:
+                        if len(known) > 64:
+                            known.clear()
+                        known[n] = shingles(batch.column(text).slice(i, 1))[0]
+                    pair.append(known[n])
+                n = len(np.intersect1d(*pair, assume_unique=True))
+                keep.append(n >= similarity * (len(pair[0]) + len(pair[1]) - n))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], ["a", "b"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     marks = written(rows.mapInArrow(run, f"id {kind}, row_hash long, node long, size long, rare array<long>, bits binary"), "marks")
@@ -413,12 +430,8 @@ def near_copies(
         one = written(one.select("node", F.col("k.id").alias("one_id"), F.col("k.row_hash").alias("one_hash")), "asked", free=True)
         texts = rows.join(one, rows.id.eqNullSafe(one.one_id) & (rows.row_hash == one.one_hash)).select("node", "text")
         texts = written(texts.dropDuplicates(["node"]), "texts", free=True)
-        sets = texts.mapInArrow(sets_of, "node long, shingles array<long>")
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(
-            sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b"
-        )
-        both = both.withColumn("n", F.size(F.array_intersect("x", "y")))
-        found = written(both.where(F.col("n") >= similarity * (F.size("x") + F.size("y") - F.col("n"))).select("a", "b"), "links", free=True)
+        both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
+        found = written(both.mapInArrow(alike, "a long, b long"), "links", free=True)
         erased(one, texts)
         return found
 
@@ -429,8 +442,12 @@ def near_copies(
     pairs = written(lists.where("head <> node").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "pairs", free=True)
     own = prints(pairs)
     pairs_with = pairs.join(own.toDF("b", "ysize", "ybits"), "b").join(own.toDF("a", "xsize", "xbits"), "a")
-    near = written(pairs_with.mapInArrow(possible, "a long, b long"), "possible", free=True)
+    near = written(pairs_with.mapInArrow(possible, "a long, b long, apart double"), "possible", free=True)
+    # a node's nearest by bits: what is not linked by these is found below
+    first = W.partitionBy("b").orderBy("apart", "a")
+    near = near.withColumn("n", F.row_number().over(first)).where(F.col("n") <= FIRST_LOOK).select("a", "b")
     erased(own, pairs)
+    near = written(near, "nearest", free=True)
     links = verified(near)
     erased(near)
     classes = flat_components(links)
