@@ -360,14 +360,17 @@ def near_copies(
                     ["id", "row_hash", "node", "size", "rare", "bits"])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The rows of lists with several sets, each with its list's first."""
+        """The rows of lists with several sets, each with its list's first, or itself where sizes and places part the two."""
         for table in sorted_runs(batches, ["key"]):
             key, node, place = (table.column(c).to_numpy() for c in ("key", "node", "place"))
             own = run_bounds(key, node)[:-1]  # copies once
             key, node, place = key[own], node[own], place[own]
             bounds = run_bounds(key)
             sizes = np.diff(bounds)
-            head = np.repeat(node[bounds[:-1]], sizes)
+            first = np.repeat(bounds[:-1], sizes)
+            # a pair that shares this shingle first must share as many as are left of either
+            both, rest = (place >> 32) + (place[first] >> 32), np.minimum(place & 0xFFFFFFFF, place[first] & 0xFFFFFFFF)
+            head = np.where(rest >= similarity / (1 + similarity) * both - 1e-6, node[first], node)
             keep = np.repeat(sizes > 1, sizes)
             if keep.any():
                 yield pa.RecordBatch.from_arrays([pa.array(v[keep]) for v in (key, node, place, head)], ["key", "node", "place", "head"])
