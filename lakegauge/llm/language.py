@@ -12,12 +12,12 @@ by key; what reaches the driver is bounded by the alphabet and the languages.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +30,7 @@ EXHAUSTIVE, BITS_PER_DOUBLING = 7, 10
 #: Texts are read by parts of this many bytes, which bounds memory and drops nothing.
 PART_BYTES = 1 << 20
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _SYMBOL = np.zeros(256, np.uint8)
 for _c in range(26):
     _SYMBOL[65 + _c] = _SYMBOL[97 + _c] = 1 + _c

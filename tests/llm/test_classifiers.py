@@ -129,3 +129,11 @@ def test_every_document_is_scored(spark, name):
     docs = read(spark, SF, "documents").count()
     found = QUERIES[name](spark, SF)
     assert found.count() == docs and found.where("predicted not in (0, 1)").count() == 0
+
+
+def test_texts_without_a_letter_have_no_language(spark):
+    model = language.train(spark.createDataFrame([(1, "the cat and the dog", "en"), (2, "der Hund und die Katze", "de")], "doc_id long, text string, lang string"))
+    texts = ["½ ²", "Ⅷ", "①", "١٢", "__ 12 !", "", None, "é", "日本"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = [r.f.lang_pred for r in docs.select(language.identify(spark, model, F.col("text")).alias("f")).collect()]
+    assert found[:7] == ["und"] * 7 and set(found[7:]) <= {"en", "de"}
