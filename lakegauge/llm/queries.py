@@ -89,7 +89,7 @@ def token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     facts = warc.record_facts(warc.archived(read(spark, sf_dir, "pages")))
-    page = lambda c: F.regexp_extract(c, "^<urn:page:(-?[0-9]+)>$", 1).try_cast("long")
+    page = lambda c: F.regexp_extract(c, "^<urn:page:(-?[0-9]+):", 1).try_cast("long")
     return facts.select(
         page("origin").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         F.when(F.col("record_type") == "revisit", page("refers_to")).alias("refers_to"),

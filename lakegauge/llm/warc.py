@@ -17,9 +17,11 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,8 @@ CRLF = b"\r\n"
 SEGMENT_BYTES = 16 << 10
 #: Bytes of a chunk of the HTTP message.
 CHUNK_BYTES = 4 << 10
+#: Bytes of an archive file before compression, about; a file is read as one value.
+FILE_BYTES = 128 << 20
 #: Payloads shorter than this are stored again rather than referred to.
 LEAST_REVISIT = 0
 #: Records carry the time of the archive's making, fixed so that reruns agree.
@@ -70,14 +74,16 @@ def _url(url: str | None) -> str:
     return "".join(c if c.isprintable() and c != " " else f"%{ord(c) & 0xFF:02X}" for c in url or "")
 
 
-def response_records(page_id: str, url: str | None, payload: bytes, digest: str, segment: int) -> Iterator[bytes]:
+def response_records(page_id: str, url: str | None, payload: bytes, digest: str, segment: int, copy: str = "") -> Iterator[bytes]:
+    """A response and its continuations; ``copy`` tells records of one page and payload apart."""
     head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
     block = head + chunked(payload)
     pieces = [block[i : i + segment] for i in range(0, len(block), segment)]
-    origin = f"<urn:page:{page_id}>"
+    name = f"urn:page:{page_id}:{digest}{copy}"
+    origin = f"<{name}>"
     for k, piece in enumerate(pieces, 1):
         fields = [("WARC-Type", "response" if k == 1 else "continuation"), ("WARC-Date", DATE), ("WARC-Target-URI", _url(url))]
-        fields.append(("WARC-Record-ID", origin if k == 1 else f"<urn:page:{page_id}:{k}>"))
+        fields.append(("WARC-Record-ID", origin if k == 1 else f"<{name}:{k}>"))
         if k == 1:
             fields += [("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", f"sha1:{digest}")]
         if len(pieces) > 1:
@@ -89,10 +95,10 @@ def response_records(page_id: str, url: str | None, payload: bytes, digest: str,
         yield record(fields, piece)
 
 
-def revisit_record(page_id: str, url: str | None, first: str, digest: str) -> bytes:
+def revisit_record(page_id: str, url: str | None, first: str, digest: str, copy: str = "") -> bytes:
     fields = [
-        ("WARC-Type", "revisit"), ("WARC-Date", DATE), ("WARC-Target-URI", _url(url)), ("WARC-Record-ID", f"<urn:page:{page_id}>"),
-        ("WARC-Refers-To", f"<urn:page:{first}>"), ("WARC-Payload-Digest", f"sha1:{digest}"),
+        ("WARC-Type", "revisit"), ("WARC-Date", DATE), ("WARC-Target-URI", _url(url)), ("WARC-Record-ID", f"<urn:page:{page_id}:{digest}{copy}>"),
+        ("WARC-Refers-To", f"<urn:page:{first}:{digest}>"), ("WARC-Payload-Digest", f"sha1:{digest}"),
         ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
         ("Content-Type", "application/http; msgtype=response"),
     ]
@@ -105,26 +111,34 @@ def write_warc(
 ) -> None:
     """Write a record for each row of ``pages`` to ``path``, gzip-compressed.
 
-    A null payload is empty.  Rows that agree in id and payload are the same
-    record twice: of the smallest id all are responses.  A null id is written as
-    ``null`` and counts as larger than any other.  An empty table writes no record.
+    A null payload is empty.  Records are named after page and payload, so that
+    rows of one id and different payloads stay apart; rows that agree in both are
+    a record each, numbered in their task (equal records of different tasks share
+    a name, and reading counts them), and of the smallest id all are responses.  A null id is written as ``null`` and counts as larger than any
+    other.  An empty table writes no record.  Files end after so many records
+    that none is larger than ``FILE_BYTES`` uncompressed.
     """
     payload = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("html"))
     rows = rows.withColumn("digest", F.unhex(F.sha1("html")))
     longer = F.octet_length("html") >= least_revisit
-    firsts = rows.where(longer).groupBy("digest").agg(F.min("id").alias("first"))
+    firsts = rows.where(longer).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("rows"))
+    alone = F.lit(least_revisit <= 0) & (F.col("rows") == 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = [record([("WARC-Type", "warcinfo"), ("WARC-Date", DATE), ("WARC-Record-ID", "<urn:info>"), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")]
+        part, seen = TaskContext.get().partitionId(), Counter()
         for batch in batches:
-            columns = [batch.column(0), batch.column(1), batch.column(2).cast(pa.binary()), batch.column(3), batch.column(4)]
-            for key, url, html, first, raw in zip(*(c.to_pylist() for c in columns)):
-                digest = base64.b32encode(raw).decode()
+            columns = [batch.column(0), batch.column(1), batch.column(2).cast(pa.binary()), batch.column(3), batch.column(4), batch.column(5)]
+            for key, url, html, first, raw, alone in zip(*(c.to_pylist() for c in columns)):
+                digest, name, copy = base64.b32encode(raw).decode(), "null" if key is None else str(key), ""
+                if not alone:  # the same page and payload may come again
+                    seen[name, raw] += 1
+                    copy = f":{part}-{seen[name, raw]}" if seen[name, raw] > 1 else ""
                 if first is not None and first != key:
-                    out.append(revisit_record("null" if key is None else str(key), url, str(first), digest))
+                    out.append(revisit_record(name, url, str(first), digest, copy))
                 else:
-                    out += response_records("null" if key is None else str(key), url, html, digest, segment)
+                    out += response_records(name, url, html, digest, segment, copy)
                 if sum(map(len, out[-64:])) > 1 << 20 or len(out) >= 512:
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
                     out = []
@@ -132,9 +146,10 @@ def write_warc(
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
     (
-        rows.join(firsts, "digest", "left").select("id", "url", "html", "first", "digest").mapInArrow(run, "record binary")
-        .select(F.col("record").cast("string").alias("value"))
-        .write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
+        rows.join(firsts, "digest", "left").select("id", "url", "html", "first", "digest", F.coalesce(alone, F.lit(False)).alias("alone"))
+        .mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
+        .write.option("lineSep", "\r\n").option("compression", "gzip")
+        .option("maxRecordsPerFile", max(1, FILE_BYTES // (segment + 4096))).text(path)
     )
 
 
@@ -239,8 +254,12 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 if sorted(pieces) != list(range(1, len(pieces) + 1)) or len(block) != one["total"]:
                     raise ValueError(f"{one['origin']}: {len(block)} bytes in segments {sorted(pieces)}, not {one['total']}")
                 payload, digest = _verified(block, one["digest"])
+                # equal rows that different tasks have written are equal records
+                copies, rest = divmod(len(one["pieces"]), len(pieces))
+                if rest:
+                    raise ValueError(f"{one['origin']}: {len(one['pieces'])} segments of {len(pieces)} numbers")
                 values = [one["origin"], one["url"], "response", None]
-                arrays = [pa.array([v], pa.string()) for v in values] + [pa.array([payload], pa.binary()), pa.array([digest])]
+                arrays = [pa.array([v] * copies, pa.string()) for v in values] + [pa.array([payload] * copies, pa.binary()), pa.array([digest] * copies)]
                 yield pa.RecordBatch.from_arrays(arrays, ["origin", "url", "record_type", "refers_to", "payload", "payload_digest"])
 
     together = pieces.mapInArrow(join, "origin string, url string, record_type string, refers_to string, payload binary, payload_digest string")

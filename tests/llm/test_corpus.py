@@ -246,9 +246,10 @@ def test_archives(spark):
     path = new_path(spark, "archive")
     warc.write_warc(pages, path, segment=1000)
     records = warc.read_warc(spark, path)
-    stored = {(r.origin, bytes(r.payload).decode()) for r in records.where("record_type = 'response'").collect()}
+    page = lambda name: name and ":".join(name.split(":")[:3]) + ">"
+    stored = {(page(r.origin), bytes(r.payload).decode()) for r in records.where("record_type = 'response'").collect()}
     assert stored == {("<urn:page:1>", "x"), ("<urn:page:2>", big), ("<urn:page:4>", ""), ("<urn:page:7>", rows[-1][2])}
-    facts = sorted((r.origin, r.record_type, r.refers_to, r.payload_bytes, r.payload_digest) for r in warc.record_facts(records).collect() if r.record_type == "revisit")
+    facts = sorted((page(r.origin), r.record_type, page(r.refers_to), r.payload_bytes, r.payload_digest) for r in warc.record_facts(records).collect() if r.record_type == "revisit")
     n, digest = len(big.encode()), warc.base32_sha1(big.encode())
     one = ("<urn:page:1>", 1, warc.base32_sha1(b"x"))
     assert facts == sorted(
@@ -258,6 +259,32 @@ def test_archives(spark):
     assert warc.archived(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [3, 40_000])
+def test_repeated_rows_and_ids_keep_their_records(spark, size):
+    """Equal rows, rows of one id and different payloads, and null ids are a record each, at any size."""
+    a, b, c = ("".join(random.Random(k).choice("abc ") for _ in range(size)) for k in range(3))
+    rows = [(1, a), (1, a), (1, b), (2, b), (2, a), (None, c), (None, c), (None, b), (3, None), (3, "")]
+    pages = spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string").repartition(3)
+    facts = warc.record_facts(warc.archived(pages))
+    got = sorted((r.origin.split(":")[2], r.record_type, (r.refers_to or "").split(":")[2:3], r.payload_bytes, r.payload_digest) for r in facts.collect())
+    least, want = {a: 1, b: 1, c: None, "": 3}, []
+    for i, h in rows:
+        h = h or ""
+        again = least[h] is not None and i != least[h]
+        want.append((str(i or "null"), "revisit" if again else "response", [str(least[h])] if again else [], len(h), warc.base32_sha1(h.encode())))
+    assert got == sorted(want)
+
+
+def test_archives_roll_to_new_files(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 50_000)
+    pages = spark.range(200).selectExpr("id as page_id", "'u' as url", "repeat(cast(id as string), 300) as html").coalesce(1)
+    path = new_path(spark, "archive")
+    warc.write_warc(pages, path, segment=1000)
+    files = spark.read.format("binaryFile").load(path).select("content").collect()
+    assert len(files) > 3 and max(len(gzip.decompress(bytes(f.content))) for f in files) < 50_000
+    assert warc.record_facts(warc.read_warc(spark, path)).count() == 200
+
+
 def test_broken_archives(spark):
     payload = b"abc" * 2000
     records = list(warc.response_records("1", "u", payload, warc.base32_sha1(payload), 700))
