@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager, nullcontext
+from contextlib import AbstractContextManager, contextmanager, nullcontext
 from pathlib import Path
 
 import numpy as np
@@ -42,11 +42,10 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 @contextmanager
-def shuffles_freed(spark: SparkSession) -> Iterator[None]:
-    """Queries built and run inside give their shuffle files back as soon as they end, not when the driver forgets them."""
-    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+def conf_set(spark: SparkSession, setting: str, value: str) -> Iterator[None]:
+    """The session's ``setting`` while queries are built and run inside."""
     before = spark.conf.get(setting, None)
-    spark.conf.set(setting, "true")
+    spark.conf.set(setting, value)
     try:
         yield
     finally:
@@ -56,6 +55,11 @@ def shuffles_freed(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(setting, before)
 
 
+def shuffles_freed(spark: SparkSession) -> AbstractContextManager:
+    """Queries built and run inside give their shuffle files back as soon as they end, not when the driver forgets them."""
+    return conf_set(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def written(df: DataFrame, name: str = "table", free: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and return what was written: later steps survive lost executors.
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lakegauge.llm.common import components, erased, flat_components, free_name, run_bounds, shuffles_freed, sorted_runs, written
+from lakegauge.llm.common import components, conf_set, erased, flat_components, free_name, run_bounds, shuffles_freed, sorted_runs, written
 
 SEED = 42
 #: Lists above this length are split by further bits (exactly, at any size).
@@ -36,7 +36,7 @@ LONGEST_LIST = 20_000
 #: Documents whose shingles are counted to order all shingles by rarity, and the shingles that are told from rare ones.
 SAMPLE, COMMON = 20_000, 200_000
 #: Pairs of a set that near_copies() verifies first; all others that may be alike are verified after.
-FIRST_LOOK = 2
+FIRST_LOOK = 1
 #: Bits that tell how many shingles two sets can share at most.
 PARITIES = 1024
 
@@ -279,7 +279,7 @@ def crossing_pairs(
     on; the first that two rows share has as many left in both as they must share.
     Of rows of two blocks only those are compared that lie in different ones.
     """
-    step = max(1, 1_000_000 // len(group))
+    step = max(1, 250_000 // len(group))
     two = block.min() != block.max()
     for at in range(0, len(group), step):
         end = min(at + step, len(group))
@@ -291,8 +291,8 @@ def crossing_pairs(
             open_ &= block[at:end, None] != block[None, other]
         i, j = np.nonzero(open_)
         i, j = i + at, j + first
-        for s in range(0, len(i), 200_000):
-            p, q = i[s : s + 200_000], j[s : s + 200_000]
+        for s in range(0, len(i), 20_000):
+            p, q = i[s : s + 20_000], j[s : s + 20_000]
             near = may_be_alike(bits[p], bits[q], size[p] + size[q], similarity)
             if near.any():
                 yield p[near], q[near]
@@ -418,11 +418,12 @@ def near_copies(
     kind = docs.schema[id_col].dataType.simpleString()
     marks = written(rows.mapInArrow(run, f"id {kind}, row_hash long, node long, size long, rare array<long>, bits binary"), "marks")
     names = written(marks.select("id", "row_hash", "node"), "names")
+    sizes = written(marks.where("bits is not null").select("node", "size", "bits"), "sizes")
 
     def prints(pairs: DataFrame) -> DataFrame:
         """Rows (node, size, bits) of the nodes in ``pairs``, written so that their size is known."""
         asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        own = marks.where("bits is not null").select("node", "size", "bits").join(asked, "node", "left_semi")
+        own = sizes.join(asked, "node", "left_semi")
         return written(own.dropDuplicates(["node"]), "prints", free=True)
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -434,7 +435,8 @@ def near_copies(
         texts = rows.join(one, rows.id.eqNullSafe(one.one_id) & (rows.row_hash == one.one_hash)).select("node", "text")
         texts = written(texts.dropDuplicates(["node"]), "texts", free=True)
         both = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
-        found = written(both.mapInArrow(alike, "a long, b long"), "links", free=True)
+        with conf_set(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "256"):  # two whole texts a row
+            found = written(both.mapInArrow(alike, "a long, b long"), "links", free=True)
         erased(one, texts)
         return found
 
@@ -442,6 +444,7 @@ def near_copies(
     postings = postings.select("key", "node", (F.shiftleft("size", 32) + F.col("size") - F.col("pos")).alias("place"))
     lists = postings.repartition("key").sortWithinPartitions("key", "node").mapInArrow(shared, "key long, node long, place long, head long")
     lists = written(lists, "lists", free=True)
+    erased(marks)
     pairs = written(lists.where("head <> node").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "pairs", free=True)
     own = prints(pairs)
     pairs_with = pairs.join(own.toDF("b", "ysize", "ybits"), "b").join(own.toDF("a", "xsize", "xbits"), "a")
@@ -468,7 +471,7 @@ def near_copies(
     blocked = blocked.withColumn("part", F.least("block", "other") * cuts + F.greatest("block", "other"))
     blocked = blocked.select("key", "part", "node", "grp", "place", "block", "bits").repartition("key", "part").sortWithinPartitions("key", "part", "grp")
     more = written(blocked.mapInArrow(crossing, "a long, b long").distinct(), "crossing", free=True)
-    erased(placed, left, own, marks)
+    erased(placed, left, own, sizes)
     if not more.isEmpty():
         classes = flat_components(links.union(verified(more)))
     erased(more)
