@@ -358,6 +358,7 @@ def near_copies(
                     [part.column("id"), part.column("row_hash"), pa.array(nodes), pa.array([len(h) for h in sets], pa.int64()),
                      pa.array(rare, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
                     ["id", "row_hash", "node", "size", "rare", "bits"])
+        pa.default_memory_pool().release_unused()
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The rows of lists with several sets, each with its list's first, or itself where sizes and places part the two."""
@@ -374,6 +375,7 @@ def near_copies(
             keep = np.repeat(sizes > 1, sizes)
             if keep.any():
                 yield pa.RecordBatch.from_arrays([pa.array(v[keep]) for v in (key, node, place, head)], ["key", "node", "place", "head"])
+        pa.default_memory_pool().release_unused()
 
     def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in sorted_runs(batches, ["key", "part"]):
@@ -414,9 +416,11 @@ def near_copies(
                 n = len(np.intersect1d(*pair, assume_unique=True))
                 keep.append(n >= similarity * (len(pair[0]) + len(pair[1]) - n))
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], ["a", "b"])
+        pa.default_memory_pool().release_unused()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    marks = written(rows.mapInArrow(run, f"id {kind}, row_hash long, node long, size long, rare array<long>, bits binary"), "marks")
+    with conf_set(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"):  # whole texts
+        marks = written(rows.mapInArrow(run, f"id {kind}, row_hash long, node long, size long, rare array<long>, bits binary"), "marks")
     names = written(marks.select("id", "row_hash", "node"), "names")
     sizes = written(marks.where("bits is not null").select("node", "size", "bits"), "sizes")
 
