@@ -36,7 +36,7 @@ LONGEST_LIST = 20_000
 #: Documents whose shingles are counted to order all shingles by rarity, and the shingles that are told from rare ones.
 SAMPLE, COMMON = 20_000, 200_000
 #: Pairs of a set that near_copies() verifies first; all others that may be alike are verified after.
-FIRST_LOOK = 1
+FIRST_LOOK = 2
 #: Bits that tell how many shingles two sets can share at most.
 PARITIES = 1024
 
