@@ -452,12 +452,12 @@ def near_copies(
     pairs = written(lists.where("head <> node").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "pairs", free=True)
     own = prints(pairs)
     pairs_with = pairs.join(own.toDF("b", "ysize", "ybits"), "b").join(own.toDF("a", "xsize", "xbits"), "a")
-    near = written(pairs_with.mapInArrow(possible, "a long, b long, apart double"), "possible", free=True)
+    likely = written(pairs_with.mapInArrow(possible, "a long, b long, apart double"), "possible", free=True)
     # a node's nearest by bits: what is not linked by these is found below
     first = W.partitionBy("b").orderBy("apart", "a")
-    near = near.withColumn("n", F.row_number().over(first)).where(F.col("n") <= FIRST_LOOK).select("a", "b")
-    erased(own, pairs)
+    near = likely.withColumn("n", F.row_number().over(first)).where(F.col("n") <= FIRST_LOOK).select("a", "b")
     near = written(near, "nearest", free=True)
+    erased(own, pairs, likely)
     links = verified(near)
     erased(near)
     classes = flat_components(links)
