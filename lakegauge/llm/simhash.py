@@ -39,6 +39,8 @@ SAMPLE, COMMON = 20_000, 200_000
 FIRST_LOOK = 2
 #: Bits that tell how many shingles two sets can share at most.
 PARITIES = 1024
+#: Lists before this one that a row names, so that a pair that has met in one of them is not given again.
+EARLIER = 8
 
 _ONES = np.uint64(0x0101010101010101)
 
@@ -298,6 +300,19 @@ def crossing_pairs(
                 yield p[near], q[near]
 
 
+def met_before(x: np.ndarray, y: np.ndarray, key: int) -> np.ndarray:
+    """For each two rows of list ``key``, whether both name one earlier list; ``key`` itself fills up short rows."""
+    return ((x[:, :, None] == y[:, None, :]) & (x != key)[:, :, None]).any(axis=(1, 2))
+
+
+def _filled(lists: pa.ChunkedArray, fill: np.ndarray) -> np.ndarray:
+    """Lists of up to EARLIER numbers as rows of a matrix, the rest of each row its ``fill``."""
+    lists = lists.combine_chunks()
+    out = np.repeat(fill[:, None], EARLIER, axis=1)
+    out[np.arange(EARLIER) < lists.value_lengths().to_numpy()[:, None]] = lists.flatten().to_numpy()
+    return out
+
+
 def near_copies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8,
     longest: int = LONGEST_LIST,
@@ -316,7 +331,9 @@ def near_copies(
     already.  Then all pairs of a list that are still in different classes
     are taken, where sizes, places and parity bits, tested inside the list, allow
     the similarity; lists longer than ``longest`` are cut into blocks, and each
-    pair of blocks is a list of its own.
+    pair of blocks is a list of its own.  A pair is judged in the first list that
+    the two share, in the order of rarity; later lists pass over it where a row's
+    last ``EARLIER`` lists show that it is not the first.
 
     ``row_hash``, of the text, tells the rows of one id apart; ``node`` is a
     64-bit hash of the shingle set.  Null and empty texts are one class.
@@ -380,14 +397,15 @@ def near_copies(
     def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in sorted_runs(batches, ["key", "part"]):
             key, part, node, group, place, block = (table.column(c).to_numpy() for c in ("key", "part", "node", "grp", "place", "block"))
-            bits = _words_of_bits(table.column("bits"))
+            bits, before = _words_of_bits(table.column("bits")), _filled(table.column("before"), key)
             size, rest = place >> 32, place & 0xFFFFFFFF
             bounds = run_bounds(key, part)
             found = []
             for s, e in zip(bounds[:-1], bounds[1:]):
                 if group[s] != group[e - 1]:
                     for i, j in crossing_pairs(group[s:e], size[s:e], rest[s:e], bits[s:e], block[s:e], similarity):
-                        a, b = node[s + i], node[s + j]
+                        new = ~met_before(before[s + i], before[s + j], key[s])
+                        a, b = node[s + i[new]], node[s + j[new]]
                         found.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(v) for v in np.unique(np.concatenate(found, axis=1), axis=1)], ["a", "b"])
@@ -470,10 +488,12 @@ def near_copies(
     left = written(placed.join(mixed.select("key", "n"), "key"), "left", free=True)
     own = prints(left.select(F.col("node").alias("a"), F.col("node").alias("b")))
     cuts = F.ceil(F.col("n") / longest)
-    blocked = left.join(own.select("node", "bits"), "node").withColumn("block", F.pmod(F.xxhash64("node"), cuts))
+    earlier = W.partitionBy("node").orderBy(F.desc("place")).rowsBetween(-EARLIER, -1)  # rarest first
+    blocked = left.withColumn("before", F.collect_list("key").over(earlier)).join(own.select("node", "bits"), "node")
+    blocked = blocked.withColumn("block", F.pmod(F.xxhash64("node"), cuts))
     blocked = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), cuts - 1)))
     blocked = blocked.withColumn("part", F.least("block", "other") * cuts + F.greatest("block", "other"))
-    blocked = blocked.select("key", "part", "node", "grp", "place", "block", "bits").repartition("key", "part").sortWithinPartitions("key", "part", "grp")
+    blocked = blocked.select("key", "part", "node", "grp", "place", "block", "bits", "before").repartition("key", "part").sortWithinPartitions("key", "part", "grp")
     more = written(blocked.mapInArrow(crossing, "a long, b long").distinct(), "crossing", free=True)
     erased(placed, left, own, sizes)
     if not more.isEmpty():
