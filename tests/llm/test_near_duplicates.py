@@ -198,3 +198,10 @@ def test_near_copies_find_every_pair_of_the_similarity_asked_for(spark, longest)
     for i in range(len(texts)):
         first.setdefault(got[i], i)
     assert [first[got[i]] for i in range(len(texts))] == [want[i] for i in range(len(texts))]
+
+
+def test_pairs_of_a_list_that_met_in_an_earlier_one_are_told():
+    key = 7
+    x = np.array([[1, 2, key, key], [1, 2, key, key], [key] * 4], np.int64)
+    y = np.array([[9, 2, 3, key], [5, 6, 7, key], [key] * 4], np.int64)
+    assert simhash.met_before(x, y, key).tolist() == [True, False, False]
