@@ -37,17 +37,21 @@ def redacted_export(ds: Dataset, denied: Mapping[str, Iterable[str]], folder: st
     return paths
 
 
-def schema_name(run_id: str, label: str | None = None) -> str:
-    """``client_<label>_<run>``; anything unusual in the run id is refused."""
+def schema_name(run_id: str, label: str | None = None, label_chars: int = LABEL_CHARS) -> str:
+    """``client_<label>_<run>``; anything unusual in the run id is refused.
+
+    Of the label's letters and digits the first ``label_chars`` characters stay;
+    the run id alone tells databases apart.
+    """
     if not _RUN_ID.fullmatch(run_id):
         raise ValueError(f"run id {run_id!r} is not 1 to 32 lower-case letters or digits")
-    slug = re.sub(r"[^a-z0-9]+", "_", (label or "").lower()).strip("_")[:LABEL_CHARS].strip("_")
+    slug = re.sub(r"[^a-z0-9]+", "_", (label or "").lower()).strip("_")[:label_chars].strip("_")
     return f"client_{slug}_{run_id}" if slug else f"client_{run_id}"
 
 
-def warehouse_load(ds: Dataset, run_id: str, label: str | None = None) -> str:
+def warehouse_load(ds: Dataset, run_id: str, label: str | None = None, label_chars: int = LABEL_CHARS) -> str:
     """Save every table into a database of the client's own; returns its name."""
-    name = schema_name(run_id, label)
+    name = schema_name(run_id, label, label_chars)
     spark = ds.spark
     location = f"{shared_folder(spark).rstrip('/')}/{name}"
     spark.sql(f"CREATE DATABASE `{name}` LOCATION '{location}'")
@@ -56,9 +60,9 @@ def warehouse_load(ds: Dataset, run_id: str, label: str | None = None) -> str:
     return name
 
 
-def warehouse_drop(spark: SparkSession, run_id: str, label: str | None = None) -> None:
+def warehouse_drop(spark: SparkSession, run_id: str, label: str | None = None, label_chars: int = LABEL_CHARS) -> None:
     """Drop the client's database with everything in it."""
-    spark.sql(f"DROP DATABASE IF EXISTS `{schema_name(run_id, label)}` CASCADE")
+    spark.sql(f"DROP DATABASE IF EXISTS `{schema_name(run_id, label, label_chars)}` CASCADE")
 
 
 def normalize_rows(df: DataFrame) -> DataFrame:

@@ -150,6 +150,12 @@ def test_fingerprint_changes_with_the_source(spark, retail):
     assert len({first, files.source_fingerprint(fewer).first()[0], files.source_fingerprint(renamed).first()[0]}) == 3
 
 
+def test_label_of_a_database_is_cut_where_asked():
+    label = "Quarterly figures of the north"
+    assert sinks.schema_name("ab12", label) == "client_quarterly_figures_of_ab12"
+    assert sinks.schema_name("ab12", label, 40) == "client_quarterly_figures_of_the_north_ab12"
+
+
 def test_warehouse(spark, retail):
     name = sinks.warehouse_load(retail, "ab12", "My Upload.csv")
     assert name == "client_my_upload_csv_ab12" and spark.table(f"{name}.orders").count() == 20
