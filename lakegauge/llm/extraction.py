@@ -41,40 +41,61 @@ BLOCKS = frozenset(
     "h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
-#: Words of a class or id that say what an element is.
+#: Words that say, as a whole class or id or beside words of PLACES alone, what an element is.
 SIGNS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent gdpr notice popup modal "
     "overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar comment comments reply replies respond "
     "disqus share sharing social related newsletter subscribe signup login widget pagination pager toolbar".split()
 )
+PLACES = frozenset(
+    "site page main global primary secondary top bottom left right inner outer header bar box block area section container wrapper wrap list "
+    "item items links link buttons button icons panel unit slot posts post form content inline fixed sticky mobile desktop".split()
+)
 #: Start tags that end an open element of the same kind.
 SIBLINGS = {t: frozenset(s.split()) for t, s in {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}.items()}
 
 
+def is_sign(name: str) -> bool:
+    """Whether a class or id names boilerplate: ``site-footer`` does, ``with-sidebar`` and ``notice-board`` do not."""
+    words = _WORDS.findall(name)
+    return not SIGNS.isdisjoint(words) and all(w in SIGNS or w in PLACES or w.isdigit() for w in words)
+
+
 def _label(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool, bool]:
     """(boilerplate, article, hidden) as the element's name and attributes say."""
     found = {k.lower(): (v or "").strip("\"'").lower() for k, v in _ATTRIBUTE.findall(attributes)} if attributes.strip() else {}
     hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
-    signs = SIGNS.intersection(_WORDS.findall(found.get("class", "") + " " + found.get("id", "")))
+    signs = any(map(is_sign, f"{found.get('class', '')} {found.get('id', '')}".split()))
     article = tag in ("article", "main") or found.get("role") in ("main", "article") or found.get("itemprop") == "articlebody"
-    boilerplate = bool(signs) or tag in LABELLED or found.get("role") in ROLES or (tag == "header" and not in_article)
+    boilerplate = signs or tag in LABELLED or found.get("role") in ROLES or (tag == "header" and not in_article)
     return boilerplate and tag not in ("html", "body"), article, hidden
 
 
 def blocks(page: str | None) -> list[tuple[str, bool, bool]]:
-    """(text, in an article, boilerplate by its place) of each block, in page order."""
-    source = page or ""
+    """(text, in an article, boilerplate by its place) of each block, in page order.
+
+    Where all that a page shows would be boilerplate, what holds its articles is
+    not: only what an article says of itself and of its own parts counts.
+    """
+    found = _blocks(page or "", False)
+    if any(article for _, article, _ in found) and all(boilerplate for _, _, boilerplate in found):
+        return _blocks(page or "", True)
+    return found
+
+
+def _blocks(source: str, articles_stand: bool) -> list[tuple[str, bool, bool]]:
+    """The blocks; with ``articles_stand`` an outermost article takes nothing from the elements round it."""
     out: list[tuple[str, bool, bool]] = []
     stack: list[tuple[str, bool, bool]] = []  # element, in an article, boilerplate
-    piece: list[str] = []
+    piece: list[tuple[str, bool, bool]] = []  # what stands in the open block; elements inside a line may differ from it
     skipped, at, article, boilerplate, name = 0, 0, False, False, ""
 
     def flush() -> None:
-        if piece:
-            text = " ".join(html.unescape("".join(piece)).split())
-            piece.clear()
+        for state in dict.fromkeys(p[1:] for p in piece):
+            text = " ".join(html.unescape("".join(p[0] for p in piece if p[1:] == state)).split())
             if text:
-                out.append((text, article, boilerplate))
+                out.append((text, *state))
+        piece.clear()
 
     def close(tag: str) -> None:
         nonlocal article, boilerplate
@@ -86,12 +107,12 @@ def blocks(page: str | None) -> list[tuple[str, bool, bool]]:
         if m.start() < at:
             continue
         if not skipped and m.start() > at:
-            piece.append(source[at : m.start()])
+            piece.append((source[at : m.start()], article, boilerplate))
         at = m.end()
         tag = (m[2] or "").lower()
         if not tag:
             if not skipped and m[0].startswith("<![CDATA["):
-                piece.append(html.escape(m[0][9:-3]))
+                piece.append((html.escape(m[0][9:-3]), article, boilerplate))
             continue
         if m[1]:
             if skipped:
@@ -124,16 +145,15 @@ def blocks(page: str | None) -> list[tuple[str, bool, bool]]:
             if tag in SIBLINGS and stack and any(e[0] in SIBLINGS[tag] for e in stack[-3:]):
                 close(next(e[0] for e in reversed(stack) if e[0] in SIBLINGS[tag]))
         if tag == "br":
-            piece.append("\n")
+            piece.append(("\n", article, boilerplate))
         if tag in VOID or m[3].endswith("/"):
             continue
         labelled, main, hidden = _label(tag, m[3], article)
-        if (labelled or hidden or main) and tag not in BLOCKS:
-            flush()
-        stack.append((tag, article or main, boilerplate or labelled or hidden))
+        inherited = boilerplate and not (articles_stand and main and not article)
+        stack.append((tag, article or main, inherited or labelled or hidden))
         article, boilerplate = stack[-1][1:]
     if not skipped and at < len(source):
-        piece.append(source[at:])
+        piece.append((source[at:], article, boilerplate))
     flush()
     return out
 

@@ -53,8 +53,8 @@ def toxicity_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = extraction.extract(read(spark, sf_dir, "pages"), counts=False)
-    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+    found = extraction.extract(read(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_tokens", "n_repeated")
 
 
 def mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

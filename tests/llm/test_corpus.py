@@ -150,6 +150,22 @@ def test_article_of_a_page():
     assert text == "Big & bold title\nOne two three four\nSecond link <tag> é\nfirst\nsecond"
 
 
+def test_articles_are_not_lost_by_their_names():
+    """Names that only mention a menu or notice keep the article; whole names of such, at any length, go."""
+    kept = [
+        '<main class="content with-sidebar"><p>kept text</p></main>', '<article class="post has-comments"><p>kept text</p></article>',
+        '<article id="ad-blocking-explained">kept text</article>', '<div id="page-no-sidebar"><article>kept text</article></div>',
+        '<article><p class="notice-board">kept text</p></article>', '<div class="widget"><nav>Home</nav><article>kept text</article></div>',
+        '<article>kept text<div class="site-footer">f</div><ul class="related-posts x"><li>r</ul><i class="ad_slot-2">a</i></article>',
+        '<article>kept <span class="ad">Buy now</span><b hidden>x</b>text</article>',
+        '<article>kept text</article><section id="comments"><article class="comment">Nice post!</article></section>',
+    ]
+    for page in kept:
+        assert extraction.main_texts([f"<html><body class='menu'>{page}<footer>end</footer></body></html>"])[0] == ["kept text"], page
+    assert extraction.main_texts(['<div id="comments"><article class="comment">Nice post!</article></div>'])[0] == [""]
+    assert [extraction.is_sign(n) for n in ("nav", "Nav-1".lower(), "box", "", "no-ads")] == [True, True, False, False, False]
+
+
 def test_pages_without_article_keep_unique_runs(spark):
     menu = "Welcome to the site of all good things that we sell every day of the year"
     pages = [f"<body><div>{menu}</div><p>Story {i} tells of w{i} and v{i} u{i} once</p></body>" for i in range(4)]
