@@ -14,6 +14,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakegauge.llm.common import written
+from lakegauge.llm.phrases import Filter, _filter
 
 #: Tokens from which a repeated substring counts; a power of two, the last order the suffixes are sorted to.
 LEAST_RUN = 8
+#: Parts that the hashes of all runs are counted in, one after another.
+SLICES = 2
+#: Bits of the filter of repeated runs; 8 MB.
+FILTER_BITS = 1 << 26
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
@@ -247,8 +253,58 @@ def run_hashes(own: list[tuple[str, bool, bool]], host: str, run: int = LEAST_RU
     return np.fromiter(found, np.uint64, len(ends)).view(np.int64)
 
 
+def covered_tokens(starts: list[int], n_tokens: int) -> np.ndarray:
+    """Which of a page's tokens lie in the runs that begin at ``starts``."""
+    covered = np.zeros(n_tokens, bool)
+    for at in starts:
+        covered[at : at + LEAST_RUN] = True
+    return covered
+
+
+def repeated_runs(pages: DataFrame, slices: int = SLICES, wanted: DataFrame | None = None) -> DataFrame:
+    """Written rows (content, found): where runs begin in a page that stand in another content of its host, too.
+
+    ``pages`` has rows (html, host, content).  The runs' hashes are counted a
+    slice at a time, each giving its shuffle back, so that the disk holds a part
+    of them; what a filter of the repeated ones lets through is joined with them.
+    Of the pages with a ``content`` in ``wanted`` only, if that is given.
+    """
+
+    def run_rows(content: int, h: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), content, np.int64)), pa.array(h), pa.array(at)], ["content", "h", "at"])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+        for batch in batches:
+            for page, host, content in zip(*(batch.column(c).to_pylist() for c in ("html", "host", "content"))):
+                yield content, run_hashes(blocks(page), host)
+
+    def of_slice(k: int):
+        def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for content, h in hashed(batches):
+                own = h[h.view(np.uint64) % np.uint64(slices) == k]
+                yield run_rows(content, own, np.zeros(len(own), np.int64))
+
+        return pages.mapInArrow(runs, "content long, h long, at long")
+
+    def repeats(runs: DataFrame) -> DataFrame:
+        return runs.groupBy("h").agg(F.min("content").alias("x"), F.max("content").alias("y")).where("x < y").select("h")
+
+    many = reduce(DataFrame.unionByName, [written(repeats(of_slice(k)), "repeats", free=True) for k in range(slices)])
+    shared = pages.sparkSession.sparkContext.broadcast(_filter(many, FILTER_BITS))
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Filter(shared.value)
+        for content, h in hashed(batches):
+            at = np.flatnonzero(known.has(h.view(np.uint64)))
+            yield run_rows(content, h[at], at)
+
+    asked = pages if wanted is None else pages.join(wanted.select("content").distinct(), "content", "left_semi").select("html", "host", "content")
+    found = asked.mapInArrow(possible, "content long, h long, at long").join(many, "h", "left_semi")
+    return written(found.groupBy("content").agg(F.collect_set("at").alias("found")), "found", free=True)
+
+
 def extract(
-    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", counts: bool = True
+    pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", counts: bool = True, slices: int = SLICES
 ) -> DataFrame:
     """Rows (page_id, url, text, n_tokens, n_repeated) for each row of ``pages``.
 
@@ -267,50 +323,43 @@ def extract(
     def structure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cut = [blocks(p) for p in batch.column("html").to_pylist()]
-            open_ = [counts or not _marks_article(own) for own in cut]
-            texts = [None if o else _main_text(own, np.zeros(0, bool)) for own, o in zip(cut, open_)]
+            texts = [_main_text(own, np.zeros(0, bool)) if _marks_article(own) else None for own in cut]
             sizes = [sum(len(b[0].split()) for b in own) for own in cut]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("page_id", "url", "host", "content")), pa.array(texts, pa.string()),
-                 pa.array(sizes, pa.int64()), pa.array(open_, pa.bool_())],
-                ["page_id", "url", "host", "content", "text", "n_tokens", "open"])
+                [*(batch.column(c) for c in ("page_id", "url", "host", "content")), pa.array(texts, pa.string()), pa.array(sizes, pa.int64())],
+                ["page_id", "url", "host", "content", "text", "n_tokens"])
 
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for page, host, content in zip(*(batch.column(c).to_pylist() for c in ("html", "host", "content"))):
-                h = run_hashes(blocks(page), host)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(h), content, np.int64)), pa.array(h), pa.array(np.arange(len(h)))], ["content", "h", "at"])
+            cut = [blocks(p) for p in batch.column("html").to_pylist()]
+            found = batch.column("found").to_pylist()
+            texts = [_main_text(own, covered_tokens(f or [], sum(len(b[0].split()) for b in own))) for own, f in zip(cut, found)]
+            yield pa.RecordBatch.from_arrays([batch.column("content"), pa.array(texts, pa.string())], ["content", "open_text"])
 
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, shared = [], []
-            for page, found in zip(batch.column("html").to_pylist(), batch.column("found").to_pylist()):
-                own = blocks(page)
-                covered = np.zeros(sum(len(b[0].split()) for b in own), bool)
-                for at in found or ():
-                    covered[at : at + LEAST_RUN] = True
-                texts.append(_main_text(own, covered))
-                shared.append(int(covered.sum()))
-            yield pa.RecordBatch.from_arrays([batch.column("content"), pa.array(texts, pa.string()), pa.array(shared, pa.int64())], ["content", "text", "n_repeated"])
+            shared = [int(covered_tokens(f, max(f) + LEAST_RUN).sum()) for f in batch.column("found").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("content"), pa.array(shared, pa.int64())], ["content", "n_repeated"])
 
     first = written(
         rows.select("page_id", "url", "html", "host", "content").mapInArrow(
-            structure, f"page_id {kind}, url string, host string, content long, text string, n_tokens long, open boolean"
+            structure, f"page_id {kind}, url string, host string, content long, text string, n_tokens long"
         ), "structure")
-    closed = first.where("not open").select("page_id", "url", "text", "n_tokens", F.lit(None).cast("long").alias("n_repeated"))
-    asked = first.where("open")
-    if asked.isEmpty():
-        return closed
-    own = rows.join(asked.select("host").distinct(), "host", "left_semi").select("html", "host", "content")
-    own = written(own.dropDuplicates(["content"]), "contents")
-    again = own.mapInArrow(runs, "content long, h long, at long")
-    many = again.groupBy("h").agg(F.min("content").alias("x"), F.max("content").alias("y")).where("x < y").select("h")
-    wanted = own.join(asked.select("content").distinct(), "content", "left_semi").select("html", "host", "content")
-    found = wanted.mapInArrow(runs, "content long, h long, at long").join(many, "h", "left_semi")
-    found = found.groupBy("content").agg(F.collect_list("at").alias("found"))
-    texts = wanted.join(found, "content", "left").select("content", "html", "found")
-    texts = texts.mapInArrow(compared, "content long, text string, n_repeated long")
-    return closed.unionByName(
-        asked.select("page_id", "url", "content", "n_tokens").join(texts, "content").select("page_id", "url", "text", "n_tokens", "n_repeated")
-    )
+    asked, columns = first.where("text is null"), ["page_id", "url", "text", "n_tokens", "n_repeated"]
+    none_asked = asked.isEmpty()
+    if none_asked and not counts:
+        return first.withColumn("n_repeated", F.lit(None).cast("long")).select(*columns)
+    own = rows.select("html", "host", "content")
+    if not counts:
+        own = own.join(asked.select("host").distinct(), "host", "left_semi").select("html", "host", "content")
+    found = repeated_runs(own, slices, None if counts else asked)
+    whole = first.join(found.mapInArrow(counted, "content long, n_repeated long"), "content", "left")
+    if not none_asked:
+        again = own.join(asked.select("content").distinct(), "content", "left_semi").dropDuplicates(["content"])
+        again = again.join(found, "content", "left").select("content", "html", "found")
+        whole = whole.join(again.mapInArrow(compared, "content long, open_text string"), "content", "left")
+        whole = whole.withColumn("_open", F.col("text").isNull()).withColumn("text", F.coalesce("text", "open_text"))
+    else:
+        whole = whole.withColumn("_open", F.lit(False))
+    number = F.when(F.lit(counts) | F.col("_open"), F.coalesce("n_repeated", F.lit(0)).cast("long"))
+    return whole.withColumn("n_repeated", number).select(*columns)
