@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from lakegauge.dataset import Dataset, column, constant_rows
 from lakegauge.functions.numbers import rounded
 from lakegauge.functions.text import jaccard, name_tokens
+from lakegauge.operators.scoring import latest_by_key
 from lakegauge.plans.kpis import pack_kpis
 from lakegauge.plans.packs import GENERIC_NAME_TOKENS, PACKS, Pack, expected_roles
 
@@ -174,6 +175,17 @@ def apply_confirmations(bindings: DataFrame, gated: DataFrame, answers: DataFram
     )
 
 
+def confirmed_bindings(bindings: DataFrame, gated: DataFrame, log: DataFrame) -> DataFrame:
+    """The bindings after a log of decisions ``role, answer, decided``: of each role the last one counts.
+
+    The log may be of any size and one role may fill it: tasks send one decision
+    a role.  A last answer that is null, or no column the role was offered, drops
+    the binding, as no decision does.
+    """
+    last = latest_by_key(log.where("role is not null and decided is not null").select("role", "answer", "decided"), ["role"], "decided")
+    return apply_confirmations(bindings, gated, last.select("role", "answer"))
+
+
 # ------------------------------------------------------------- pack selection
 
 WEIGHTS = {"entity": 0.35, "column": 0.35, "role": 0.20, "table_count": 0.10}

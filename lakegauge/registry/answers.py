@@ -279,6 +279,36 @@ def _(spark, sf_dir):
     return binding.binding_gate(bound, RETAIL)
 
 
+GATED_SQL = """gated AS (SELECT DISTINCT role FROM bindings b JOIN uses u USING (role) WHERE status = 'needs_confirmation'
+  AND kpi_id NOT IN (SELECT kpi_id FROM uses WHERE role IN (SELECT role FROM bindings WHERE status = 'unresolved')))"""
+#: Columns that people of the invented log of decisions name, and one that was never offered.
+OFFERED = [c.split(" ")[0] for c in ALL_SCHEMAS["sales"].split(", ")] + ["elsewhere"]
+
+
+@query("confirmed_bindings", with_(
+    BOUND_CTES, SCORES, f"uses(role, kpi_id) AS (VALUES {USES})", GATED_SQL,
+    f"log AS (SELECT ({_list(RETAIL.roles)})[1 + o_custkey % {len(RETAIL.roles)}] AS role, "
+    f"({_list(OFFERED)})[1 + (o_orderkey // 4) % {len(OFFERED)}] AS answer, o_orderkey AS decided FROM orders)",
+    "answers AS (SELECT role, arg_max(answer, decided) AS answer FROM log GROUP BY role)",
+    select="SELECT b.role, CASE WHEN g.role IS NOT NULL THEN answer WHEN b.role = 'location' THEN 'order_status' ELSE b.col END AS \"column\", "
+    "CASE WHEN g.role IS NOT NULL OR b.role = 'location' THEN 1e0 ELSE confidence END AS confidence, "
+    "CASE WHEN g.role IS NOT NULL THEN 'resolved' ELSE status END AS status, "
+    "CASE WHEN g.role IS NOT NULL OR b.role = 'location' THEN 'human_override' WHEN status <> 'unresolved' THEN 'deterministic' END AS source "
+    "FROM bindings b LEFT JOIN gated g ON g.role = b.role LEFT JOIN answers a ON a.role = b.role "
+    "WHERE g.role IS NULL OR answer = b.col OR EXISTS (SELECT 1 FROM best o WHERE o.role = b.role AND o.col = answer AND place BETWEEN 2 AND 4)"))
+def _(spark, sf_dir):
+    bound = binding.role_bindings(_bound(spark, sf_dir, "sales"), RETAIL, "sales", OVERRIDES)
+
+    def pick(values, number):
+        return F.element_at(F.array(*[F.lit(v) for v in values]), (number % len(values) + 1).cast("int"))
+
+    log = table(spark, sf_dir, "orders").select(
+        pick(RETAIL.roles, F.col("o_custkey")).alias("role"),
+        pick(OFFERED, F.floor(F.col("o_orderkey") / 4)).alias("answer"), F.col("o_orderkey").alias("decided"))
+    found = binding.confirmed_bindings(bound, binding.binding_gate(bound, RETAIL), log)
+    return found.drop("alternatives")
+
+
 def _pack_sql() -> str:
     parts = []
     for p in PACKS:

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakegauge.dataset import Dataset, DeclaredKey
-from lakegauge.operators import grain, graph, profile, quality, relations, temporal
+from lakegauge.functions.storage import remove_at_end, shared_folder
+from lakegauge.operators import grain, graph, profile, quality, relations, stored, temporal
 from lakegauge.operators.frequency import named, value_frequency
 from lakegauge.operators.profile import Profile, structural_columns
 from lakegauge.registry.base import (
     BOTH, EVERY, FACT, GRAPH, MOST, RELATIONS, SALES, STAR, columns_ctes, frequency_ctes, grain_ctes,
-    load, path_ctes, schema_columns, structural_ctes, with_, words,
+    load, path_ctes, quote, schema_columns, structural_ctes, with_, words,
 )
 from lakegauge.registry.derived import ALL_SCHEMAS, SOURCES, derive
 
@@ -187,6 +190,33 @@ def _(spark, sf_dir):
     return found.select("table", "column", "rank", "value", "n")
 
 
+def _digest_sql() -> str:
+    """An order-free sum of row digests, for each table."""
+    parts = []
+    for name in sorted(EVERY):
+        cells = ", ".join(f"coalesce('=' || CAST({c['column']} AS VARCHAR), '-')" for c in schema_columns([name]))
+        parts.append(
+            f"SELECT {quote(name)} AS \"table\", count(*) AS row_count, CAST(coalesce(sum(CAST('0x' || "
+            f"substr(md5(concat_ws(chr(31), {cells})), 1, {stored.ROW_DIGITS}) AS BIGINT)), 0) AS VARCHAR) AS digest FROM {name}")
+    return " UNION ALL ".join(parts)
+
+
+@query("table_digests", _digest_sql())
+def _(spark, sf_dir):
+    return stored.table_digests(load(spark, sf_dir, *EVERY))
+
+
+@query("stored_profile", with_(
+    structural_ctes(TYPED, **EXTRA),
+    select="SELECT tbl AS \"table\", col AS \"column\", row_count, null_percent, cardinality, guessed_role, is_pii FROM structural"))
+def _(spark, sf_dir):
+    store = stored.ProfileStore(spark, shared_folder(spark) + "/profiles-" + uuid.uuid4().hex)
+    remove_at_end(spark, store.folder)
+    ds = derive(spark, sf_dir, *TYPED)
+    store.columns(ds)
+    return store.columns(ds).select("table", "column", "row_count", "null_percent", "cardinality", "guessed_role", "is_pii")
+
+
 @query("data_map", None)
 def _(spark, sf_dir):
     known = Profile(derive(spark, sf_dir, *SALES))

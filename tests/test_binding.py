@@ -60,6 +60,22 @@ def test_gate_and_confirmations(spark, booked):
     assert not set(asked) - {role} & set(after)
 
 
+def test_last_decision_of_a_log_counts(spark, booked):
+    bound = binding.role_bindings(booked.columns, HEALTHCARE, "bookings")
+    gated = binding.binding_gate(bound, HEALTHCARE)
+    asked = {r["role"]: r["column"] for r in gated.collect()}
+    role = sorted(asked)[0]
+
+    def after(*log):
+        rows = spark.createDataFrame(list(log), "role string, answer string, decided long")
+        return {r["role"]: r for r in binding.confirmed_bindings(bound, gated, rows).collect()}
+
+    many = [(role, "elsewhere", i) for i in range(50)] + [(None, "x", 99), (role, "x", None)]
+    assert after(*many, (role, asked[role], 50))[role]["source"] == "human_override"
+    assert role not in after(*many) and role not in after((role, asked[role], 1), (role, None, 2))
+    assert not set(asked) & set(after())
+
+
 def test_fact_tables(shop, school):
     assert binding.pack_fact_table(shop.columns, RETAIL).first()["table"] == "orders"
     assert binding.pack_fact_table(school.columns, EDTECH, central="courses").first()["table"] == "courses"

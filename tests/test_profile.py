@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from lakegauge.dataset import Dataset
 from lakegauge.functions.numbers import rounded
 from lakegauge.functions.percentiles import exact_percentiles
-from lakegauge.operators import frequency, profile, quality, temporal
-from lakegauge.operators.profile import Profile
+from lakegauge.operators import frequency, profile, quality, stored, temporal
+from lakegauge.operators.profile import Profile, structural_columns
 
 
 @pytest.fixture(scope="module")
@@ -206,3 +206,40 @@ def test_approximate_stats(bookings):
 def test_samples_are_cut_before_the_shuffle(bookings):
     plan = profile.top_values(bookings, frequency.value_frequency(bookings))._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_table_digests_tell_rows_apart_but_not_their_order(spark):
+    def digest(rows):
+        table = spark.createDataFrame(rows, "id int, name string, score double, tags array<string>")
+        return stored.table_digests(Dataset({"t": table})).first().digest
+
+    rows = [(1, "a", 0.5, ["x"]), (2, None, 1.5, None), (2, None, 1.5, None), (None, "", None, [])]
+    assert digest(rows) == digest(rows[::-1]) != digest(rows[:3])
+    changed = [rows[:2] + rows[3:], [(1, "a", 0.5, None), (2, "-", 1.5, None), *rows[2:]], [(1, "", 0.5, None), *rows[1:]]]
+    assert len({digest(rows), *map(digest, changed)}) == 4
+    assert digest([]) == "0"
+
+
+def test_only_changed_tables_are_profiled_again(spark, tmp_path, monkeypatch):
+    profiled = []
+
+    def spied(ds, **options):
+        profiled.append(list(ds.names))
+        return structural_columns(ds, **options)
+
+    monkeypatch.setattr(stored, "structural_columns", spied)
+    store = stored.ProfileStore(spark, str(tmp_path / "profiles"))
+    a, b = spark.createDataFrame([(1, "x"), (2, "y")], "id int, name string"), spark.createDataFrame([(1,), (1,)], "n int")
+    first = store.columns(Dataset({"a": a, "b": b}))
+    want = structural_columns(Dataset({"a": a, "b": b})).drop("column_id")
+    assert sorted(map(str, first.select(want.columns).collect())) == sorted(map(str, want.collect()))
+    again = store.columns(Dataset({"b": b, "a": a.orderBy(F.desc("id"))}))
+    assert profiled == [["a", "b"]] and again.count() == 3
+    files = {p: p.stat().st_mtime_ns for p in (tmp_path / "profiles" / "a").rglob("*.parquet")}
+    more = store.columns(Dataset({"a": a, "b": b.union(b)}))
+    assert profiled == [["a", "b"], ["b"]] and more.where("table = 'b'").first().row_count == 4
+    assert {p: p.stat().st_mtime_ns for p in (tmp_path / "profiles" / "a").rglob("*.parquet")} == files
+    assert len(list((tmp_path / "profiles" / "b").iterdir())) == 1
+    half = next((tmp_path / "profiles" / "b").iterdir()) / "_SUCCESS"
+    half.unlink()
+    assert store.columns(Dataset({"a": a, "b": b.union(b)})).count() == 3 and profiled[-1] == ["b"] and half.exists()
