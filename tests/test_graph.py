@@ -106,6 +106,22 @@ def test_slice_scan_reads_only_candidates_and_makes_few_texts(spark, tmp_path):
     assert 0 < keys.count() < 100
 
 
+def test_key_hashes_cross_the_network_and_few_keys_are_tested_whole(spark, monkeypatch):
+    """Of three unique pairs one is looked at over all keys; hashes that collide refute nothing."""
+    df = spark.range(5000).selectExpr("id div 50 as a", "id % 50 as b", "id % 50 + 100 as c", "id % 50 + 200 as d")
+    cards = {"a": 100, "b": 50, "c": 50, "d": 50}
+    seen, keys = [], grain._keys
+    monkeypatch.setattr(grain, "_keys", lambda ds, asked, slices=None: seen.append((len(asked), slices)) or keys(ds, asked, slices))
+    monkeypatch.setattr(grain, "GROWTH", 4)
+    assert grain.composite_key(df, cards, 5000, slice_keys=500) == ("a", "b")
+    assert [n for n, slices in seen if not slices] == [1]
+    plan = keys(Dataset({"t": df}), [(grain.Candidates("t", 5000, cards), ("a", "b"))]).groupBy("combo", "h").count()
+    assert "key#" not in plan._jdf.queryExecution().optimizedPlan().toString().split("Project")[0]
+    monkeypatch.setattr(grain, "_keys", lambda *asked: keys(*asked).withColumn("h", F.lit(1)))
+    assert grain.composite_key(df, cards, 5000, slice_keys=500) == ("a", "b")
+    assert grain.composite_key(df.union(df.limit(1)), cards, 5001, slice_keys=500) is None
+
+
 def test_composite_of_two_texts_compares_joined_texts(spark):
     # joined by pipes both rows read a|b|c
     df = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), ("a", "c")], "x string, y string")
