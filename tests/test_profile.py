@@ -243,3 +243,17 @@ def test_only_changed_tables_are_profiled_again(spark, tmp_path, monkeypatch):
     half = next((tmp_path / "profiles" / "b").iterdir()) / "_SUCCESS"
     half.unlink()
     assert store.columns(Dataset({"a": a, "b": b.union(b)})).count() == 3 and profiled[-1] == ["b"] and half.exists()
+
+
+def test_large_columnar_tables_are_counted_in_scans_of_some_columns(spark, tmp_path, monkeypatch):
+    made = spark.range(600).selectExpr("id", "id % 7 as few", "'t' || id as name", "if(id % 3 = 0, null, id / 4) as part")
+    made.repartition(1).write.parquet(str(tmp_path / "p"))
+    made.write.csv(str(tmp_path / "c"), header=True)
+    columnar = Dataset({"t": spark.read.parquet(str(tmp_path / "p")).withColumn("more", F.col("id") * 2)})
+    lines = Dataset({"t": spark.read.csv(str(tmp_path / "c"), header=True)})
+    scans = lambda ds: frequency.value_frequency(ds)._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+    once = rows(frequency.value_frequency(columnar), "column_id", "value", "number", "n")
+    assert scans(columnar) == scans(lines) == 1
+    monkeypatch.setattr(frequency, "SCAN_BYTES", 1)
+    assert scans(columnar) == 5 and scans(lines) == 1  # text lines are read once at any size
+    assert rows(frequency.value_frequency(columnar), "column_id", "value", "number", "n") == once
