@@ -133,28 +133,34 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
 def flat_components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
     """Connected components of undirected ``edges``: written rows (node, component), component the smallest node.
 
-    Each node has a label, at first itself.  In a round it takes the smallest
-    label of its neighbours, and then the label of the node that its label
-    names.  Labels are joined to the edges and to the labels from written tables,
-    so that the rows of a hub, or of a large component, may be dealt to several
-    tasks; smallest labels are gathered in each task first.
+    In a round each node takes its smallest neighbour's name, if that is smaller,
+    and then the name that this one has taken; edges whose ends now have one name
+    go, and the others join names, so that two rounds halve the nodes at least.
+    Names are joined to edges and names from written tables, so that the rows of
+    a hub, or of a large component, may be dealt to several tasks; smallest names
+    are gathered in each task first.
     """
     ends = edges.select(F.col(left).alias("u"), F.col(right).alias("v")).where("u <> v")
-    both = written(ends.union(ends.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "ends", free=True)
-    labels = written(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")), "labels", free=True)
+    now = written(ends.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "ends", free=True)
+    rounds: list[DataFrame] = []
     while True:
-        near = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("label").alias("m"))
-        lower = labels.join(near, labels.node == near.u).select("node", F.least("label", "m").alias("label"))
-        lower = written(lower, "lower", free=True)
-        named = lower.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        then = written(lower.join(named, "label").select("node", F.col("next").alias("label")), "labels", free=True)
-        same = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first() == then.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()
-        erased(labels, lower)
-        labels = then
-        if same:
+        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        near = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label"))
+        near = written(near, "lower", free=True)
+        named = near.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        rounds.append(written(near.join(named, "label").select("node", F.col("next").alias("label")), "labels", free=True))
+        then = now.join(rounds[-1].toDF("u", "x"), "u").join(rounds[-1].toDF("v", "y"), "v").where("x <> y")
+        then = written(then.select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct(), "ends", free=True)
+        erased(now, near)
+        now = then
+        if now.isEmpty():
             break
-    erased(both)
-    return labels.select("node", F.col("label").alias("component"))
+    out = rounds[0]
+    for later in rounds[1:]:
+        out = out.join(later.toDF("label", "next"), "label", "left").select("node", F.coalesce("next", "label").alias("label"))
+    out = written(out.select("node", F.col("label").alias("component")), "components", free=True)
+    erased(now, *rounds)
+    return out
 
 
 def sorted_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

@@ -76,10 +76,12 @@ def shingle_hashes(text: bytes | None, words: int) -> np.ndarray:
 
 def fingerprint(text: bytes | None, words: int = 3) -> int:
     """64-bit SimHash; a bit is set if it is in over half of the shingle hashes."""
-    h = shingle_hashes(text, words)
-    if not len(h):
-        return 0
-    return int(np.packbits(bit_sums(h) * 2 > len(h), bitorder="little").view("<u8")[0])
+    return sign_bits(shingle_hashes(text, words))
+
+
+def sign_bits(h: np.ndarray) -> int:
+    """The bits that over half of the hashes ``h`` have; zero if there are none."""
+    return int(np.packbits(bit_sums(h) * 2 > len(h), bitorder="little").view("<u8")[0]) if len(h) else 0
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
@@ -313,22 +315,36 @@ def _filled(lists: pa.ChunkedArray, fill: np.ndarray) -> np.ndarray:
     return out
 
 
+def simhash_pairs(marks: DataFrame, longest: int = LONGEST_LIST) -> DataFrame:
+    """Written pairs (a, b): each node of the rows (node, fp) with the smallest node of its SimHash class, within three bits by links."""
+    marks = written(marks, "fingerprints", free=True)
+    first = written(marks.groupBy("fp").agg(F.min("node").alias("one")), "classes", free=True)
+    classes = flat_components(links(first.select("fp"), longest)).toDF("fp", "component")
+    grouped = first.join(classes, "fp", "left").select("fp", "one", F.coalesce("component", "fp").alias("component"))
+    smallest = grouped.groupBy("component").agg(F.min("one").alias("a"))
+    named = written(grouped.join(smallest, "component").select("fp", "a"), "named", free=True)
+    pairs = written(marks.join(named, "fp").select("a", F.col("node").alias("b")).where("a <> b"), "pairs", free=True)
+    erased(marks, first, classes, named)
+    return pairs
+
+
 def near_copies(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8,
     longest: int = LONGEST_LIST,
 ) -> DataFrame:
     """Rows (id, row_hash, node, component): classes of texts whose word shingles are ``similarity`` alike.
 
-    For similarities that three bits of 64 cannot express.  Every pair of a
-    Jaccard similarity of ``similarity`` or more is in one class, and all links
-    are verified by the shingle sets.
-
-    A set's fingerprint is ``PARITIES`` bits, of which a pair can differ in no
-    more than the shingles that it does not share.  The index has a posting list
-    for each of a set's rarest shingles; two sets that alike share one of them.
-    First every row of a list is paired with the list's first, and each set's
-    nearest of these by bits are verified, so that large families are one class
-    already.  Then all pairs of a list that are still in different classes
+    Every pair of a Jaccard similarity of ``similarity`` or more is in one class,
+    and all links are verified by the shingle sets.
+
+    The SimHash fingerprints go through the index of :func:`links`, and each
+    document of a SimHash class is paired with the class's first.  For what three
+    bits of 64 cannot express there is a second index, with a posting list for
+    each of a set's rarest shingles, of which two sets that alike share one; its
+    fingerprint is ``PARITIES`` bits, of which a pair can differ in no more than
+    the shingles that it does not share.  Every row of a list is paired with the
+    list's first, and each set's nearest of these by bits are verified with the
+    pairs of SimHash, so that large families are one class already.  Then all pairs of a list that are still in different classes
     are taken, where sizes, places and parity bits, tested inside the list, allow
     the similarity; lists longer than ``longest`` are cut into blocks, and each
     pair of blocks is a list of its own.  A pair is judged in the first list that
@@ -343,8 +359,11 @@ def near_copies(
         F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row_hash"), F.col(text_col).alias("text")
     )
 
+    def hashes(texts: pa.Array) -> list[np.ndarray]:
+        return [shingle_hashes(t.as_py(), words) for t in texts.cast(pa.binary())]
+
     def shingles(texts: pa.Array) -> list[np.ndarray]:
-        return [np.unique(shingle_hashes(t.as_py(), words)) for t in texts.cast(pa.binary())]
+        return [np.unique(h) for h in hashes(texts)]
 
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -363,18 +382,20 @@ def near_copies(
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                sets = shingles(part.column("text"))
+                whole = hashes(part.column("text"))
+                sets = [np.unique(h) for h in whole]
                 nodes = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in sets], np.uint64).view(np.int64)
                 # copies are told once a task what their set is
                 new = [not (n in seen or seen.add(n)) for n in nodes.tolist()]
                 if len(seen) > COMMON:
                     seen.clear()
                 bits = [parities(h) if k else None for h, k in zip(sets, new)]
+                fps = np.array([sign_bits(h) if k else 0 for h, k in zip(whole, new)], np.uint64).view(np.int64)
                 rare = [prefix(h, similarity, common, counts).view(np.int64) if k else None for h, k in zip(sets, new)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), part.column("row_hash"), pa.array(nodes), pa.array([len(h) for h in sets], pa.int64()),
-                     pa.array(rare, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
-                    ["id", "row_hash", "node", "size", "rare", "bits"])
+                     pa.array(rare, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(fps)],
+                    ["id", "row_hash", "node", "size", "rare", "bits", "fp"])
         pa.default_memory_pool().release_unused()
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -438,9 +459,10 @@ def near_copies(
 
     kind = docs.schema[id_col].dataType.simpleString()
     with conf_set(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"):  # whole texts
-        marks = written(rows.mapInArrow(run, f"id {kind}, row_hash long, node long, size long, rare array<long>, bits binary"), "marks")
+        marks = written(rows.mapInArrow(run, f"id {kind}, row_hash long, node long, size long, rare array<long>, bits binary, fp long"), "marks")
     names = written(marks.select("id", "row_hash", "node"), "names")
     sizes = written(marks.where("bits is not null").select("node", "size", "bits"), "sizes")
+    by_bits = simhash_pairs(marks.where("bits is not null").groupBy("node").agg(F.min("fp").alias("fp")), longest)
 
     def prints(pairs: DataFrame) -> DataFrame:
         """Rows (node, size, bits) of the nodes in ``pairs``, written so that their size is known."""
@@ -474,11 +496,10 @@ def near_copies(
     # a node's nearest by bits: what is not linked by these is found below
     first = W.partitionBy("b").orderBy("apart", "a")
     near = likely.withColumn("n", F.row_number().over(first)).where(F.col("n") <= FIRST_LOOK).select("a", "b")
-    near = written(near, "nearest", free=True)
-    erased(own, pairs, likely)
-    links = verified(near)
+    near = written(near.union(by_bits).distinct(), "nearest", free=True)
+    erased(own, pairs, likely, by_bits)
+    classes = flat_components(verified(near))
     erased(near)
-    classes = flat_components(links)
 
     # what the first look left in different classes
     placed = lists.select("key", "node", "place").join(classes, "node", "left")
@@ -496,10 +517,14 @@ def near_copies(
     blocked = blocked.select("key", "part", "node", "grp", "place", "block", "bits", "before").repartition("key", "part").sortWithinPartitions("key", "part", "grp")
     more = written(blocked.mapInArrow(crossing, "a long, b long").distinct(), "crossing", free=True)
     erased(placed, left, own, sizes)
-    if not more.isEmpty():
-        classes = flat_components(links.union(verified(more)))
+    found = names.join(classes, "node", "left").select("id", "row_hash", "node", F.coalesce("component", "node").alias("component"))
+    if not more.isEmpty():  # links of the classes that there are
+        group = lambda end: F.coalesce(f"{end}_group", end).alias(end)
+        linked = verified(more).join(classes.toDF("a", "a_group"), "a", "left").join(classes.toDF("b", "b_group"), "b", "left")
+        wider = flat_components(linked.select(group("a"), group("b"))).toDF("component", "wider")
+        found = found.join(wider, "component", "left").select("id", "row_hash", "node", F.coalesce("wider", "component").alias("component"))
     erased(more)
-    return names.join(classes, "node", "left").select("id", "row_hash", "node", F.coalesce("component", "node").alias("component"))
+    return found
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

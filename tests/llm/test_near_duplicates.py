@@ -200,6 +200,29 @@ def test_near_copies_find_every_pair_of_the_similarity_asked_for(spark, longest)
     assert [first[got[i]] for i in range(len(texts))] == [want[i] for i in range(len(texts))]
 
 
+def test_near_copies_go_through_the_simhash_index(spark, monkeypatch):
+    """Texts within three bits are paired with their class's first, by the index of op1; what is less alike stays."""
+    rnd = random.Random(5)
+    texts = []
+    for _ in range(6):
+        w = [f"w{rnd.randrange(10**6)}" for _ in range(3000)]
+        texts += [" ".join(w), " ".join([*w[:-1], "other"]), " ".join(w[:1500] + w)]
+    texts += [None, "", "a b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    fps = np.array([simhash.fingerprint((t or "").encode(), 5) for t in texts], np.uint64)
+    want = classes(len(texts), lambda i, j: (int(fps[i]) ^ int(fps[j])).bit_count() <= 3)
+    marks = spark.createDataFrame(list(zip(range(len(texts)), fps.view(np.int64).tolist())), "node long, fp long")
+    got = {(r.a, r.b) for r in simhash.simhash_pairs(marks).collect()}
+    assert len(got) >= 6 and got == {(want[i], i) for i in range(len(texts)) if want[i] != i}
+    asked, index = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda fps, longest: asked.append(fps.columns) or index(fps, longest))
+    left = sorted(r.doc_id for r in simhash.one_of_each(docs).collect())
+    assert asked == [["fp"]]
+    sets = [set(simhash.shingle_hashes((t or "").encode(), 5).tolist()) for t in texts]
+    alike = classes(len(texts), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    assert left == sorted(set(alike))
+
+
 def test_pairs_of_a_list_that_met_in_an_earlier_one_are_told():
     key = 7
     x = np.array([[1, 2, key, key], [1, 2, key, key], [key] * 4], np.int64)
