@@ -302,6 +302,24 @@ def crossing_pairs(
                 yield p[near], q[near]
 
 
+def nearest_pairs(
+    group: np.ndarray, size: np.ndarray, rest: np.ndarray, bits: np.ndarray, block: np.ndarray, similarity: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """Of ``crossing_pairs`` the nearest by bits of each group: as many pairs as the list has groups at most."""
+    names, number = np.unique(group, return_inverse=True)
+    least, best = np.full(len(names), np.inf), np.zeros((len(names), 2), np.int64)
+    for i, j in crossing_pairs(group, size, rest, bits, block, similarity):
+        apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1) / np.maximum(size[i] + size[j], 1)
+        order = np.lexsort((j, i, apart))
+        for end in (i, j):
+            own, at = np.unique(number[end[order]], return_index=True)  # the first of each group is its nearest
+            at = order[at]
+            new = apart[at] < least[own]
+            least[own[new]], best[own[new]] = apart[at[new]], np.stack([i[at[new]], j[at[new]]], axis=1)
+    i, j = best[np.isfinite(least)].T
+    return i, j
+
+
 def met_before(x: np.ndarray, y: np.ndarray, key: int) -> np.ndarray:
     """For each two rows of list ``key``, whether both name one earlier list; ``key`` itself fills up short rows."""
     return ((x[:, :, None] == y[:, None, :]) & (x != key)[:, :, None]).any(axis=(1, 2))
@@ -344,7 +362,11 @@ def near_copies(
     fingerprint is ``PARITIES`` bits, of which a pair can differ in no more than
     the shingles that it does not share.  Every row of a list is paired with the
     list's first, and each set's nearest of these by bits are verified with the
-    pairs of SimHash, so that large families are one class already.  Then all pairs of a list that are still in different classes
+    pairs of SimHash, so that large families are one class already.  Of the lists
+    that still hold several classes, each class's nearest pair by bits is verified
+    next, as many as a list has classes at most, and again as long as two classes
+    become one: a round at least halves those that have an alike nearest.  Then all
+    pairs of a list that are still in different classes
     are taken, where sizes, places and parity bits, tested inside the list, allow
     the similarity; lists longer than ``longest`` are cut into blocks, and each
     pair of blocks is a list of its own.  A pair is judged in the first list that
@@ -415,6 +437,21 @@ def near_copies(
                 yield pa.RecordBatch.from_arrays([pa.array(v[keep]) for v in (key, node, place, head)], ["key", "node", "place", "head"])
         pa.default_memory_pool().release_unused()
 
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in sorted_runs(batches, ["key", "part"]):
+            key, part, node, group, place, block = (table.column(c).to_numpy() for c in ("key", "part", "node", "grp", "place", "block"))
+            bits, size, rest = _words_of_bits(table.column("bits")), place >> 32, place & 0xFFFFFFFF
+            bounds = run_bounds(key, part)
+            found = []
+            for s, e in zip(bounds[:-1], bounds[1:]):
+                if group[s] != group[e - 1]:
+                    i, j = nearest_pairs(group[s:e], size[s:e], rest[s:e], bits[s:e], block[s:e], similarity)
+                    a, b = node[s + i], node[s + j]
+                    found.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in np.unique(np.concatenate(found, axis=1), axis=1)], ["a", "b"])
+        pa.default_memory_pool().release_unused()
+
     def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in sorted_runs(batches, ["key", "part"]):
             key, part, node, group, place, block = (table.column(c).to_numpy() for c in ("key", "part", "node", "grp", "place", "block"))
@@ -505,26 +542,59 @@ def near_copies(
     placed = lists.select("key", "node", "place").join(classes, "node", "left")
     placed = written(placed.select("key", "node", "place", F.coalesce("component", "node").alias("grp")), "placed", free=True)
     erased(lists)
-    mixed = placed.groupBy("key").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
-    left = written(placed.join(mixed.select("key", "n"), "key"), "left", free=True)
+
+    def mixed(placed: DataFrame) -> DataFrame:
+        """The rows of lists with several classes, and ``n``, how many rows a list has; written in place of ``placed``."""
+        several = placed.groupBy("key").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
+        left = written(placed.join(several.select("key", "n"), "key"), "left", free=True)
+        erased(placed)
+        return left
+
+    def dealt(left: DataFrame, *more: str) -> DataFrame:
+        """The rows with their bits, sorted by list, or by pair of blocks of a list."""
+        cuts = F.ceil(F.col("n") / longest)
+        blocked = left.join(own.select("node", "bits"), "node").withColumn("block", F.pmod(F.xxhash64("node"), cuts))
+        blocked = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), cuts - 1)))
+        blocked = blocked.withColumn("part", F.least("block", "other") * cuts + F.greatest("block", "other"))
+        blocked = blocked.select("key", "part", "node", "grp", "place", "block", "bits", *more)
+        return blocked.repartition("key", "part").sortWithinPartitions("key", "part", "grp", "node")
+
+    def wider(pairs: DataFrame) -> DataFrame:
+        """Written rows (grp, wider): the classes that those of the pairs that are alike join, with their new names."""
+        group = lambda end: F.coalesce(f"{end}_group", end).alias(end)
+        linked = verified(pairs).join(classes.toDF("a", "a_group"), "a", "left").join(classes.toDF("b", "b_group"), "b", "left")
+        return flat_components(linked.select(group("a"), group("b"))).toDF("grp", "wider")
+
+    def joined(names: DataFrame) -> DataFrame:
+        """The classes, written again, under the names that they have joined."""
+        old = classes.join(names, classes.component == names.grp, "left").select("node", F.coalesce("wider", "component").alias("component"))
+        alone = names.join(classes.select("node"), names.grp == classes.node, "left_anti")
+        found = written(old.union(alone), "classes", free=True)
+        erased(classes)
+        return found
+
+    left = mixed(placed)
     own = prints(left.select(F.col("node").alias("a"), F.col("node").alias("b")))
-    cuts = F.ceil(F.col("n") / longest)
+    while True:  # each class's nearest, a list at a time, while these join classes
+        near = written(dealt(left).mapInArrow(nearest, "a long, b long").distinct(), "nearest", free=True)
+        names_now = wider(near)
+        none = names_now.isEmpty()
+        erased(near)
+        if none:
+            break
+        classes = joined(names_now)
+        renamed = left.drop("n").join(names_now, "grp", "left").select("key", "node", "place", F.coalesce("wider", "grp").alias("grp"))
+        renamed = written(renamed, "placed", free=True)
+        erased(left, names_now)
+        left = mixed(renamed)
     earlier = W.partitionBy("node").orderBy(F.desc("place")).rowsBetween(-EARLIER, -1)  # rarest first
-    blocked = left.withColumn("before", F.collect_list("key").over(earlier)).join(own.select("node", "bits"), "node")
-    blocked = blocked.withColumn("block", F.pmod(F.xxhash64("node"), cuts))
-    blocked = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), cuts - 1)))
-    blocked = blocked.withColumn("part", F.least("block", "other") * cuts + F.greatest("block", "other"))
-    blocked = blocked.select("key", "part", "node", "grp", "place", "block", "bits", "before").repartition("key", "part").sortWithinPartitions("key", "part", "grp")
-    more = written(blocked.mapInArrow(crossing, "a long, b long").distinct(), "crossing", free=True)
-    erased(placed, left, own, sizes)
-    found = names.join(classes, "node", "left").select("id", "row_hash", "node", F.coalesce("component", "node").alias("component"))
+    before = left.withColumn("before", F.collect_list("key").over(earlier))
+    more = written(dealt(before, "before").mapInArrow(crossing, "a long, b long").distinct(), "crossing", free=True)
+    erased(left, own, sizes)
     if not more.isEmpty():  # links of the classes that there are
-        group = lambda end: F.coalesce(f"{end}_group", end).alias(end)
-        linked = verified(more).join(classes.toDF("a", "a_group"), "a", "left").join(classes.toDF("b", "b_group"), "b", "left")
-        wider = flat_components(linked.select(group("a"), group("b"))).toDF("component", "wider")
-        found = found.join(wider, "component", "left").select("id", "row_hash", "node", F.coalesce("wider", "component").alias("component"))
+        classes = joined(wider(more))
     erased(more)
-    return found
+    return names.join(classes, "node", "left").select("id", "row_hash", "node", F.coalesce("component", "node").alias("component"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

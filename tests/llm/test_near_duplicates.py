@@ -223,6 +223,26 @@ def test_near_copies_go_through_the_simhash_index(spark, monkeypatch):
     assert left == sorted(set(alike))
 
 
+def test_families_that_the_first_look_leaves_join_by_few_links(spark, monkeypatch):
+    """A family that comes apart in the first look is joined by links as many as its rows, not their square."""
+    rnd = random.Random(3)
+    common = [f"w{rnd.randrange(10**6)}" for _ in range(400)]
+    texts = [" ".join(common + [f"x{i}y{k}" for k in range(5)]) for i in range(60)] + [" ".join(common[200:]), "a b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    monkeypatch.setattr(simhash, "FIRST_LOOK", 0)
+    monkeypatch.setattr(simhash, "simhash_pairs", lambda marks, longest: spark.createDataFrame([], "a long, b long"))
+    counts, join = [], simhash.flat_components
+
+    def counted(edges):
+        counts.append(edges.count())
+        return join(edges)
+
+    monkeypatch.setattr(simhash, "flat_components", counted)
+    got = {r["id"]: r.component for r in simhash.near_copies(docs).collect()}
+    assert len({got[i] for i in range(60)}) == 1 and len(set(got.values())) == 3
+    assert max(counts) <= 2 * len(texts)
+
+
 def test_pairs_of_a_list_that_met_in_an_earlier_one_are_told():
     key = 7
     x = np.array([[1, 2, key, key], [1, 2, key, key], [key] * 4], np.int64)
