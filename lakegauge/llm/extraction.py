@@ -22,15 +22,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakegauge.llm.common import written
+from lakegauge.llm.common import conf_set, erased, written
 from lakegauge.llm.phrases import Filter, _filter
 
 #: Tokens from which a repeated substring counts; a power of two, the last order the suffixes are sorted to.
 LEAST_RUN = 8
 #: Parts that the hashes of all runs are counted in, one after another.
-SLICES = 2
-#: Bits of the filter of repeated runs; 8 MB.
-FILTER_BITS = 1 << 26
+SLICES = 5
+#: Parts of the pages that are put together with their repeats, one after another.
+PARTS = 4
+#: Pages whose tokens a task holds at once.
+AT_ONCE = 128
+#: Bits of the filter of repeated runs, eight for each of them and these at most; 32 MB.
+FILTER_BITS = 1 << 28
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
@@ -241,16 +245,54 @@ def main_texts(pages: list[str | None]) -> tuple[list[str], list[int], list[int]
     return [texts[i] for i in copies], [lengths[i] for i in copies], [shared[i] for i in copies]
 
 
-def run_hashes(own: list[tuple[str, bool, bool]], host: str, run: int = LEAST_RUN) -> np.ndarray:
-    """XXH64 of the ``run`` tokens from each place of a page's blocks on, seeded by its host."""
-    parts = [w.encode("utf-8", "surrogatepass") for b in own for w in b[0].split()]
-    if len(parts) < run:
-        return np.zeros(0, np.int64)
-    line, seed = b" ".join(parts), xxhash.xxh64_intdigest(host.encode("utf-8", "surrogatepass"))
-    starts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)])
-    ends = (starts[run:] - 1).tolist()
-    found = (xxhash.xxh64_intdigest(line[a:b], seed) for a, b in zip(starts.tolist(), ends))
-    return np.fromiter(found, np.uint64, len(ends)).view(np.int64)
+def _numbers(n: int, seed: int) -> np.ndarray:
+    """``n`` fixed odd numbers of 64 bits."""
+    return np.array([xxhash.xxh64_intdigest(i.to_bytes(4, "little"), seed) | 1 for i in range(n)], np.uint64)
+
+
+#: Numbers of the values of a byte, and factors of a run's tokens and of its host.
+_OF_BYTE, _OF_PLACE = _numbers(256, 1), _numbers(LEAST_RUN + 1, 2)
+_BASE, _MIX = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xFF51AFD7ED558CCD))
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * _MIX
+    return h ^ (h >> np.uint64(29))
+
+
+def run_hashes(pages: list[bytes], hosts: list[str], run: int = LEAST_RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(page, place, hash) of the ``run`` tokens from each place of the pages on; the hash depends on the host, too.
+
+    Tokens have one blank or line break between them.  A token's hash is a
+    polynomial of its bytes, mixed; a run's a weighted sum of its tokens', mixed.
+    """
+    none = np.zeros(0, np.int64)
+    held = [i for i, p in enumerate(pages) if p]
+    if not held:
+        return none, none, none.view(np.uint64)
+    text = np.frombuffer(b"\n".join(pages[i] for i in held) + b"\n", np.uint8)
+    ends = np.flatnonzero((text == 0x20) | (text == 0x0A))
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    sizes = ends + 1 - starts
+    powers = np.multiply.accumulate(np.full(int(sizes.max()), _BASE))
+    letters = _OF_BYTE[text] * powers[np.arange(len(text)) - np.repeat(starts, sizes)]
+    letters[ends] = 0
+    tokens = _mixed(np.add.reduceat(letters, starts))
+    page_ends = np.cumsum([len(pages[i]) + 1 for i in held])
+    last = np.searchsorted(starts, page_ends)  # the token after each page's last
+    lengths = np.diff(last, prepend=0)
+    if len(tokens) < run:
+        return none, none, none.view(np.uint64)
+    n = len(tokens) - run + 1
+    found = tokens[:n] * _OF_PLACE[0]
+    for k in range(1, run):
+        found += tokens[k : n + k] * _OF_PLACE[k]
+    page = np.repeat(np.arange(len(held)), lengths)[:n]
+    inside = np.flatnonzero(np.arange(n) + run <= last[page])
+    page = page[inside]
+    host = np.array([xxhash.xxh64_intdigest(hosts[i].encode("utf-8", "surrogatepass")) for i in held], np.uint64)
+    found = _mixed(found[inside] + host[page] * _OF_PLACE[run])
+    return np.array(held, np.int64)[page], inside - (last - lengths)[page], found
 
 
 def covered_tokens(starts: list[int], n_tokens: int) -> np.ndarray:
@@ -264,43 +306,44 @@ def covered_tokens(starts: list[int], n_tokens: int) -> np.ndarray:
 def repeated_runs(pages: DataFrame, slices: int = SLICES, wanted: DataFrame | None = None) -> DataFrame:
     """Written rows (content, found): where runs begin in a page that stand in another content of its host, too.
 
-    ``pages`` has rows (html, host, content).  The runs' hashes are counted a
-    slice at a time, each giving its shuffle back, so that the disk holds a part
-    of them; what a filter of the repeated ones lets through is joined with them.
-    Of the pages with a ``content`` in ``wanted`` only, if that is given.
+    ``pages`` has rows (lines, host, content), the page's blocks a line each.  The
+    runs' hashes are counted a slice at a time, each giving its shuffle back, so
+    that the disk holds a part of them; what a filter of the repeated ones lets
+    through is joined with them.  Of the pages in ``wanted`` only, if given.
     """
 
-    def run_rows(content: int, h: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), content, np.int64)), pa.array(h), pa.array(at)], ["content", "h", "at"])
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(content, place, hash) of the runs of some pages at once."""
         for batch in batches:
-            for page, host, content in zip(*(batch.column(c).to_pylist() for c in ("html", "host", "content"))):
-                yield content, run_hashes(blocks(page), host)
+            for s in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(s, AT_ONCE)
+                page, place, h = run_hashes(part.column("lines").cast(pa.binary()).to_pylist(), part.column("host").to_pylist())
+                yield part.column("content").to_numpy()[page], place, h
 
-    def of_slice(k: int):
+    def repeats(k: int) -> DataFrame:
         def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for content, h in hashed(batches):
-                own = h[h.view(np.uint64) % np.uint64(slices) == k]
-                yield run_rows(content, own, np.zeros(len(own), np.int64))
-
-        return pages.mapInArrow(runs, "content long, h long, at long")
+            for content, _, h in hashed(batches):
+                own = np.flatnonzero((h >> np.uint64(40)) % np.uint64(slices) == k)
+                yield pa.RecordBatch.from_arrays([pa.array(v[own]) for v in (content, h.view(np.int64))], ["content", "h"])
 
-    def repeats(runs: DataFrame) -> DataFrame:
-        return runs.groupBy("h").agg(F.min("content").alias("x"), F.max("content").alias("y")).where("x < y").select("h")
+        counted = pages.mapInArrow(runs, "content long, h long").groupBy("h").agg(F.min("content").alias("x"), F.max("content").alias("y"))
+        return written(counted.where("x < y").select("h"), "repeats", free=True)
 
-    many = reduce(DataFrame.unionByName, [written(repeats(of_slice(k)), "repeats", free=True) for k in range(slices)])
-    shared = pages.sparkSession.sparkContext.broadcast(_filter(many, FILTER_BITS))
+    many = reduce(DataFrame.unionByName, [repeats(k) for k in range(slices)])
+    bits = min(FILTER_BITS, max(1 << 20, 1 << (8 * many.count()).bit_length()))
+    shared = pages.sparkSession.sparkContext.broadcast(_filter(many, bits))
 
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Filter(shared.value)
-        for content, h in hashed(batches):
-            at = np.flatnonzero(known.has(h.view(np.uint64)))
-            yield run_rows(content, h[at], at)
-
-    asked = pages if wanted is None else pages.join(wanted.select("content").distinct(), "content", "left_semi").select("html", "host", "content")
-    found = asked.mapInArrow(possible, "content long, h long, at long").join(many, "h", "left_semi")
-    return written(found.groupBy("content").agg(F.collect_set("at").alias("found")), "found", free=True)
+        repeated = Filter(shared.value)
+        for content, place, h in hashed(batches):
+            own = np.flatnonzero(repeated.has(h))
+            yield pa.RecordBatch.from_arrays([pa.array(v[own]) for v in (content, h.view(np.int64), place.astype(np.int32))], ["content", "h", "at"])
+
+    found = (pages if wanted is None else wanted).mapInArrow(possible, "content long, h long, at int").join(many, "h", "left_semi")
+    found = written(found.groupBy("content").agg(F.collect_set("at").alias("found")), "found", free=True)
+    shared.destroy()
+    erased(many)
+    return found
 
 
 def extract(
@@ -312,7 +355,8 @@ def extract(
     are one host.  Rows of a host with the same content are one page, so copies
     repeat nothing of each other.  Without ``counts``, ``n_repeated`` is null for
     pages that mark an article, and hosts that have only such are not compared.
-    An empty table gives no rows.
+    An empty table gives no rows.  A page is parsed once: its blocks are written,
+    and its runs are taken from them.
     """
     kind = pages.schema[id_col].dataType.simpleString()
     rows = pages.select(
@@ -323,43 +367,42 @@ def extract(
     def structure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cut = [blocks(p) for p in batch.column("html").to_pylist()]
-            texts = [_main_text(own, np.zeros(0, bool)) if _marks_article(own) else None for own in cut]
-            sizes = [sum(len(b[0].split()) for b in own) for own in cut]
+            lines = ["\n".join(b[0] for b in own) for own in cut]  # a block's tokens have one space between them
+            marks = [bytes(article + 2 * boilerplate for _, article, boilerplate in own) for own in cut]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("page_id", "url", "host", "content")), pa.array(texts, pa.string()), pa.array(sizes, pa.int64())],
-                ["page_id", "url", "host", "content", "text", "n_tokens"])
+                [*(batch.column(c) for c in ("page_id", "url", "host", "content")),
+                 pa.array(lines, pa.string()), pa.array(marks, pa.binary()), pa.array([not _marks_article(own) for own in cut], pa.bool_())],
+                ["page_id", "url", "host", "content", "lines", "marks", "open"])
 
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cut = [blocks(p) for p in batch.column("html").to_pylist()]
-            found = batch.column("found").to_pylist()
-            texts = [_main_text(own, covered_tokens(f or [], sum(len(b[0].split()) for b in own))) for own, f in zip(cut, found)]
-            yield pa.RecordBatch.from_arrays([batch.column("content"), pa.array(texts, pa.string())], ["content", "open_text"])
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            shared = [int(covered_tokens(f, max(f) + LEAST_RUN).sum()) for f in batch.column("found").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("content"), pa.array(shared, pa.int64())], ["content", "n_repeated"])
-
-    first = written(
-        rows.select("page_id", "url", "html", "host", "content").mapInArrow(
-            structure, f"page_id {kind}, url string, host string, content long, text string, n_tokens long"
-        ), "structure")
-    asked, columns = first.where("text is null"), ["page_id", "url", "text", "n_tokens", "n_repeated"]
-    none_asked = asked.isEmpty()
-    if none_asked and not counts:
-        return first.withColumn("n_repeated", F.lit(None).cast("long")).select(*columns)
-    own = rows.select("html", "host", "content")
+            texts, sizes, shared = [], [], []
+            for lines, marks, open_, found in zip(*(batch.column(c).to_pylist() for c in ("lines", "marks", "open", "found"))):
+                own = [(text, bool(m & 1), bool(m & 2)) for text, m in zip(lines.split("\n"), marks)]
+                sizes.append(len(lines.split()))
+                covered = covered_tokens(found or [], sizes[-1])
+                texts.append(_main_text(own, covered))
+                shared.append(int(covered.sum()) if counts or open_ else None)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(sizes, pa.int64()), pa.array(shared, pa.int64())],
+                ["page_id", "url", "text", "n_tokens", "n_repeated"])
+
+    with conf_set(pages.sparkSession, "spark.sql.parquet.compression.codec", "zstd"):
+        first = written(
+            rows.select("page_id", "url", "html", "host", "content").mapInArrow(
+                structure, f"page_id {kind}, url string, host string, content long, lines string, marks binary, open boolean"
+            ), "structure")
+    own, wanted = first.select("lines", "host", "content"), None
     if not counts:
-        own = own.join(asked.select("host").distinct(), "host", "left_semi").select("html", "host", "content")
-    found = repeated_runs(own, slices, None if counts else asked)
-    whole = first.join(found.mapInArrow(counted, "content long, n_repeated long"), "content", "left")
-    if not none_asked:
-        again = own.join(asked.select("content").distinct(), "content", "left_semi").dropDuplicates(["content"])
-        again = again.join(found, "content", "left").select("content", "html", "found")
-        whole = whole.join(again.mapInArrow(compared, "content long, open_text string"), "content", "left")
-        whole = whole.withColumn("_open", F.col("text").isNull()).withColumn("text", F.coalesce("text", "open_text"))
-    else:
-        whole = whole.withColumn("_open", F.lit(False))
-    number = F.when(F.lit(counts) | F.col("_open"), F.coalesce("n_repeated", F.lit(0)).cast("long"))
-    return whole.withColumn("n_repeated", number).select(*columns)
+        wanted = first.where("open").select("lines", "host", "content")
+        own = own.join(wanted.select("host").distinct(), "host", "left_semi").select("lines", "host", "content")
+    found = repeated_runs(own, slices, wanted) if counts or not wanted.isEmpty() else None
+    whole = first.withColumn("found", F.lit(None).cast("array<int>")) if found is None else first.join(found, "content", "left")
+    parts = []
+    for k in range(PARTS):  # a part's texts cross the network at a time
+        part = whole.where(F.pmod("content", F.lit(PARTS)) == k).select("page_id", "url", "lines", "marks", "open", "found")
+        part = part.mapInArrow(finished, f"page_id {kind}, url string, text string, n_tokens long, n_repeated long")
+        with conf_set(pages.sparkSession, "spark.sql.parquet.compression.codec", "zstd"):
+            parts.append(written(part, "texts", free=True))
+    erased(first, *([] if found is None else [found]))
+    return reduce(DataFrame.unionByName, parts)

@@ -389,3 +389,39 @@ def test_repeats_do_not_depend_on_the_size_of_a_host(spark):
     assert not any("notice" in want[i][0] for i in range(602)) and want[600][0] == want[5][0] != ""
     assert {r.page_id: (r.text, r.n_tokens, r.n_repeated) for r in extraction.extract(table).collect()} == want
     assert {r.page_id: r.text for r in extraction.extract(table, counts=False).collect()} == {i: w[0] for i, w in want.items()}
+
+
+def test_pages_are_parsed_once_and_counted_in_small_parts(spark, tmp_path, monkeypatch):
+    """The search of repeats takes tokens from what the one parse wrote; a slice's rows are a part of all runs."""
+    text = lambda i: " ".join(f"w{i}x{k}" for k in range(40)) + " this notice of nine words stands on each page"
+    rows = [(i, "http://h.example/x", f"<article><h1>Title {i}</h1><p>{text(i)}</p></article><p>é\u2028ü &#8195; b{i}</p>") for i in range(50)]
+    rows += [(50, "http://h.example/x", rows[0][2]), (51, None, None), (None, "http://o.example/x", rows[1][2])]
+    log, parse = str(tmp_path / "parsed"), extraction.blocks
+
+    def logged(page):
+        with open(log, "a") as out:
+            out.write("x")
+        return parse(page)
+
+    hosts: dict = {}
+    for i, url, page in rows:
+        hosts.setdefault(url, []).append((i, page))
+    want = {}
+    for own in hosts.values():
+        want |= {i: found for (i, _), found in zip(own, zip(*extraction.main_texts([p for _, p in own])))}
+    monkeypatch.setattr(extraction, "blocks", logged)
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: (r.text, r.n_tokens, r.n_repeated) for r in extraction.extract(table).collect()}
+    assert got == want and len({got[i][2] for i in range(50)}) == 1 and got[0][2] == 11
+    with open(log) as parsed:
+        assert len(parsed.read()) == len(rows)
+    assert extraction.SLICES >= 4 and extraction.PARTS >= 4
+
+
+def test_hashes_of_runs_tell_runs_and_hosts_apart():
+    pages = ["a b c d e f g h i\nj é", "", "b c d e f g h\ni", "a b", "b a c d e f g h"]
+    page, place, h = extraction.run_hashes([p.encode() for p in pages], ["x", "x", "x", "x", "x"])
+    assert list(zip(page.tolist(), place.tolist())) == [(0, 0), (0, 1), (0, 2), (0, 3), (2, 0), (4, 0)]
+    assert h[1] == h[4] and len(set(h.tolist())) == 5
+    assert extraction.run_hashes([pages[2].encode()], ["y"])[2][0] != h[4]
+    assert [len(x) for x in extraction.run_hashes([b"", b"a"], ["x", "x"])] == [0, 0, 0]
