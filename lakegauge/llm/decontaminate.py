@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakegauge.llm.common import free_name, written
+from lakegauge.llm.common import erased, free_name, written
 
 WINDOW = 13
 #: A shard takes documents until their texts reach so many bytes; one longer text is a shard of its own.
@@ -355,11 +355,13 @@ def is_contaminated(n_hit, n_words):
 def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, all columns, that are not contaminated: fewer than a twentieth of their words are hit.
 
-    A row is told by id and text: rows that agree in both have one verdict.
+    A row is told by id and text: rows that agree in both have one verdict.  The
+    index is deleted once the verdicts are written.
     """
     key = free_name(docs, "_row_hash")
     hashed = docs.withColumn(key, F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h")))
     found = contamination(hashed, benchmark, id_col=key, text_col=text_col, **options)
-    bad = written(found.where(is_contaminated(F.col("n_hit"), F.col("n_words"))).select("id.id", "id.h").distinct(), "bad")
+    bad = written(found.where(is_contaminated(F.col("n_hit"), F.col("n_words"))).select("id.id", "id.h").distinct(), "bad", free=True)
+    erased(found)  # the index that it is read from
     same = docs[id_col].eqNullSafe(bad["id"]) & (F.xxhash64(docs[text_col]) == bad["h"])
     return docs.join(bad, same, "left_anti")

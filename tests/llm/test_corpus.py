@@ -3,6 +3,7 @@
 import gzip
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lakegauge.llm import decontaminate, extraction, mixing, simhash, tokens, warc
-from lakegauge.llm.common import new_path, read
+from lakegauge.llm.common import new_path, read, shared_folder
 from lakegauge.llm.queries import QUERIES, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -137,6 +138,16 @@ def test_clean_documents_keep_all_columns(spark):
     assert left.columns == docs.columns and sorted(r["id"] for r in left.collect()) == [6, 7, 8]
 
 
+def test_clean_documents_leave_no_index_on_disk(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (2, None), (3, "d e")], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before, verdicts = set(folder.glob("postings-*")), len(list(folder.glob("bad-*")))
+    left = decontaminate.clean_documents(docs, benchmark)
+    assert set(folder.glob("postings-*")) == before and len(list(folder.glob("bad-*"))) == verdicts + 1
+    assert sorted(r["doc_id"] for r in left.collect()) == [2, 3]
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><article>x</article>";</script></head><body>
 <header class="site">Site name</header><nav><ul><li><a href=x>Home</a><li>About</ul></nav><div class="cookie-notice">We use cookies</div>
 <aside>Side</aside><article><h1>Big &amp; bold&nbsp;title</h1><p>One <b>two</b>
