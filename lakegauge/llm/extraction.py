@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakegauge.llm.common import conf_set, erased, written
+from lakegauge.llm.common import conf_set, erased, new_path, written
 from lakegauge.llm.phrases import Filter, _filter
 
 #: Tokens from which a repeated substring counts; a power of two, the last order the suffixes are sorted to.
@@ -33,6 +33,9 @@ SLICES = 5
 PARTS = 4
 #: Pages whose tokens a task holds at once.
 AT_ONCE = 128
+#: Runs that a task sorts before it sends them, and bits of a hash that name the bucket they are sent to.
+RUNS = 1 << 20
+BUCKET_BITS = 12
 #: Bits of the filter of repeated runs, eight for each of them and these at most; 32 MB.
 FILTER_BITS = 1 << 28
 
@@ -295,6 +298,37 @@ def run_hashes(pages: list[bytes], hosts: list[str], run: int = LEAST_RUN) -> tu
     return np.array(held, np.int64)[page], inside - (last - lengths)[page], found
 
 
+def _ends(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, smallest content, largest content) of each of the runs ``held`` as (hashes, contents), by rising hash."""
+    h, content = (np.concatenate(v) for v in zip(*held))
+    order = np.argsort(h)
+    h, content = h[order], content[order]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+    if not len(first):
+        return h, content, content
+    return h[first], np.minimum.reduceat(content, first), np.maximum.reduceat(content, first)
+
+
+def dealt(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """Rows (bucket, h, contents) of runs: of each run its smallest and its largest content, by buckets of the hash."""
+    h, low, high = _ends(held)
+    twice = np.where(low < high, 2, 1)
+    content = np.repeat(low, twice)
+    content[(np.cumsum(twice) - 1)[low < high]] = high[low < high]
+    h = np.repeat(h, twice)
+    bucket = (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
+    start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(h) else np.zeros(0, np.int64)
+    cut = list(zip(start.tolist(), [*start[1:].tolist(), len(h)]))
+    packed = [pa.array([v[a:b].tobytes() for a, b in cut], pa.binary()) for v in (h, content)]
+    return pa.RecordBatch.from_arrays([pa.array(bucket[start], pa.int32()), *packed], ["bucket", "h", "contents"])
+
+
+def shared_runs(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """Rows (h) of the runs that have different contents."""
+    h, low, high = _ends(held)
+    return pa.RecordBatch.from_arrays([pa.array(h[low < high].view(np.int64))], ["h"])
+
+
 def covered_tokens(starts: list[int], n_tokens: int) -> np.ndarray:
     """Which of a page's tokens lie in the runs that begin at ``starts``."""
     covered = np.zeros(n_tokens, bool)
@@ -303,13 +337,15 @@ def covered_tokens(starts: list[int], n_tokens: int) -> np.ndarray:
     return covered
 
 
-def repeated_runs(pages: DataFrame, slices: int = SLICES, wanted: DataFrame | None = None) -> DataFrame:
+def repeated_runs(pages: DataFrame, slices: int = SLICES, wanted: list[DataFrame] | None = None) -> DataFrame:
     """Written rows (content, found): where runs begin in a page that stand in another content of its host, too.
 
     ``pages`` has rows (lines, host, content), the page's blocks a line each.  The
     runs' hashes are counted a slice at a time, each giving its shuffle back, so
-    that the disk holds a part of them; what a filter of the repeated ones lets
-    through is joined with them.  Of the pages in ``wanted`` only, if given.
+    that the disk holds a part of them: tasks send a run's smallest and largest
+    content to the bucket of its hash, many runs a row, and a bucket is sorted as
+    a whole.  What a filter of the repeated ones lets through is joined with them.
+    Of the pages in ``wanted`` only, if given, one table after another.
     """
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -322,12 +358,32 @@ def repeated_runs(pages: DataFrame, slices: int = SLICES, wanted: DataFrame | No
 
     def repeats(k: int) -> DataFrame:
         def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[tuple[np.ndarray, np.ndarray]] = []
             for content, _, h in hashed(batches):
                 own = np.flatnonzero((h >> np.uint64(40)) % np.uint64(slices) == k)
-                yield pa.RecordBatch.from_arrays([pa.array(v[own]) for v in (content, h.view(np.int64))], ["content", "h"])
-
-        counted = pages.mapInArrow(runs, "content long, h long").groupBy("h").agg(F.min("content").alias("x"), F.max("content").alias("y"))
-        return written(counted.where("x < y").select("h"), "repeats", free=True)
+                held.append((h[own], content[own]))
+                if sum(len(v) for v, _ in held) >= RUNS:
+                    yield dealt(held)
+                    held = []
+            if held:
+                yield dealt(held)
+
+        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[tuple[np.ndarray, np.ndarray]] = []
+            now = None
+            for batch in batches:
+                for bucket, *pair in zip(*(batch.column(c).to_pylist() for c in ("bucket", "h", "contents"))):
+                    if bucket != now and held:
+                        yield shared_runs(held)
+                        held = []
+                    now = bucket
+                    held.append((np.frombuffer(pair[0], np.uint64), np.frombuffer(pair[1], np.int64)))
+            if held:
+                yield shared_runs(held)
+
+        with conf_set(pages.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", "256"):  # many runs a row
+            buckets = pages.mapInArrow(runs, "bucket int, h binary, contents binary").repartition("bucket").sortWithinPartitions("bucket")
+            return written(buckets.mapInArrow(counted, "h long"), "repeats", free=True)
 
     many = reduce(DataFrame.unionByName, [repeats(k) for k in range(slices)])
     bits = min(FILTER_BITS, max(1 << 20, 1 << (8 * many.count()).bit_length()))
@@ -339,8 +395,11 @@ def repeated_runs(pages: DataFrame, slices: int = SLICES, wanted: DataFrame | No
             own = np.flatnonzero(repeated.has(h))
             yield pa.RecordBatch.from_arrays([pa.array(v[own]) for v in (content, h.view(np.int64), place.astype(np.int32))], ["content", "h", "at"])
 
-    found = (pages if wanted is None else wanted).mapInArrow(possible, "content long, h long, at int").join(many, "h", "left_semi")
-    found = written(found.groupBy("content").agg(F.collect_set("at").alias("found")), "found", free=True)
+    def places(some: DataFrame) -> DataFrame:
+        found = some.mapInArrow(possible, "content long, h long, at int").join(many, "h", "left_semi")
+        return written(found.groupBy("content").agg(F.collect_set("at").alias("found")), "found", free=True)
+
+    found = reduce(DataFrame.unionByName, [places(some) for some in wanted or [pages]])
     shared.destroy()
     erased(many)
     return found
@@ -355,8 +414,8 @@ def extract(
     are one host.  Rows of a host with the same content are one page, so copies
     repeat nothing of each other.  Without ``counts``, ``n_repeated`` is null for
     pages that mark an article, and hosts that have only such are not compared.
-    An empty table gives no rows.  A page is parsed once: its blocks are written,
-    and its runs are taken from them.
+    An empty table gives no rows.  A page is parsed once: its blocks are written
+    in parts, each deleted when its texts are, and its runs are taken from them.
     """
     kind = pages.schema[id_col].dataType.simpleString()
     rows = pages.select(
@@ -387,22 +446,33 @@ def extract(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(sizes, pa.int64()), pa.array(shared, pa.int64())],
                 ["page_id", "url", "text", "n_tokens", "n_repeated"])
 
-    with conf_set(pages.sparkSession, "spark.sql.parquet.compression.codec", "zstd"):
-        first = written(
-            rows.select("page_id", "url", "html", "host", "content").mapInArrow(
-                structure, f"page_id {kind}, url string, host string, content long, lines string, marks binary, open boolean"
-            ), "structure")
-    own, wanted = first.select("lines", "host", "content"), None
+    spark, returned = pages.sparkSession, f"page_id {kind}, url string, text string, n_tokens long, n_repeated long"
+    path, part_of = new_path(spark, "structure"), F.pmod("content", F.lit(PARTS))
+    cut_up = rows.select("page_id", "url", "html", "host", "content").mapInArrow(
+        structure, f"page_id {kind}, url string, host string, content long, lines string, marks binary, open boolean"
+    )
+    with conf_set(spark, "spark.sql.parquet.compression.codec", "zstd"), conf_set(spark, "spark.sql.maxConcurrentOutputFileWriters", str(PARTS)):
+        cut_up.withColumn("part", part_of).write.partitionBy("part").parquet(path)
+    first = spark.read.schema(cut_up.schema.add("part", "long")).parquet(path).drop("part")
+    folders = sorted({f.rsplit("/", 1)[0] for f in first.inputFiles()})
+    stored = [spark.read.schema(cut_up.schema).parquet(folder) for folder in folders]
+    own = first.select("lines", "host", "content")
     if not counts:
-        wanted = first.where("open").select("lines", "host", "content")
-        own = own.join(wanted.select("host").distinct(), "host", "left_semi").select("lines", "host", "content")
-    found = repeated_runs(own, slices, wanted) if counts or not wanted.isEmpty() else None
-    whole = first.withColumn("found", F.lit(None).cast("array<int>")) if found is None else first.join(found, "content", "left")
+        stood = first.where("open").select("host").distinct()
+        own = own.join(stood, "host", "left_semi").select("lines", "host", "content")
+    found = None
+    if counts or not first.where("open").isEmpty():
+        found = repeated_runs(own, slices, [(t if counts else t.where("open")).select("lines", "host", "content") for t in stored])
     parts = []
-    for k in range(PARTS):  # a part's texts cross the network at a time
-        part = whole.where(F.pmod("content", F.lit(PARTS)) == k).select("page_id", "url", "lines", "marks", "open", "found")
-        part = part.mapInArrow(finished, f"page_id {kind}, url string, text string, n_tokens long, n_repeated long")
-        with conf_set(pages.sparkSession, "spark.sql.parquet.compression.codec", "zstd"):
+    for folder, whole in zip(folders, stored):  # a part's texts cross the network at a time
+        if found is None:
+            part = whole.withColumn("found", F.lit(None).cast("array<int>"))
+        else:
+            part = whole.join(found.where(part_of == int(folder.rsplit("=", 1)[1])), "content", "left")
+        part = part.select("page_id", "url", "lines", "marks", "open", "found").mapInArrow(finished, returned)
+        with conf_set(spark, "spark.sql.parquet.compression.codec", "zstd"):
             parts.append(written(part, "texts", free=True))
-    erased(first, *([] if found is None else [found]))
-    return reduce(DataFrame.unionByName, parts)
+        erased(whole)
+    if found is not None:
+        erased(found)
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], returned)

@@ -436,3 +436,45 @@ def test_hashes_of_runs_tell_runs_and_hosts_apart():
     assert h[1] == h[4] and len(set(h.tolist())) == 5
     assert extraction.run_hashes([pages[2].encode()], ["y"])[2][0] != h[4]
     assert [len(x) for x in extraction.run_hashes([b"", b"a"], ["x", "x"])] == [0, 0, 0]
+
+
+def test_runs_are_sent_once_or_twice_and_counted_by_bucket():
+    rng = np.random.default_rng(3)
+    hashes = np.concatenate([rng.integers(0, 1 << 63, 300).astype(np.uint64) * np.uint64(2), np.full(500, 7, np.uint64), np.full(4, 9, np.uint64)])
+    contents = np.concatenate([rng.integers(-9, 9, 800), np.full(4, -3)])
+    batch = extraction.dealt([(hashes[:450], contents[:450]), (hashes[450:], contents[450:])])
+    got = {}
+    for bucket, h, c in zip(*(batch.column(k).to_pylist() for k in ("bucket", "h", "contents"))):
+        for x, y in zip(np.frombuffer(h, np.uint64).tolist(), np.frombuffer(c, np.int64).tolist()):
+            assert x >> (64 - extraction.BUCKET_BITS) == bucket
+            got.setdefault(x, []).append(y)
+    want = {}
+    for x, y in zip(hashes.tolist(), contents.tolist()):
+        want.setdefault(x, set()).add(y)
+    assert got == {x: sorted({min(v), max(v)}) for x, v in want.items()}
+    assert batch.num_rows == len({x >> (64 - extraction.BUCKET_BITS) for x in want})
+    found = extraction.shared_runs([(hashes, contents)]).column("h").to_numpy().view(np.uint64)
+    assert found.tolist() == sorted(x for x, v in want.items() if len(v) > 1)
+    none = [(hashes[:0], contents[:0])]
+    assert extraction.dealt(none).num_rows == extraction.shared_runs(none).num_rows == 0
+
+
+def test_parts_of_a_table_give_the_same_repeats(spark):
+    run = " ".join(f"w{i}" for i in range(9))
+    rows = [(f"{run} {i}", "h", i) for i in range(6)] + [(run, "other", 6), ("few words", "h", 7)]
+    pages = spark.createDataFrame(rows, "lines string, host string, content long").repartition(3)
+    whole = {r.content: sorted(r.found) for r in extraction.repeated_runs(pages).collect()}
+    assert whole == {i: [0, 1] for i in range(6)}
+    parts = [pages.where(f"content % 2 = {k}") for k in range(2)]
+    assert {r.content: sorted(r.found) for r in extraction.repeated_runs(pages, wanted=parts).collect()} == whole
+    assert {r.content: sorted(r.found) for r in extraction.repeated_runs(pages, wanted=parts[:1]).collect()} == {i: [0, 1] for i in (0, 2, 4)}
+
+
+def test_extract_leaves_only_its_texts_on_disk(spark):
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before = set(folder.glob("*/*.parquet")) | set(folder.glob("*/*/*.parquet"))
+    table = spark.createDataFrame([(i, f"http://h/{i}", PAGE + str(i)) for i in range(9)], "page_id long, url string, html string")
+    found = extraction.extract(table)
+    left = (set(folder.glob("*/*.parquet")) | set(folder.glob("*/*/*.parquet"))) - before
+    assert left and {p.parent.name.rsplit("-", 5)[0] for p in left} == {"texts"}
+    assert found.count() == 9
