@@ -257,3 +257,21 @@ def test_large_columnar_tables_are_counted_in_scans_of_some_columns(spark, tmp_p
     monkeypatch.setattr(frequency, "SCAN_BYTES", 1)
     assert scans(columnar) == 5 and scans(lines) == 1  # text lines are read once at any size
     assert rows(frequency.value_frequency(columnar), "column_id", "value", "number", "n") == once
+
+
+def test_rows_of_one_row_group_are_counted_by_many_tasks(spark, tmp_path, monkeypatch):
+    made = spark.range(3000).selectExpr("id", "'same' as word", "if(id % 3 = 0, null, id / 4) as `a part`", "array(id) as list")
+    made.union(made.where("id < 500")).coalesce(1).write.parquet(str(tmp_path / "p"))
+    table = spark.read.parquet(str(tmp_path / "p"))
+    # rows that come from a shuffle have no fixed place, and are not dealt out
+    ds = Dataset({"t": table, "u": table.select("id", "word").distinct(), "empty": table.where("id < 0")})
+    once = rows(frequency.value_frequency(ds), "column_id", "value", "number", "n")
+    assert ("word", "same", 3500) in rows(frequency.named(frequency.value_frequency(ds), ds).where("table = 't'"), "column", "value", "n")
+    monkeypatch.setattr(frequency, "DEAL_FROM", 0)
+    monkeypatch.setattr(frequency, "DEAL_BYTES", 1024)
+    cells = frequency.stacked(ds.only(["t"]), lambda c: True, frequency._slots, ("whole", "real", "text"), apart=True)
+    by_task = [r["count"] for r in cells.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(by_task) > 9 and max(by_task) < sum(by_task) / 4 and sum(by_task) == 3 * 3500  # one value's rows too
+    dealt = frequency.value_frequency(ds)
+    assert dealt._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 2
+    assert rows(dealt, "column_id", "value", "number", "n") == once
