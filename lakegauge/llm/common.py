@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from contextlib import AbstractContextManager, contextmanager, nullcontext
+from contextlib import nullcontext
 from pathlib import Path
 
 import numpy as np
@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakegauge.functions.storage import conf_set, shuffles_freed  # noqa: F401  (conf_set is for the operators)
+
 #: Characters that separate words where a contract says ``[^\\x20\\x09-\\x0D]+``.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -41,25 +43,6 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-@contextmanager
-def conf_set(spark: SparkSession, setting: str, value: str) -> Iterator[None]:
-    """The session's ``setting`` while queries are built and run inside."""
-    before = spark.conf.get(setting, None)
-    spark.conf.set(setting, value)
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(setting)
-        else:
-            spark.conf.set(setting, before)
-
-
-def shuffles_freed(spark: SparkSession) -> AbstractContextManager:
-    """Queries built and run inside give their shuffle files back as soon as they end, not when the driver forgets them."""
-    return conf_set(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
-
-
 def written(df: DataFrame, name: str = "table", free: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and return what was written: later steps survive lost executors.
 

@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -275,3 +276,26 @@ def test_rows_of_one_row_group_are_counted_by_many_tasks(spark, tmp_path, monkey
     dealt = frequency.value_frequency(ds)
     assert dealt._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 2
     assert rows(dealt, "column_id", "value", "number", "n") == once
+
+
+def test_the_frequency_table_is_written_in_parts_that_give_their_shuffles_back(spark, tmp_path, monkeypatch):
+    made = spark.range(3000).selectExpr("id", "if(id % 2 = 0, null, 'w' || id % 9) as word", "id / 4 as part", "cast(null as string) as none")
+    made.union(made.where("id < 500")).coalesce(1).write.parquet(str(tmp_path / "p"))
+    table = spark.read.parquet(str(tmp_path / "p"))
+    ds = Dataset({"t": table, "u": table.select("id", "word").distinct(), "empty": table.where("id < 0"), "held": spark.createDataFrame([(1, None)], "a int, b string")})
+    monkeypatch.setattr(frequency, "DEAL_FROM", 0)
+    assert len(frequency.frequency_parts(ds)) == 1  # small tables need one job
+    monkeypatch.setattr(frequency, "SCAN_BYTES", 1)
+    parts = frequency.frequency_parts(ds)
+    ids = [{r[0] for r in part.select("column_id").distinct().collect()} for part in parts]
+    assert len(parts) > 4 and sum(map(len, ids)) == len(set().union(*ids)) == 8
+    once = sorted(frequency.value_frequency(ds).collect(), key=str)
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    on_disk = lambda: {f.getName() for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(manager.getAllFiles()) if f.getName().startswith("shuffle_")}
+    before = on_disk()
+    known = Profile(ds)
+    assert sorted(known.frequency.collect(), key=str) == once
+    until = time.time() + 20
+    while on_disk() - before and time.time() < until:  # files go in the background
+        time.sleep(0.2)
+    assert not on_disk() - before
