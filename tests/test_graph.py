@@ -122,6 +122,30 @@ def test_key_hashes_cross_the_network_and_few_keys_are_tested_whole(spark, monke
     assert grain.composite_key(df.union(df.limit(1)), cards, 5001, slice_keys=500) is None
 
 
+def test_all_keys_of_a_large_table_are_tested_a_slice_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(grain, "PASS_FROM", 2000)
+    df = spark.range(3000).selectExpr("id div 50 as a", "id % 50 as b", "if(id = 17, null, id % 50) as c")
+    cards = {"a": 60, "b": 50, "c": 50}
+    tables = {"clean": df, "small": df.where("a < 20"), "null": df, **{f"twice{i}": df.union(df.where(f"a = {i} and b = {i}")) for i in range(8)}}
+    ds = Dataset(tables)
+    rows = {t: 1000 if t == "small" else 3000 if t in ("clean", "null") else 3001 for t in tables}
+    asked = [(grain.Candidates(t, rows[t], cards), ("a", "c" if t == "null" else "b")) for t in tables]
+    looked, repeated = [], grain._repeated
+
+    def spied(ds, asked, slices=None):
+        keys = grain._keys(ds, asked, slices)
+        looked.append(({c.table: keys.where(f"combo = {i}").count() for i, (c, _) in enumerate(asked)}))
+        return repeated(ds, asked, slices)
+
+    monkeypatch.setattr(grain, "_repeated", spied)
+    assert {c.table for c, _ in grain._left(ds, asked)} == {"clean", "small"}
+    assert len(looked) == grain.PASSES and looked[0]["small"] == 1000 and "small" not in looked[1]
+    seen = [p["clean"] for p in looked]
+    assert sum(seen) == 3000 and max(seen) < 1500  # each key in one pass
+    assert any(f"twice{i}" not in looked[-1] for i in range(8))  # what one pass refutes is not looked at again
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_composite_of_two_texts_compares_joined_texts(spark):
     # joined by pipes both rows read a|b|c
     df = spark.createDataFrame([("a|b", "c"), ("a", "b|c"), ("a", "c")], "x string, y string")
